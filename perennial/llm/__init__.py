@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, and their queries. Nothing else in the library imports this subpackage."""
 
-from . import decontaminate, token_counts
+from . import decontaminate, packing, token_counts
 
-_MODULES = (decontaminate, token_counts)
+_MODULES = (decontaminate, packing, token_counts)
 
 
 def queries() -> dict:

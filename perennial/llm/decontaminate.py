@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import keyed, table
+from .shared import cut, keyed, table
 
 STATE = "doc_id long, text string, hit binary, items array<string>"
 FOUND = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
@@ -139,7 +139,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id"
         last = b == blocks - 1
         state = state.mapInArrow(_pass(index, last), FOUND if last else STATE)
         if not last:
-            state = state.checkpoint()
+            state = cut(state)
     return state
 
 

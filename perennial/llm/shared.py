@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: reading a table, and columns by name."""
+"""What the operators of this subpackage share: reading a table, columns by name, the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,3 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Just the key and the text, under fixed names, so that other columns' names cannot clash."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the cluster's shared folder (spark.checkpoint.dir): computed once, read by all
+    later steps, and there whatever executor is lost. Only a session without that setting gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def partitions_for(n_bytes: int, each: int, least: int = 8) -> int:
+    """So many partitions that each holds about `each` bytes."""
+    return max(least, -(-n_bytes // each))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
