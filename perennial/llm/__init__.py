@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, and their queries. Nothing else in the library imports this subpackage."""
 
-from . import decontaminate, packing, token_counts
+from . import decontaminate, packing, quality_rules, token_counts
 
-_MODULES = (decontaminate, packing, token_counts)
+_MODULES = (decontaminate, packing, token_counts, quality_rules)
 
 
 def queries() -> dict:
