@@ -19,6 +19,7 @@ documents of their own; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,7 +34,8 @@ from .shared import cut, keyed, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of text between spaces whose ids a worker remembers, and the longest one that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 1_200_000, 64
+_MARK = re.compile(rb"(?<=[a-z])([.,;!?])(?=[ \n]|$)")
 _LOADED: dict[str, tuple] = {}
 
 
@@ -42,30 +44,36 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {"": b""})
+        _LOADED[path] = (Tokenizer.from_file(path), {})
     return _LOADED[path]
 
 
+def _chunks(text: str | None) -> list[bytes]:
+    """Chunks of a text whose ids do not depend on each other: this tokenizer drops white space, lets nothing reach
+    across it, lower-cases, and parts a letter from a mark. So case and a mark at a word's end make no new chunks."""
+    if not text:
+        return []
+    raw = text.encode()
+    if b"<|" not in raw:  # a special string is known by its case
+        raw = raw.lower()
+    return _MARK.sub(rb" \1", raw).split()
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, with the end id. This tokenizer drops white space and lets
-    nothing reach across it, so a text's ids are those of its chunks between spaces and line feeds."""
+    """Little-endian unsigned 32-bit ids of each text, with the end id."""
     tokenizer, known = _tokenizer(path)
-    parts = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-    new = list({p for ps in parts for p in ps if p not in known})
+    parts = list(map(_chunks, texts))
+    got = [list(map(known.get, ps)) for ps in parts]
+    new = list({p for ps, xs in zip(parts, got, strict=True) if None in xs for p, x in zip(ps, xs, strict=True) if x is None})
     if len(known) + len(new) > REMEMBERED:
-        kept = {p: known[p] for ps in parts for p in ps if p in known}
         known.clear()
-        known.update(kept)
-        known[""] = b""
+    fresh = {}
     for lo in range(0, len(new), 4096):
         part = new[lo : lo + 4096]
-        known.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-    get, end = known.__getitem__, int(end_id).to_bytes(4, "little")
-    out = [b"".join(map(get, ps)) + end for ps in parts]
-    for p in new:
-        if len(p) > LONGEST:
-            del known[p]
-    return out
+        fresh.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True))
+    known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+    end = int(end_id).to_bytes(4, "little")
+    return [b"".join([fresh[p] if x is None else x for p, x in zip(ps, xs, strict=True)] if None in xs else xs) + end for ps, xs in zip(parts, got, strict=True)]
 
 
 def pieces_of(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
