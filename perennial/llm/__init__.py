@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, and their queries. Nothing else in the library imports this subpackage."""
 
-from . import decontaminate, jaccard, language_id, licences, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, jaccard, language_id, licences, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_counts
 
-_MODULES = (decontaminate, packing, suffix_dedup, jaccard, substring_dedup, licences, token_counts, language_id, quality_rules)
+_MODULES = (decontaminate, packing, suffix_dedup, jaccard, substring_dedup, pii, licences, token_counts, language_id, quality_rules)
 
 
 def queries() -> dict:
