@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .shared import cut, keyed, table
@@ -96,12 +97,14 @@ def _pass(index, last: bool):
                             hit[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
                             items[d].update(ids)
                 bounds = list(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
+                names = [c for c in part.schema.names if c == "carried"]
+                more = [part.column(c) for c in names]
                 total = np.concatenate(([0], np.cumsum(hit)))
                 n_hit = total[words.first[1:]] - total[words.first[:-1]]
                 ids = pa.array([sorted(items.get(d, ())) for d in range(len(bounds))], pa.list_(pa.string()))
                 if not last:
                     bits = pa.array([np.packbits(hit[lo:hi]).tobytes() if k else None for (lo, hi), k in zip(bounds, n_hit, strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), bits, ids], ["doc_id", "text", "hit", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), bits, ids, *more], ["doc_id", "text", "hit", "items", *names])
                     continue
                 spans, clean = [], []
                 texts = part.column("text")
@@ -117,27 +120,29 @@ def _pass(index, last: bool):
                         at = r["end"]
                     clean.append(b"".join([*kept, raw[at:]]).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), texts.cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), ids, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(clean, pa.string())],
-                    ["doc_id", "text", "n_words", "n_hit", "items", "spans", "clean_text"],
+                    [part.column("doc_id"), texts.cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), ids, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(clean, pa.string()), *more],
+                    ["doc_id", "text", "n_words", "n_hit", "items", "spans", "clean_text", *names],
                 )
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
-    """Per document: n_words, n_hit, the items found, the hit spans (bytes of the text) and the text without them."""
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 64 << 20, carry: str | None = None) -> DataFrame:
+    """Per document: n_words, n_hit, the items found, the hit spans (bytes of the text) and the text without them.
+    The column `carry`, such as a struct of the whole row, comes along as `carried`."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     if blocks > 1:
         items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    state = keyed(docs, key, text)
+    state = keyed(docs, key, text) if carry is None else docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(carry).alias("carried"))
+    carried = [f for f in state.schema.fields if f.name == "carried"]
     for b in range(blocks):
         block = items.where(F.col("block") == b) if blocks > 1 else items
         index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in block.select("item_id", "text").toLocalIterator()], n))
         last = b == blocks - 1
-        state = state.mapInArrow(_pass(index, last), FOUND if last else STATE)
+        state = state.mapInArrow(_pass(index, last), T.StructType([*T.StructType.fromDDL(FOUND if last else STATE).fields, *carried]))
         if not last:
             state = cut(state)
     return state
