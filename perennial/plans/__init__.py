@@ -1,4 +1,6 @@
 """Named queries over the test tables, each with the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import relational, timeseries
+from .common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "relational", "timeseries"]
