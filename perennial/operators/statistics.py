@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided Fisher test of the 2x2 table [[a, b], [c, d]]: P(at least a) in the hypergeometric tail."""
     top = int(max(1, (a + b + c + d).fillna(0).max())) if len(a) else 1

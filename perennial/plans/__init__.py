@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with the SQL that says the same."""
 
-from . import relational, timeseries
+from . import relational, statistics, timeseries
 from .common import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational", "timeseries"]
+__all__ = ["ORACLE", "QUERIES", "relational", "statistics", "timeseries"]
