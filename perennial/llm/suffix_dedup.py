@@ -103,14 +103,20 @@ def repeated_windows(suffix: np.ndarray, before: np.ndarray, lengths: tuple[np.n
     place = np.empty(n, np.int64)
     place[np.lexsort((start, row, g, doc))] = np.arange(n)  # from earliest to latest
     by_place = np.argsort(place)
+    bits = max(1, n.bit_length())
+    right_class, left_class = np.empty(n, np.int64), np.zeros(n, np.int64)
     for o in range(size - GRAM + 1):
-        right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
         right_class[right] = np.cumsum(right_common < size - o)
-        left_class[left] = np.cumsum(left_common < o) if o else 0
-        rows = by_place[((lengths[0] >= size - o) & (lengths[1] >= o))[by_place]]
-        classes = right_class[rows] * (n + 1) + left_class[rows]
-        order = np.argsort(classes, kind="stable")  # of equal ones the earliest first
-        rows, classes = rows[order], classes[order]
+        if o:
+            left_class[left] = np.cumsum(left_common < o)
+        ok = (lengths[0] >= size - o) & (lengths[1] >= o)
+        if 3 * bits <= 63:  # class and place in one number: of equal classes the earliest comes first
+            keys = np.sort((right_class << 2 * bits | left_class << bits | place)[ok])
+            rows, classes = by_place[keys & (1 << bits) - 1], keys >> bits
+        else:
+            rows = np.flatnonzero(ok)
+            rows = rows[np.lexsort((place[rows], left_class[rows], right_class[rows]))]
+            classes = np.cumsum(np.concatenate(([0], (right_class[rows][1:] != right_class[rows][:-1]) | (left_class[rows][1:] != left_class[rows][:-1])))) if len(rows) else rows
         if len(rows) < 2:
             continue
         new = np.concatenate(([True], classes[1:] != classes[:-1]))
@@ -129,8 +135,7 @@ class _Group:
         self.ids, self.valid = gr.doc_ids(self.rows)
         self.data, self.offsets = ta.text_buffer(self.rows.column("text"))
         self.h = ta.prefix_hashes(self.data)
-        start = np.arange(max(0, len(self.data) - GRAM + 1))
-        self.anchors = anchor_places(ta.span_hashes(self.h, start, start + GRAM), self.offsets, self.valid, size)
+        self.anchors = anchor_places(ta.gram_hashes(self.h, GRAM), self.offsets, self.valid, size)
         self.doc = np.searchsorted(self.offsets, self.anchors, side="right") - 1
         lo, hi = self.offsets[self.doc], self.offsets[self.doc + 1]
         # Bytes that count before and from an anchor on, and the halves that any window holds one of.

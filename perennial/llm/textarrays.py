@@ -71,6 +71,15 @@ def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n bytes, by first byte; good in their upper 32 bits, for choosing among places."""
+    m = max(0, len(h) - n)
+    out = h[n:] - h[:m]
+    out *= powers(_BASE_INV, m)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
 class Words:
     """The words of a batch: byte spans, the first word of each document, and on demand their hashes."""
 
@@ -133,7 +142,7 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
     return np.cumsum(step[:-1]) > 0
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """The batch in runs of rows of about `most` bytes of text, each row whole: bounds what numpy holds at once."""
     if not batch.num_rows:
         return
