@@ -145,8 +145,8 @@ class PieceModel:
         return spelled + sum(int(self.cost[s]) for s, ok in zip(symbols, alive, strict=True) if ok and s >= 0)
 
     def count_texts(self, texts: list[str | None]) -> list[int]:
-        # The model puts one space before a text that isn't empty.
-        parts = [_PRETOKEN.findall(" " + t) if t else () for t in texts]
+        # The model puts one space before a text that isn't empty, and takes its own space symbol for a space.
+        parts = [_PRETOKEN.findall(" " + t.replace("▁", " ")) if t else () for t in texts]
         new = list({p for ps in parts for p in ps if p not in self.known})
         counted = dict(zip(new, self.count_many([p.replace(" ", "▁") for p in new]), strict=True))
         if len(self.known) + len(new) > REMEMBERED:
