@@ -26,7 +26,7 @@ def throttle(alerts: DataFrame, key: Sequence[str], at: str, hours: int) -> Data
     """Alerts that no earlier alert kept of the same key precedes by less than `hours`: an ordered fold over each
     key's times, as what is dropped must not silence what follows."""
     step = F.struct
-    times = F.array_sort(F.collect_set(F.col(at)))
+    times = F.array_sort(F.collect_set(F.col(at).cast("timestamp")))
     none = F.array().cast("array<timestamp>")
     kept = F.aggregate(
         F.col("_times"), step(F.lit(None).cast("timestamp").alias("last"), none.alias("kept")),
@@ -73,7 +73,7 @@ def forecast_skill(forecast: DataFrame, actual: DataFrame, on: Sequence[str]) ->
 def station_changes(obs: DataFrame, station: Sequence[str], at: str) -> DataFrame:
     """Oldest against newest reading of a station, 1 to 6 hours apart: temp falls, wind turns, pressure moves; two or
     more at one station add a front. Columns temp, wind_dir, pressure; pressures outside 870..1100 say nothing."""
-    reading = F.struct(F.col(at).alias("at"), "temp", "wind_dir", F.when(F.col("pressure").between(870, 1100), F.col("pressure")).alias("pressure"))
+    reading = F.struct(F.col(at).cast("timestamp").alias("at"), "temp", "wind_dir", F.when(F.col("pressure").between(870, 1100), F.col("pressure")).alias("pressure"))
     g = obs.groupBy(*station).agg(F.min_by(reading, at).alias("a"), F.max_by(reading, at).alias("b"))
     hours = (F.unix_micros("b.at") - F.unix_micros("a.at")) / 3.6e9
     fall = F.col("a.temp") - F.col("b.temp")

@@ -60,7 +60,7 @@ def pool_luts(spark, d):
     return lut.select("region", "pool_doy", F.size("vals").cast("long").alias("entries"), "n", F.element_at("vals", 1).alias("lowest"), F.element_at("below", -1).alias("below_top"))
 
 
-@query(f"""WITH {POOL} SELECT region, day, CAST(floor(floor(below / n * 1000 + 0.5) / 1000 * 254 + 0.5) AS INTEGER) AS byte FROM pool""")
+@query(f"""WITH {POOL} SELECT region, day, CAST(floor(floor(CASE WHEN years < 5 THEN least(0.6, below / n) ELSE below / n END * 1000 + 0.5) / 1000 * 254 + 0.5) AS INTEGER) AS byte FROM pool""")
 def lut_bytes(spark, d):
     x = daily(spark, d).drop("n")
     lut = pools.pool_lut(x, ["region"], "day", "value")

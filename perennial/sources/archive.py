@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: An archive row: a narrative with its kind, place, time, vector and free attributes.
-ARCHIVE = T.StructType.fromDDL("id string, title string, content string, content_type string, tags array<string>, embedding array<float>, state string, species string, effective_date date, created_at timestamp, signal_weight double, metadata string")
+ARCHIVE = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("id", "title", "content", "content_type")]
+    + [T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    + [T.StructField(c, T.StringType()) for c in ("state", "species")]
+    + [T.StructField("effective_date", T.DateType()), T.StructField("created_at", T.TimestampType()), T.StructField("signal_weight", T.DoubleType()), T.StructField("metadata", T.StringType())]
+)
 
 
 def shared_folder(spark: SparkSession) -> str:
