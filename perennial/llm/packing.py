@@ -33,9 +33,15 @@ from . import textarrays as ta
 from .shared import cut, keyed, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks of text between spaces whose ids a worker remembers, and the longest one that is remembered.
+#: Chunks of text between spaces whose ids a worker remembers, and the longest one that is remembered. They are kept
+#: in two halves: when the newer one is full, the older one goes, but for the chunks that have been met again.
 REMEMBERED, LONGEST = 1_200_000, 64
-_MARK = re.compile(rb"(?<=[a-z])([.,;!?])(?=[ \n]|$)")
+#: Lower-case Latin-1 letters in UTF-8: such a word is one pre-token, which the tokenizer's model takes as it is.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_MARK = re.compile(rb"([.,;!?])(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))(?=[ \n]|$)")
+#: The characters by which a byte-level model knows bytes: printable ones stand for themselves, the rest from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 _LOADED: dict[str, tuple] = {}
 
 
@@ -44,7 +50,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        _LOADED[path] = (Tokenizer.from_file(path), [{}, {}])
     return _LOADED[path]
 
 
@@ -61,15 +67,21 @@ def _chunks(text: str | None) -> list[bytes]:
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end id."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, halves = _tokenizer(path)
+    if len(halves[0]) > REMEMBERED // 2:
+        halves[:] = [{}, halves[0]]
+    known, older = halves
     parts = list(map(_chunks, texts))
     got = [list(map(known.get, ps)) for ps in parts]
-    new = list({p for ps, xs in zip(parts, got, strict=True) if None in xs for p, x in zip(ps, xs, strict=True) if x is None})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-    fresh = {}
-    for lo in range(0, len(new), 4096):
-        part = new[lo : lo + 4096]
+    missing = {p for ps, xs in zip(parts, got, strict=True) if None in xs for p, x in zip(ps, xs, strict=True) if x is None}
+    fresh = {p: older[p] for p in missing if p in older}
+    new = [p for p in missing if p not in fresh]
+    model = tokenizer.model
+    for p in filter(_LETTERS.fullmatch, new):
+        fresh[p] = array("I", [t.id for t in model.tokenize(p.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+    rest = [p for p in new if p not in fresh]
+    for lo in range(0, len(rest), 4096):
+        part = rest[lo : lo + 4096]
         fresh.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True))
     known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
     end = int(end_id).to_bytes(4, "little")
