@@ -151,7 +151,7 @@ def interestingness(spark, d):
 def list_search(spark, d):
     e = t(spark, d, "embeddings")
     index = ann.fit(e, lists=20)
-    return ann.search(ann.assign(e, index), e.where("vec_id % 20 = 0"), index, top=10, probes=10)
+    return ann.search(ann.assign(e, index), e.where("vec_id % 20 = 0"), index, top=10, probes=15)
 
 
 @query(f"""WITH {DAILY}, v AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY day) AS i FROM daily), c AS (SELECT tau, count(*) FILTER (WHERE a.value >= t.tau) AS fires, count(*) FILTER (WHERE a.value >= t.tau AND EXISTS (SELECT 1 FROM daily b WHERE b.region = a.region AND b.day = a.day + 1 AND b.value >= 300000)) AS followed
