@@ -3,8 +3,9 @@
 A text's set holds its distinct 5-word shingles as 64-bit hashes. If two sets have a Jaccard similarity of 0.8 or
 more, then under any total order of the shingles their prefixes (the first n - ceil(0.8 n) + 1) share one. Three
 orders are used: rarest first by a count sketch of fixed size over the whole corpus, and the hashes of a bijection
-upwards and downwards. Candidates share a prefix shingle under the first order; what arrives for verification must
-share one under the other two as well before the whole sets are intersected.
+upwards and downwards. Candidates share a prefix shingle under the first order, at places that leave enough to share
+after them; what arrives for verification must share one under the other two orders as well before the whole sets are
+intersected.
 
 Texts with equal sets are one class and join as one. Groups of near copies can be large, so pairs are not listed
 outright: in a first round each class is compared with the candidate it shares most prefix shingles with among the
@@ -18,6 +19,8 @@ component; rows with equal ids count as one node; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -130,7 +133,7 @@ def shingle_sketch(docs: DataFrame, size: int = 5) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int = 80) -> DataFrame:
-    """(k1, k2, n, tokens): the prefix of each class, rarest first; once a task, not once a document."""
+    """(k1, k2, n, tokens): the prefix of each class in the first order; once a task, not once a document."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 20) - 1).astype(np.uint32))
 
     def run(batches):
@@ -146,7 +149,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int =
                     seen.add(key)
                     p = prefix_length(len(s), percent)
                     order = counts[(s >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | s >> np.uint64(20)
-                    rows.append((*key, s[np.argpartition(order, p - 1)[:p]].astype("<u8").tobytes()))
+                    rows.append((*key, s[np.argsort(order)[:p]].astype("<u8").tobytes()))
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [*_CLASS, "tokens"])
 
@@ -154,19 +157,21 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int =
 
 
 def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFrame:
-    """(token, id, n) for each prefix shingle that two classes or more have; id is the class's smallest document."""
+    """(token, id, n, pos) for each prefix shingle that two classes or more have; id is the class's smallest document,
+    pos the shingle's place in its order."""
     n_buckets = max(1, n_groups // 2)
     by_group = found.withColumn("g", F.pmod("k1", F.lit(n_groups))).groupBy("g")
     ids = classes.withColumn("g", F.pmod("k1", F.lit(n_groups)))
 
-    def tokens_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
-        """Tokens of the group's classes, each class once; the class of each."""
+    def tokens_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Tokens of the group's classes, each class once; the class of each and its place there."""
         once = {}
         for k1, k2, n, t in zip(*(rows.column(c).to_pylist() for c in (*_CLASS, "tokens")), strict=True):
             once[k1, k2, n] = t
         keys = sorted(once)
-        parts = [np.sort(np.frombuffer(once[k], "<u8")) for k in keys]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.repeat(np.arange(len(keys)), [len(p) for p in parts]), keys
+        parts = [np.frombuffer(once[k], "<u8") for k in keys]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none.astype("<u8"), *parts]), np.repeat(np.arange(len(keys)), [len(p) for p in parts]), np.concatenate([none, *(np.arange(1, len(p) + 1) for p in parts)]), keys
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         return gr.ask_repeated(key[0].as_py(), gr.Distinct(tokens_of(rows)[0]), n_buckets)
@@ -174,7 +179,7 @@ def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFr
     repeated = gr.answer_repeated(by_group.applyInArrow(ask, gr.HASHES), 0)
 
     def emit(key: tuple, rows: pa.Table, more: pa.Table) -> pa.Table:
-        tokens, owner, keys = tokens_of(rows)
+        tokens, owner, place, keys = tokens_of(rows)
         distinct = gr.Distinct(tokens)
         bits = more.filter(more.column("bits").is_valid())
         here = more.filter(more.column("id").is_valid())
@@ -185,12 +190,12 @@ def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFr
         size = np.array([k[2] for k in keys] or [0], np.int64)
         known = np.array([k in ids for k in keys] or [False])
         at = at[known[owner[at]]]
-        return pa.table([pa.array(tokens[at].astype(np.int64)), pa.array(node[owner[at]]), pa.array(size[owner[at]])], ["token", "id", "n"])
+        return pa.table([pa.array(tokens[at].astype(np.int64)), pa.array(node[owner[at]]), pa.array(size[owner[at]]), pa.array(place[at])], ["token", "id", "n", "pos"])
 
     none = F.lit(None)
     more = repeated.select("g", "tag", "bucket", "bits", *(none.cast("long").alias(c) for c in (*_CLASS, "id")))
     more = more.unionByName(ids.select("g", none.cast("int").alias("tag"), none.cast("int").alias("bucket"), none.cast("binary").alias("bits"), *_CLASS, "id"))
-    return by_group.cogroup(more.groupBy("g")).applyInArrow(emit, "token long, id long, n long")
+    return by_group.cogroup(more.groupBy("g")).applyInArrow(emit, "token long, id long, n long, pos long")
 
 
 def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
@@ -217,31 +222,24 @@ def _places(ids: np.ndarray, bits: int):
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The pairs (hub, spoke) that are similar, as (a, b). A spoke's set moves once a pair, a hub's once."""
-    hubs, spokes = pairs.select(F.col("hub").alias("doc_id")).distinct(), pairs.select(F.col("spoke").alias("doc_id"), "hub")
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(hubs.union(spokes.select("doc_id").distinct()).select(F.col("doc_id").alias("id"))))
+    ends = pairs.select(F.explode(F.array("hub", "spoke")).alias("id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ends))
 
-    def maybe(batches):
+    def sets(batches):
         flags = wanted.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keep = np.ones(len(ids), bool)
             for place in _places(ids, len(flags)):
                 keep &= flags[place]
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    texts = docs.where("doc_id is not null").mapInArrow(maybe, "doc_id long, text string")
-
-    def as_sets(rows: DataFrame, names: list[str]) -> DataFrame:
-        def make(part):
-            # Sorted by a bijection of the hashes: the second order upwards, the third downwards.
-            sets = [np.sort(ta.mix(s ^ np.uint64(0x6A09E667F3BCC909))).astype("<u8").tobytes() for s in shingle_sets(part.column("text"), size)]
-            return list(zip(*(part.column(c).to_pylist() for c in names), sets, strict=True))
+            for part in ta.slices(batch.filter(pa.array(keep)), "text"):
+                # Sorted by a bijection of the hashes: the second order upwards, the third downwards.
+                made = [np.sort(ta.mix(s ^ np.uint64(0x6A09E667F3BCC909))).astype("<u8").tobytes() for s in shingle_sets(part.column("text"), size)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "shingles"])
 
-        return rows.select(*names, "text").mapInArrow(_batches(make, [*names, "shingles"], (*(pa.int64() for _ in names), pa.binary())), ", ".join(f"{c} long" for c in names) + ", shingles binary")
-
-    hub_sets = as_sets(texts.join(hubs, "doc_id").withColumnRenamed("doc_id", "hub"), ["hub"])
-    spoke_sets = as_sets(texts.join(spokes, "doc_id").withColumnRenamed("doc_id", "spoke"), ["hub", "spoke"]).withColumnRenamed("shingles", "others")
+    sets_of = docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary")
+    hub_sets = sets_of.withColumnRenamed("doc_id", "hub").join(pairs.select("hub").distinct(), "hub", "left_semi")
+    spoke_sets = pairs.join(sets_of.select(F.col("doc_id").alias("spoke"), F.col("shingles").alias("others")), "spoke")
 
     def check(batches):
         for batch in batches:
@@ -253,35 +251,44 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = 80)
     return spoke_sets.join(hub_sets, "hub").select("hub", "spoke", "shingles", "others").mapInArrow(check, "a long, b long")
 
 
-def _fits(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+def _fits(n: str, i: str, m: str, j: str, percent: int):
+    """Can sets of n and m shingles whose first common one has places i and j be similar? By their sizes, and as no
+    more can be common than the shorter rest from there on. Of a similar pair the first common shingle passes."""
+    rest = 1 + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (F.col(n) + F.col(m)))
 
 
 def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
     """One pair for each class outside the largest component of one of its shingles: with that component's leader
-    that it shares most shingles with. tokens: (token, id, n, label)."""
-    rank = F.struct("n", "id") if not turn else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-    groups = tokens.groupBy("token", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "n"), rank).alias("lead"))
+    that it shares most shingles with. tokens: (token, id, n, pos, label)."""
+    # The earlier a common shingle stands, the fewer rarer ones, its own edits, come before it: the nearer the set is
+    # to what its group has in common, and the likelier to be similar to its members.
+    rank = F.struct("pos", "n", "id") if not turn else F.struct(F.floor(F.col("pos") / 4), F.xxhash64("id", F.lit(turn)), "id")
+    groups = tokens.groupBy("token", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "n", "pos"), rank).alias("lead"))
     if turn:
         best = groups.groupBy("token").agg(F.max_by(F.struct("lead", "label"), F.struct("size", -F.col("label"))).alias("top"), F.count("*").alias("labels"))
-    else:  # every class is a component of its own yet: the smallest set leads
-        best = groups.groupBy("token").agg(F.min_by(F.struct("lead", "label"), F.struct("lead.n", "lead.id")).alias("top"), F.count("*").alias("labels"))
-    best = best.where("labels > 1").select("token", F.col("top.lead.id").alias("hub"), F.col("top.lead.n").alias("hub_n"), F.col("top.label").alias("hub_label"))
-    pairs = tokens.join(best, "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "hub_n", percent))
+    else:  # every class is a component of its own yet
+        best = groups.groupBy("token").agg(F.min_by(F.struct("lead", "label"), F.struct("lead.pos", "lead.n", "lead.id")).alias("top"), F.count("*").alias("labels"))
+    best = best.where("labels > 1").select("token", F.col("top.lead.id").alias("hub"), F.col("top.lead.n").alias("hub_n"), F.col("top.lead.pos").alias("hub_pos"), F.col("top.label").alias("hub_label"))
+    pairs = tokens.join(best, "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
     counts = pairs.groupBy("id", "hub").agg(F.count("*").alias("c"))
     return counts.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", F.col("id").alias("spoke"))
 
 
 def all_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair whose ends are in different components."""
+    """Every candidate pair whose ends are in different components: equal shingle, sizes and places that fit. Sizes go
+    in steps of a ninth, and a set meets those of its own step and of the steps above that its bound admits."""
     mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    left = tokens.join(mixed, "token")
-    right = left.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    pairs = left.join(right, "token").where("id < id2 and label <> label2").where(_fits("n", "n2", percent))
-    return pairs.select(F.col("id").alias("hub"), F.col("id2").alias("spoke")).distinct()
+    rows = tokens.join(mixed, "token").withColumn("step", F.floor(F.log("n") / F.log(F.lit(1 / 0.9))))
+    steps = int(math.ceil(math.log(100 / percent) / math.log(1 / 0.9)))
+    reach = rows.withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + steps)))
+    other = rows.select("token", "step", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    larger = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    hit = larger & (F.col("label") != F.col("label2")) & _fits("n", "pos", "n2", "pos2", percent)
+    return reach.join(other, ["token", "step"]).where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke")).distinct()
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, turns: int = 3) -> DataFrame:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, turns: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     rows = keyed(docs, key, text)
     n_groups = partitions_for(text_bytes(rows), 16 << 20, 1)
@@ -290,25 +297,30 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     found = prefixes(rows, shingle_sketch(rows, size), size, percent)
     tokens = stored(shared_tokens(found, classes, n_groups))
     labels = edges = done = None
-    for turn in range(turns + 1):
-        if labels is None:
-            labelled = tokens.withColumn("label", F.col("id"))
-        else:
+    turn, last = 0, False
+    while True:
+        labelled = tokens.withColumn("label", F.col("id"))
+        if labels is not None:
             labelled = tokens.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pairs = all_pairs(labelled, percent) if turn == turns else leader_pairs(labelled, percent, turn)
+        pairs = all_pairs(labelled, percent) if last else leader_pairs(labelled, percent, turn)
         if done is not None:
             tried = done.select(F.least("hub", "spoke").alias("x"), F.greatest("hub", "spoke").alias("y"))
             pairs = pairs.join(tried, (F.least("hub", "spoke") == F.col("x")) & (F.greatest("hub", "spoke") == F.col("y")), "left_anti")
         pairs = stored(pairs)
-        if pairs.isEmpty():
-            if turn < turns:
-                continue
+        n_pairs = pairs.count()
+        n_new = 0
+        if n_pairs:
+            new = stored(verify(rows, pairs, size, percent))
+            n_new = new.count()
+            done = pairs if done is None else done.unionByName(pairs)
+            edges = new if edges is None else edges.unionByName(new)
+            if n_new:
+                labels = components(edges)
+        if last:
             break
-        new = stored(verify(rows, pairs, size, percent))
-        done = pairs if done is None else done.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        if not new.isEmpty():
-            labels = components(edges)
+        # Another round of leaders for as long as they link at least a tenth of what they are compared with.
+        turn += 1
+        last = turn >= turns or 10 * n_new < n_pairs or not n_pairs
     out = members.join(classes, [*_CLASS], "left")
     if labels is not None:
         out = out.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id"))
