@@ -16,7 +16,6 @@ benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -161,11 +160,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sha256_of(items: list[str]) -> str:
-    """The digest of a list of items, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
