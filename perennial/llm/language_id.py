@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 held.append((part, words, model.scores(words)))
                 words.three = words.four = words.data = None  # only the places are needed from here on
                 n += len(words)
-                if n > 2_000_000:  # many documents side by side make the steps of Viterbi cheap
+                if n > 800_000:  # many documents side by side make the steps of Viterbi cheap
                     yield from label(held, model)
                     held, n = [], 0
         if held:
