@@ -26,11 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = stored(jaccard.link(docs)).where("doc_id is not null")
-    stay = linked.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
+    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    # Only rows that a filter of fixed size takes for a copy are moved to be compared; all others stay where they are.
+    maybe = jaccard.in_filter(jaccard.id_filter(gone.withColumnRenamed("doc_id", "id")))(F.col("doc_id"))
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
     if linked.count() > linked.select("doc_id").distinct().count():  # rows that share an id are one group
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,12 +19,12 @@ component; rows with equal ids count as one node; empty tables give no rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import groups as gr
 from . import textarrays as ta
@@ -215,6 +215,20 @@ def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
+def in_filter(flags: np.ndarray):
+    """A condition on an id column: might it be in id_filter()'s set? Never for a null."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(flags)
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(ids: pd.Series) -> pd.Series:
+        found = ids.notna().to_numpy().copy()
+        for place in _places(ids.fillna(0).to_numpy(), len(shared.value)):
+            found &= shared.value[place]
+        return pd.Series(found)
+
+    return maybe
+
+
 def _places(ids: np.ndarray, bits: int):
     h = ta.mix(ids.astype(np.int64).view(np.uint64))
     return [(h >> np.uint64(s)).astype(np.int64) & (bits - 1) for s in (0, 29)]
@@ -237,8 +251,9 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = 80)
                 made = [np.sort(ta.mix(s ^ np.uint64(0x6A09E667F3BCC909))).astype("<u8").tobytes() for s in shingle_sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "shingles"])
 
-    sets_of = docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary")
-    hub_sets = sets_of.withColumnRenamed("doc_id", "hub").join(pairs.select("hub").distinct(), "hub", "left_semi")
+    # Pairs and sets both grow with the corpus: they meet by shuffles at every size, and no plan changes with it.
+    sets_of = docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary").hint("merge")
+    hub_sets = sets_of.withColumnRenamed("doc_id", "hub").join(pairs.select("hub").distinct(), "hub", "left_semi").hint("merge")
     spoke_sets = pairs.join(sets_of.select(F.col("doc_id").alias("spoke"), F.col("shingles").alias("others")), "spoke")
 
     def check(batches):
@@ -276,16 +291,13 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def all_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair whose ends are in different components: equal shingle, sizes and places that fit. Sizes go
-    in steps of a ninth, and a set meets those of its own step and of the steps above that its bound admits."""
+    """Every candidate pair whose ends are in different components: an equal shingle, at places that fit."""
     mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = tokens.join(mixed, "token").withColumn("step", F.floor(F.log("n") / F.log(F.lit(1 / 0.9))))
-    steps = int(math.ceil(math.log(100 / percent) / math.log(1 / 0.9)))
-    reach = rows.withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + steps)))
-    other = rows.select("token", "step", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    rows = tokens.join(mixed, "token").select("token", "id", "n", "pos", "label")
+    other = rows.toDF("token", "id2", "n2", "pos2", "label2")
     larger = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
     hit = larger & (F.col("label") != F.col("label2")) & _fits("n", "pos", "n2", "pos2", percent)
-    return reach.join(other, ["token", "step"]).where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke")).distinct()
+    return rows.join(other, "token").where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke")).distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, turns: int = 8) -> DataFrame:
