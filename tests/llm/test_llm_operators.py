@@ -286,3 +286,28 @@ def test_licence_rules_need_their_order(spark):
     rows = [(1, f"{grant} {condition}"), (2, f"{condition}\n{grant}"), (3, None), (4, "LICENSED under the  Apache License, Version 2.0!"), (5, "a licence of sorts")]
     got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: None, 3: None, 4: "Apache-2.0", 5: None}
+
+
+def test_id_filter_misses_none(spark):
+    ids = spark.range(0, 5000, 7)
+    flags = jaccard.id_filter(ids, 1 << 12)
+    maybe = jaccard.in_filter(flags)
+    assert ids.where(~maybe("id")).count() == 0
+    assert spark.createDataFrame([(None,)], "id long").where(maybe("id")).count() == 0
+    assert jaccard.id_filter(ids.limit(0)).sum() == 0
+
+
+def test_positions_never_lose_a_similar_pair():
+    r = np.random.default_rng(7)
+    for _ in range(2000):
+        base = r.choice(400, 120, replace=False)
+        a, b = (np.unique(np.concatenate((base[r.random(120) > 0.06], r.integers(1000, 9999, r.integers(0, 9))))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        order = lambda s: sorted(s.tolist(), key=lambda t: (t * 7919) % 10007)
+        p, q = order(a)[: jaccard.prefix_length(len(a))], order(b)[: jaccard.prefix_length(len(b))]
+        first = next(t for t in p if t in q)
+        rest = 1 + min(len(a) - p.index(first) - 1, len(b) - q.index(first) - 1)
+        assert 180 * rest >= 80 * (len(a) + len(b))
+        assert jaccard.similar(np.sort(a.astype(np.uint64)), np.sort(b.astype(np.uint64)))
