@@ -35,7 +35,7 @@ from .shared import cut, keyed, table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of text between spaces whose ids a worker remembers, and the longest one that is remembered. They are kept
 #: in two halves: when the newer one is full, the older one goes, but for the chunks that have been met again.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 500_000, 32
 #: Lower-case Latin-1 letters in UTF-8: such a word is one pre-token, which the tokenizer's model takes as it is.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _MARK = re.compile(rb"([.,;!?])(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))(?=[ \n]|$)")
