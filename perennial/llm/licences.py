@@ -1,10 +1,11 @@
 """Licence scans by recognising sentences: DataFrame functions only, no shuffle.
 
-A text is cut into sentences at line feeds and after sentence marks followed by white space. Each sentence is
-normalised (lower case, anything but letters and digits to one space) and looked up in a map of known licence
-sentences; a sentence counts wherever it begins with a known one. The identifiers found, in order of the text, are
-then matched against ordered rules, each a sequence of identifiers that must occur in that order, gaps allowed; a
-document gets every rule that holds and, as its licence, the first of them.
+A text is cut into sentences at blank lines (also those of a comment, without letters and digits) and after full
+stops, exclamation and question marks followed by white space; a single line feed is white space, so notices may be
+wrapped and stand in comments, and semicolons stand within known sentences. Each sentence is normalised (lower case,
+anything but letters and digits to one space), and every known licence sentence in it counts, wherever it begins. The
+identifiers found, in order of the text, are then matched against ordered rules, each a sequence of identifiers that
+must occur in that order, gaps allowed; a document gets every rule that holds and, as its licence, the first of them.
 
 The map holds one entry a known sentence and is written into the plan: it is bounded by the catalogue, not by data.
 
@@ -75,8 +76,8 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of the text's sentences."""
-    return F.split(text, r"\n|(?<=[.!?;])\s+")
+    """Array of the text's sentences. A mark at the beginning of a line is a comment's; that of "v. 2.0" ends nothing."""
+    return F.split(text, r"\n[^\p{L}\p{N}\n]*+\n|(?<=[^\s.!?][.!?])(?<!\b[Vv]\.)\s+")
 
 
 def _keyword(text: Column) -> Column:
@@ -85,13 +86,10 @@ def _keyword(text: Column) -> Column:
     return F.lower(text).rlike("|".join(k.replace(" ", "[^a-z0-9]+") for k in _KEYWORDS))
 
 
-def _begins(sentence: Column, known: dict[str, str]) -> Column:
-    """The identifier of the known sentence that the sentence begins with, the longest first; null if none."""
-    found = None
-    for words, name in sorted(known.items(), key=lambda x: -len(x[0])):
-        hit = F.concat(sentence, F.lit(" ")).startswith(words + " ")
-        found = F.when(hit, name) if found is None else found.when(hit, name)
-    return found
+def _known(sentence: Column, known: dict[str, str]) -> Column:
+    """The known sentences in a normalised sentence, by where they begin; of those that begin together the longest."""
+    words = "|".join(sorted(known, key=lambda w: -len(w)))
+    return F.regexp_extract_all(sentence, F.lit(rf"\b(?=({words})\b)"), 1)
 
 
 def _in_order(found: Column, sequence: tuple[str, ...]) -> Column:
@@ -105,7 +103,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[s
     out = keyed(docs, key, text)
     # Of all sentences only those with a keyword are normalised and compared.
     cut = F.transform(F.filter(sentences(F.col("text")), _keyword), normalised)
-    found = F.when(_keyword(F.col("text")), F.filter(F.transform(cut, lambda s: _begins(s, known)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    found = F.when(_keyword(F.col("text")), F.transform(F.flatten(F.transform(cut, lambda s: _known(s, known))), lambda w: names[w])).otherwise(F.array().cast("array<string>"))
     out = out.select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("identifiers"))
     joined = F.array_join("identifiers", "\n")
     held = F.array(*(F.when(_in_order(joined, seq), F.lit(name)) for name, seq in rules))

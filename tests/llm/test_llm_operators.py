@@ -288,6 +288,78 @@ def test_licence_rules_need_their_order(spark):
     assert got == {1: "MIT", 2: None, 3: None, 4: "Apache-2.0", 5: None}
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "BSD-3-Clause": """Copyright (c) 2020, A. Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "Apache-2.0": """This file is licensed under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance with the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+FOUND = {
+    "MIT": ["mit/grant", "mit/condition", "mit/warranty"],
+    "BSD-3-Clause": ["bsd/grant", "bsd/source", "bsd/binary", "bsd/names"],
+    "GPL-3.0": ["gpl/free", "gpl/terms", "gpl-3.0/version", "gpl/useful"],
+    "GPL-2.0": ["gpl/free", "gpl/terms", "gpl-2.0/version"],
+    "Apache-2.0": ["apache-2.0/notice", "apache-2.0/compliance"],
+    "MPL-2.0": ["mpl-2.0/notice"],
+}
+
+
+def test_licence_headers_are_found_however_they_are_wrapped(spark):
+    commented = lambda text, mark: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()), *(lambda t, m=m: commented(t, m) for m in (" *", "#", ";;", ";", "!"))]
+    rows = [(100 * k + w, f"{way(text)}\n\nint main;") for k, text in enumerate(WRAPPED.values()) for w, way in enumerate(ways)]
+    rows += [(9000, "Permission is hereby granted, free of charge\n\nto any person obtaining a copy"), (9001, "it is licensed under the MIT licensee")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(WRAPPED):
+        for w in range(len(ways)):
+            assert (name, w, got[100 * k + w]["identifiers"], got[100 * k + w]["licence"]) == (name, w, FOUND[name], name)
+    assert got[9000]["identifiers"] == got[9001]["identifiers"] == []
+    nested = licences.scan(spark.createDataFrame([(1, "so a b c a d")], "doc_id long, text string").withColumn("text", F.concat(F.lit("licence "), "text")), known={"a b": "1", "a b c": "2", "b c": "3", "d": "4"}, rules=(("X", ("2",)),)).first()
+    assert nested["identifiers"] == ["2", "3", "4"] and nested["licence"] == "X"
+
+
 def test_id_filter_misses_none(spark):
     ids = spark.range(0, 5000, 7)
     flags = jaccard.id_filter(ids, 1 << 12)
