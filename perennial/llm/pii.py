@@ -39,15 +39,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _HAS_DIGIT = re.compile("[0-9]")
+_HAS_SIGN = re.compile("[=:]")
+_AT_DOT = r"(?:@|at)\s?[\])]?\s?[a-z0-9-]{1,63}\s?[\[(]?\s?dot\s?[\])]?\s?[a-z]{2,10}(?![a-z])"
+_HAS_AT_DOT = re.compile(f"(?i){_AT_DOT}")
 
-#: Loose generators. A group named x is the span; without one the whole match is.
+#: Loose generators: kind, what any match holds (without it in the text none is sought), pattern. A group named x is the
+#: span; without one the whole match is. Values and tokens may be of any length: neither is begun anew within itself.
 GENERATORS = (
-    ("secret", re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?(?P<x>[^\s"',;]{6,200})""")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,200})(?![A-Za-z0-9+/_=-])")),
-    ("contact", re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")),
-    ("contact", re.compile(r"(?i)[a-z0-9._%+-]{1,64}\s?[\[(]?\s?(?:@|at)\s?[\])]?\s?[a-z0-9-]{1,63}\s?[\[(]?\s?dot\s?[\])]?\s?[a-z]{2,10}(?![a-z])")),
-    ("identity", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
-    ("identity", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("secret", _HAS_SIGN, re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?(?P<x>[^\s"',;]{6,})""")),
+    ("secret", _HAS_DIGIT, re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,})(?![A-Za-z0-9+/_=-])")),
+    ("contact", _HAS_DIGIT, re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")),
+    ("contact", _HAS_AT_DOT, re.compile(r"(?i)[a-z0-9._%+-]{1,64}\s?[\[(]?\s?" + _AT_DOT)),
+    ("identity", _HAS_DIGIT, re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
+    ("identity", _HAS_DIGIT, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 #: Words that speak for a kind when they stand shortly before a candidate.
 CUES = {
@@ -98,16 +102,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidates of all generators, each once."""
-    digits = _HAS_DIGIT.search(text) is not None
-    spelled = re.search(r"(?i)dot\b", text) is not None
-    if not digits and not spelled:
-        return []
-    found = {}
-    for k, (kind, pattern) in enumerate(GENERATORS):
-        if not (spelled if k == 3 else digits):
-            continue
-        for m in pattern.finditer(text):
-            found.setdefault((kind, *(m.span("x") if "x" in pattern.groupindex else m.span())))
+    found, held = {}, {}
+    for kind, need, pattern in GENERATORS:
+        if need not in held:
+            held[need] = need.search(text) is not None
+        if held[need]:
+            for m in pattern.finditer(text):
+                found.setdefault((kind, *(m.span("x") if "x" in pattern.groupindex else m.span())))
     return list(found)
 
 

@@ -218,6 +218,23 @@ def test_pii_adds_secrets_and_leaves_clean_text(spark, docs):
     assert [r["pii_redacted"] for r in rows] == [None, "", "mail [EMAIL] now"]
 
 
+def test_pii_values_and_tokens_are_whole_at_any_length(spark, docs):
+    r = random.Random(11)
+    long = "".join(r.choice("0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(320))
+    for text in (f"the token={long} went", f"so {long} went", f"api_key: {long * 20} went"):
+        value = max(text.split("=")[-1].split(), key=len)
+        start = text.index(value)
+        assert ("secret", start, start + len(value)) in pii.candidates(text)
+    selector = pii.fit(docs)
+    for text in (f"the token={long} went", f"so {long} went"):
+        assert long[200:] not in pii.redact(text, selector.added(text, [])) and pii.redact(text, selector.added(text, [])).endswith("[SECRET] went")
+    # What is proposed does not depend on digits or words elsewhere in the document.
+    for text in ("password: swordfish", "joe at example dotcom", "joe (at) example dot org", "api_key=abcdefgh"):
+        apart = pii.candidates(text)
+        assert apart and [c for c in pii.candidates(f"{text}\n\n7 . dot") if c[2] <= len(text)] == apart
+    assert pii.candidates("a" * 300_000) == [] and len(pii.candidates("token=" * 50_000)) == 1 and pii.candidates("1" * 300_000) == [("secret", 0, 300_000)]
+
+
 def test_token_counts_are_the_library_s(spark, docs):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
