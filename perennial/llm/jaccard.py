@@ -20,7 +20,6 @@ component; rows with equal ids count as one node; empty tables give no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,12 +218,13 @@ def in_filter(flags: np.ndarray):
     """A condition on an id column: might it be in id_filter()'s set? Never for a null."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(flags)
 
-    @F.pandas_udf(T.BooleanType())
-    def maybe(ids: pd.Series) -> pd.Series:
-        found = ids.notna().to_numpy().copy()
-        for place in _places(ids.fillna(0).to_numpy(), len(shared.value)):
-            found &= shared.value[place]
-        return pd.Series(found)
+    # On the Arrow column: as a pandas series, ids beside a null would be floats and lose what is above 2**53.
+    @F.arrow_udf(T.BooleanType())
+    def maybe(ids: pa.Array) -> pa.Array:
+        found = ids.is_valid().to_numpy(zero_copy_only=False)
+        for place in _places(ids.fill_null(0).to_numpy(), len(shared.value)):
+            found = found & shared.value[place]
+        return pa.array(found)
 
     return maybe
 

@@ -386,6 +386,24 @@ def test_id_filter_misses_none(spark):
     assert jaccard.id_filter(ids.limit(0)).sum() == 0
 
 
+def test_id_filter_takes_large_ids_beside_a_null(spark):
+    ids = [(1 << 62) + 3 * k + 1 for k in range(2000)] + [-(1 << 60) - k for k in range(50)]
+    kept = spark.createDataFrame([(i,) for i in ids], "id long")
+    maybe = jaccard.in_filter(jaccard.id_filter(kept))
+    beside = spark.createDataFrame([(i,) for i in [None, *ids, None]], "id long").coalesce(1)
+    assert {r["id"] for r in beside.where(maybe("id")).collect()} == set(ids)
+    assert beside.where(~maybe("id")).count() == 2  # as near_duplicates does: a row without an id stays
+
+
+def test_pipeline_drops_copies_with_large_ids_beside_a_null(spark):
+    import corpus_pipeline
+
+    copy, base = " ".join(f"w{k}" for k in range(40)), (1 << 62) + 1
+    rows = [(None, "a row without an id"), *((base + 2 * k, copy) for k in range(20)), (base + 99, "some other words of a text that has no copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(corpus_pipeline.near_duplicates(spark, docs, SF).toPandas()["text"]) == sorted([rows[0][1], copy, rows[-1][1]])
+
+
 def test_positions_never_lose_a_similar_pair():
     r = np.random.default_rng(7)
     for _ in range(2000):
