@@ -3,18 +3,26 @@
 A text's set holds its distinct 5-word shingles as 64-bit hashes. If two sets have a Jaccard similarity of 0.8 or
 more, then under any total order of the shingles their prefixes (the first n - ceil(0.8 n) + 1) share one. Three
 orders are used: rarest first by a count sketch of fixed size over the whole corpus, and the hashes of a bijection
-upwards and downwards. Candidates share a prefix shingle under the first order, at places that leave enough to share
-after them; what arrives for verification must share one under the other two orders as well before the whole sets are
-intersected.
-
-Texts with equal sets are one class and join as one. Groups of near copies can be large, so pairs are not listed
-outright: in a first round each class is compared with the candidate it shares most prefix shingles with among the
-leaders of its shingles; further rounds compare across the components found so far, and the last one takes every
-candidate pair whose ends are still in different components. So no link that matters to a component is left out,
-and pairs within a component are never verified again. No step puts all members of a shingle into one task.
+upwards and downwards. A pair is a candidate under the first order if it shares a prefix shingle at places that leave
+enough to share after them. Then the filters of the other two orders are intersected with it, still without any whole
+set: beside each class stand its prefixes under both, half the bits of a hash each, and a pair goes on only if both
+have a common entry, and if what they have in common, with all that lies outside the prefixes, can still reach 0.8.
+Only pairs that pass all three orders have their whole sets brought together and intersected.
+
+Texts with equal sets are one class and join as one. Of prefix shingles that the very same classes have, only the
+first in the order is kept (with their number): a pair that shares one shares all, so its first common shingle stays.
+Groups of near copies can be large, so pairs are not listed outright: in a first round each class is compared with the
+candidate it shares most prefix shingles with among the leaders of its shingles; further rounds compare across the
+components found so far, and the last one takes every candidate pair whose ends are still in different components.
+There the classes of a frequent shingle are dealt into blocks, each pair of blocks is a group of its own, and only
+similar pairs leave it. So no link that matters to a component is left out, pairs within
+a component are never verified again, and no step puts all members of a shingle into one task. Texts are read three
+times, whatever the number of rounds; the sets of classes with a candidate are written once.
 
 Defined results: no text or no words is an empty set, linked with nothing; a document without an id has no
-component; rows with equal ids count as one node; empty tables give no rows.
+component; rows with equal ids count as one node, whatever their texts, and repeated rows as one; texts of any length
+are read whole; other columns of any name are not looked at; empty tables give no rows. The sketch only orders: where
+a corpus is too large for its counters, prefixes are less selective, and results stay the same.
 """
 
 from __future__ import annotations
@@ -28,10 +36,12 @@ from pyspark.sql import types as T
 from . import groups as gr
 from . import textarrays as ta
 from .components import components
-from .shared import keyed, partitions_for, stored, table, text_bytes
+from .shared import keyed, partitions_for, stored, table
 
 #: Counters of the sketch, in so many slices.
 SKETCH, SLICES = 1 << 19, 32
+#: Classes of a frequent shingle that are compared at once, and pairs whose ids are broadcast to find their sets by.
+BLOCK, BROADCAST = 256, 500_000
 _CLASS = ("k1", "k2", "n")
 
 
@@ -66,67 +76,131 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
-    """Of sets sorted by one bijection of their hashes: prefixes upwards, then downwards, then the whole."""
+    """Of whole sets, sorted."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    p, q = prefix_length(len(a), percent), prefix_length(len(b), percent)
-    if not common(a[:p], b[:q]) or not common(a[-p:], b[-q:]):
-        return False
     both = common(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _batches(make, names: list[str], kinds: tuple):
-    """mapInArrow over slices of batches: make(part) gives rows."""
-
-    def run(batches):
-        for batch in batches:
-            for part in ta.slices(batch, "text"):
-                columns = list(zip(*make(part), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return run
-
-
-def classes_of(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, k1, k2, n): equal sets have an equal key."""
-
-    def make(part):
-        sets = shingle_sets(part.column("text"), size)
-        return [(d, *set_key(s), len(s)) for d, s in zip(part.column("doc_id").to_pylist(), sets, strict=True)]
-
-    return docs.mapInArrow(_batches(make, ["doc_id", *_CLASS], (pa.int64(), pa.int64(), pa.int64(), pa.int64())), "doc_id long, k1 long, k2 long, n long")
-
-
-def shingle_sketch(docs: DataFrame, size: int = 5) -> np.ndarray:
-    """Counts of shingles by hash bucket, over all documents: an array of SKETCH numbers, whatever the corpus."""
+def in_second_order(shingles: np.ndarray) -> np.ndarray:
+    """A set sorted by a bijection of its hashes: the second order upwards, the third downwards."""
+    return np.sort(ta.mix(shingles ^ np.uint64(0x6A09E667F3BCC909)))
+
+
+def ends_of(ordered: np.ndarray, percent: int = 80) -> np.ndarray:
+    """The prefixes under the second and the third order, one after the other, both upwards; upper 32 bits."""
+    p = prefix_length(len(ordered), percent)
+    return (np.concatenate((ordered[:p], ordered[-p:])) >> np.uint64(32)).astype("<u4")
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of a has in common with each of b, at least what whole hashes would have."""
+    left, right = (np.concatenate(x) for x in (a, b))
+    values = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = []
+    for lists, joined in ((a, left), (b, right)):
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        at = np.minimum(np.searchsorted(values, joined), max(0, len(values) - 1))
+        ok = values[at] == joined if len(values) else np.zeros(len(joined), bool)
+        order = np.argsort(at[ok], kind="stable")
+        places.append((owner[ok][order], at[ok][order], len(lists)))
+    for lo in range(0, len(values), 4096):  # a slice of the values at a time, so that no matrix grows with the texts
+        grids = []
+        for owner, at, n in places:
+            x, y = np.searchsorted(at, (lo, lo + 4096))
+            grid = np.zeros((n, min(4096, len(values) - lo)), np.float32)
+            grid[owner[x:y], at[x:y] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    twice = np.array([len(x) - len(np.unique(x)) for x in a])
+    return out.astype(np.int64) + twice[:, None]
+
+
+def pass_orders(a: list[np.ndarray], n: np.ndarray, b: list[np.ndarray], m: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Which of a (ends of sets of n shingles) and of b may be similar by the second and third order together? A matrix.
+
+    A shingle common to both sets lies in both prefixes or in neither, up to the smaller of their last values. So no
+    more is common than what the prefixes share under both orders and the rest of the smaller set."""
+    n, m = np.asarray(n, np.int64), np.asarray(m, np.int64)
+    rest, found, ok = [n[:, None], m[None, :]], 0, np.ones((len(a), len(b)), bool)
+    for up in (True, False):
+        one, other = ([x[: len(x) // 2] if up else x[len(x) // 2 :] for x in side] for side in (a, b))
+        both = _shared(one, other)
+        ok &= both > 0
+        found = found + both
+        reach = [np.array([x[-1 if up else 0] for x in side], np.int64) for side in (one, other)]
+        edge = np.minimum(reach[0][:, None], reach[1]) if up else np.maximum(reach[0][:, None], reach[1])
+        for k, side in enumerate((one, other)):
+            cuts = edge if not k else edge.T
+            inside = np.array([np.searchsorted(x, c, side="left") if up else len(x) - np.searchsorted(x, c, side="right") for x, c in zip(side, cuts, strict=True)], np.int64).reshape(cuts.shape)
+            rest[k] = rest[k] - (inside if not k else inside.T)
+    apart = (np.array([len(x) for x in a])[:, None] <= n[:, None]) & (np.array([len(x) for x in b])[None, :] <= m[None, :])
+    enough = (100 + percent) * (found + np.minimum(*rest)) >= percent * (n[:, None] + m[None, :])
+    sizes = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    return ok & sizes & (enough | ~apart)  # prefixes that overlap, at a low percentage, have no rest to count
+
+
+def passes_orders(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int = 80) -> bool:
+    """pass_orders() for one pair."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    found, rest, p, q = 0, [n, m], len(a) // 2, len(b) // 2
+    for x, y, up in ((a[:p], b[:q], True), (a[p:], b[q:], False)):
+        both = len(np.intersect1d(x, y))
+        if not both:
+            return False
+        found += both + p - len(np.unique(x))
+        edge = min(x[-1], y[-1]) if up else max(x[0], y[0])
+        for k, z in enumerate((x, y)):
+            rest[k] -= int(np.searchsorted(z, edge, side="left")) if up else len(z) - int(np.searchsorted(z, edge, side="right"))
+    return 2 * p > n or 2 * q > m or (100 + percent) * (found + min(rest)) >= percent * (n + m)
+
+
+def first_pass(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(doc_id, k1, k2, n) for each document, where equal sets have an equal key, and rows (slice, counts) of the
+    sketch of each task: counts of shingles by hash bucket, SKETCH numbers a task, whatever the corpus."""
+    names = ["doc_id", *_CLASS, "slice", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     each = SKETCH // SLICES
 
-    def emit(counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([counts[k * each : (k + 1) * each].tobytes() for k in range(SLICES)], pa.binary())], ["slice", "counts"])
-
-    def count(batches):
+    def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for part in ta.slices(batch, "text"):
-                data, offsets = ta.text_buffer(part.column("text"))
-                words = ta.Words(ta.LOWER[data], offsets)
-                windows = ta.window_hashes(words.hashes(), size)
-                total += np.bincount((windows[ta.window_starts(words.first, size)] >> np.uint64(45)).astype(np.int64), minlength=SKETCH)
-        yield emit(np.minimum(total, (1 << 32) - 1).astype("<u4"))
+                sets = shingle_sets(part.column("text"), size)
+                if sets:
+                    total += np.bincount((np.concatenate(sets) >> np.uint64(45)).astype(np.int64), minlength=SKETCH)
+                rows = list(zip(*(set_key(s) for s in sets), strict=True)) or [(), ()]
+                filled = [part.column("doc_id"), *rows, [len(s) for s in sets], [None] * len(sets), [None] * len(sets)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(filled, kinds, strict=True)], names)
+        if total.any():
+            counts = np.minimum(total, (1 << 32) - 1).astype("<u4")
+            slices = [counts[k * each : (k + 1) * each].tobytes() for k in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, k) for k in kinds[:4]), pa.array(range(SLICES), kinds[4]), pa.array(slices, kinds[5])], names)
+
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, slice int, counts binary")
+
+
+def summed_sketch(made: DataFrame) -> np.ndarray:
+    """The sketches of all tasks as one array: summed slice by slice, SKETCH numbers come to the driver."""
+    each = SKETCH // SLICES
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(blob, "<u4" if len(blob) == 4 * each else "<i8")
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+                raw = blob.as_buffer()
+                part = np.frombuffer(raw, "<u4" if raw.size == 4 * each else "<i8")
                 total[k] = total.get(k, 0) + part.astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "counts"])
 
-    rows = docs.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    schema = "slice int, counts binary"  # added up where they lie first, then slice by slice
+    parts = made.where("slice is not null").select("slice", "counts").mapInArrow(add, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
     out = np.zeros(SKETCH, np.int64)
-    for k, blob in rows:
+    for k, blob in parts.collect():
         out[k * each : (k + 1) * each] += np.frombuffer(blob, "<i8")
     return out
 
@@ -143,7 +217,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int =
                 for s in shingle_sets(part.column("text"), size):
                     if not len(s) or (key := (*set_key(s), len(s))) in seen:
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen.add(key)
                     p = prefix_length(len(s), percent)
@@ -156,8 +230,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int =
 
 
 def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFrame:
-    """(token, id, n, pos) for each prefix shingle that two classes or more have; id is the class's smallest document,
-    pos the shingle's place in its order."""
+    """(token, k, id, n, pos) for each prefix shingle that two classes or more have; k is of the class's key, id its
+    smallest document, pos the shingle's place in its order."""
     n_buckets = max(1, n_groups // 2)
     by_group = found.withColumn("g", F.pmod("k1", F.lit(n_groups))).groupBy("g")
     ids = classes.withColumn("g", F.pmod("k1", F.lit(n_groups)))
@@ -189,29 +263,51 @@ def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFr
         size = np.array([k[2] for k in keys] or [0], np.int64)
         known = np.array([k in ids for k in keys] or [False])
         at = at[known[owner[at]]]
-        return pa.table([pa.array(tokens[at].astype(np.int64)), pa.array(node[owner[at]]), pa.array(size[owner[at]]), pa.array(place[at])], ["token", "id", "n", "pos"])
+        k1 = np.array([k[0] for k in keys] or [0], np.int64)
+        columns = (tokens[at].astype(np.int64), k1[owner[at]], node[owner[at]], size[owner[at]], place[at])
+        return pa.table([pa.array(c) for c in columns], ["token", "k", "id", "n", "pos"])
 
     none = F.lit(None)
     more = repeated.select("g", "tag", "bucket", "bits", *(none.cast("long").alias(c) for c in (*_CLASS, "id")))
     more = more.unionByName(ids.select("g", none.cast("int").alias("tag"), none.cast("int").alias("bucket"), none.cast("binary").alias("bits"), *_CLASS, "id"))
-    return by_group.cogroup(more.groupBy("g")).applyInArrow(emit, "token long, id long, n long, pos long")
+    return by_group.cogroup(more.groupBy("g")).applyInArrow(emit, "token long, k long, id long, n long, pos long")
+
 
+def thinned(tokens: DataFrame) -> DataFrame:
+    """(token, id, n, pos, w): of shingles that the very same classes have, the first in the order and how many there are.
+    Lists of classes are told apart by their length, ends and two sums of hashes; shingles of one class go."""
+    h, low = F.xxhash64("k"), F.lit((1 << 31) - 1)
+    sums = [F.sum(x.bitwiseAND(low)).alias(c) for c, x in (("x", h), ("y", F.shiftrightunsigned(h, 31)))]
+    lists = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("k").alias("lo"), F.max("k").alias("hi"), *sums, F.sum("pos").alias("at")).where("m > 1")
+    first = lists.groupBy("m", "lo", "hi", "x", "y").agg(F.min_by("token", "at").alias("token"), F.count("*").alias("w"))
+    return tokens.drop("k").join(first.select("token", "w"), "token")
 
-def id_filter(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter of fixed size of the ids: it only saves moving texts that no pair needs."""
+
+def id_filter(ids: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A Bloom filter of the ids, packed: it only saves moving texts that no pair needs. It grows with their number up to
+    16 MB; beyond, more texts pass than need to."""
+    if bits is None:
+        bits = 1 << min(27, max(16, (16 * ids.count()).bit_length()))
 
     def fill(batches):
-        flags = np.zeros(bits, bool)
+        flags = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for place in _places(batch.column("id").to_numpy(zero_copy_only=False), bits):
-                flags[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bits"])
+            for at in _places(batch.column("id").to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([flags.tobytes()], pa.binary())], ["bits"])
 
-    rows = ids.select("id").coalesce(8).mapInArrow(fill, "bits binary").collect()
     out = np.zeros(bits // 8, np.uint8)
-    for (blob,) in rows:
+    for (blob,) in ids.select("id").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         out |= np.frombuffer(blob, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
+
+
+def _maybe(flags: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Might each id be in the set of the filter? Never a null."""
+    found = ids.is_valid().to_numpy(zero_copy_only=False)
+    for at in _places(ids.fill_null(0).to_numpy(), 8 * len(flags)):
+        found = found & (flags[at >> 3] >> (at & 7) & 1).astype(bool)
+    return found
 
 
 def in_filter(flags: np.ndarray):
@@ -221,10 +317,7 @@ def in_filter(flags: np.ndarray):
     # On the Arrow column: as a pandas series, ids beside a null would be floats and lose what is above 2**53.
     @F.arrow_udf(T.BooleanType())
     def maybe(ids: pa.Array) -> pa.Array:
-        found = ids.is_valid().to_numpy(zero_copy_only=False)
-        for place in _places(ids.fill_null(0).to_numpy(), len(shared.value)):
-            found = found & shared.value[place]
-        return pa.array(found)
+        return pa.array(_maybe(shared.value, ids))
 
     return maybe
 
@@ -234,36 +327,60 @@ def _places(ids: np.ndarray, bits: int):
     return [(h >> np.uint64(s)).astype(np.int64) & (bits - 1) for s in (0, 29)]
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The pairs (hub, spoke) that are similar, as (a, b). A spoke's set moves once a pair, a hub's once."""
-    ends = pairs.select(F.explode(F.array("hub", "spoke")).alias("id"))
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ends))
+def sets_of(docs: DataFrame, ids: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, k1, k2, n, ends, whole) of the documents of `ids`, written once: whole is the set in the second order."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-    def sets(batches):
-        flags = wanted.value
+    def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            keep = np.ones(len(ids), bool)
-            for place in _places(ids, len(flags)):
-                keep &= flags[place]
-            for part in ta.slices(batch.filter(pa.array(keep)), "text"):
-                # Sorted by a bijection of the hashes: the second order upwards, the third downwards.
-                made = [np.sort(ta.mix(s ^ np.uint64(0x6A09E667F3BCC909))).astype("<u8").tobytes() for s in shingle_sets(part.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "shingles"])
-
-    # Pairs and sets both grow with the corpus: they meet by shuffles at every size, and no plan changes with it.
-    sets_of = docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary").hint("merge")
-    hub_sets = sets_of.withColumnRenamed("doc_id", "hub").join(pairs.select("hub").distinct(), "hub", "left_semi").hint("merge")
-    spoke_sets = pairs.join(sets_of.select(F.col("doc_id").alias("spoke"), F.col("shingles").alias("others")), "spoke")
-
-    def check(batches):
+            for part in ta.slices(batch.filter(pa.array(_maybe(wanted.value, batch.column("doc_id")))), "text"):
+                rows = []
+                for s in shingle_sets(part.column("text"), size):
+                    ordered = in_second_order(s)
+                    rows.append((*set_key(s), len(s), ends_of(ordered, percent).tobytes() if len(s) else b"", ordered.astype("<u8").tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *_CLASS, "ends", "whole"])
+
+    made = stored(docs.where("doc_id is not null").mapInArrow(run, "id long, k1 long, k2 long, n long, ends binary, whole binary").where("n > 0"))
+    once = made.groupBy("id", *_CLASS).agg(F.count("*").alias("c")).where("c > 1").select("id")
+    if once.isEmpty():
+        return made
+    # Repeated rows would meet in all their pairs: of each such id and class one stays.
+    repeated = made.join(once.distinct(), "id", "left_semi").groupBy("id", *_CLASS).agg(F.first("ends").alias("ends"), F.first("whole").alias("whole"))
+    return stored(made.join(once.distinct(), "id", "left_anti").unionByName(repeated))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (hub, spoke) with n and a column of either's set. Pairs and sets both grow with the corpus: they meet by
+    shuffles. Only the ids of pairs known to be few are broadcast, so that other sets are not moved."""
+    ids = pairs.select(F.explode(F.array("hub", "spoke")).alias("id")).distinct()
+    if pairs.count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    needed = sets.select("id", "n", column).join(ids, "id", "left_semi").hint("merge")
+    both = pairs.join(needed.toDF("spoke", "m", "theirs"), "spoke")
+    return both.join(needed.toDF("hub", "n", "mine"), "hub").select("hub", "spoke", "n", "mine", "m", "theirs")
+
+
+def _holding(test, kind: str):
+    """mapInArrow that keeps the pairs for which test(mine, n, theirs, m) holds."""
+
+    def run(batches):
         for batch in batches:
-            hub, spoke = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "spoke"))
-            sets = [batch.column(c) for c in ("shingles", "others")]
-            ok = np.array([similar(*(np.frombuffer(s[i].as_buffer(), "<u8") for s in sets), percent) for i in range(batch.num_rows)], bool)
-            yield pa.RecordBatch.from_arrays([pa.array(hub[ok]), pa.array(spoke[ok])], ["a", "b"])
+            mine, theirs = batch.column("mine"), batch.column("theirs")
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            ok = np.array([test(np.frombuffer(mine[i].as_buffer(), kind), int(n[i]), np.frombuffer(theirs[i].as_buffer(), kind), int(m[i])) for i in range(batch.num_rows)], bool)
+            yield batch.select(["hub", "spoke"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
 
-    return spoke_sets.join(hub_sets, "hub").select("hub", "spoke", "shingles", "others").mapInArrow(check, "a long, b long")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs (hub, spoke) that are similar, as (a, b): those that pass the second and third order by whole sets."""
+    kept = "hub long, spoke long"
+    close = stored(_with_sets(pairs, sets, "ends").mapInArrow(_holding(lambda a, n, b, m: passes_orders(a, n, b, m, percent), "<u4"), kept))
+    found = _with_sets(close, sets, "whole").mapInArrow(_holding(lambda a, n, b, m: similar(a, b, percent), "<u8"), kept)
+    return stored(found.distinct().toDF("a", "b"))
 
 
 def _fits(n: str, i: str, m: str, j: str, percent: int):
@@ -275,7 +392,7 @@ def _fits(n: str, i: str, m: str, j: str, percent: int):
 
 def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
     """One pair for each class outside the largest component of one of its shingles: with that component's leader
-    that it shares most shingles with. tokens: (token, id, n, pos, label)."""
+    that it shares most shingles with. tokens: (token, id, n, pos, w, label)."""
     # The earlier a common shingle stands, the fewer rarer ones, its own edits, come before it: the nearer the set is
     # to what its group has in common, and the likelier to be similar to its members.
     rank = F.struct("pos", "n", "id") if not turn else F.struct(F.floor(F.col("pos") / 4), F.xxhash64("id", F.lit(turn)), "id")
@@ -286,35 +403,69 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
         best = groups.groupBy("token").agg(F.min_by(F.struct("lead", "label"), F.struct("lead.pos", "lead.n", "lead.id")).alias("top"), F.count("*").alias("labels"))
     best = best.where("labels > 1").select("token", F.col("top.lead.id").alias("hub"), F.col("top.lead.n").alias("hub_n"), F.col("top.lead.pos").alias("hub_pos"), F.col("top.label").alias("hub_label"))
     pairs = tokens.join(best, "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
-    counts = pairs.groupBy("id", "hub").agg(F.count("*").alias("c"))
+    counts = pairs.groupBy("id", "hub").agg(F.sum("w").alias("c"))
     return counts.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", F.col("id").alias("spoke"))
 
 
-def all_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair whose ends are in different components: an equal shingle, at places that fit."""
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = tokens.join(mixed, "token").select("token", "id", "n", "pos", "label")
-    other = rows.toDF("token", "id2", "n2", "pos2", "label2")
+def all_pairs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair whose ends are in different components: an equal shingle, at places that fit. Of a frequent
+    shingle only those that are similar: they are compared block by block, by all three orders and then whole."""
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
+    rows = tokens.join(mixed, "token").select("token", "id", "n", "pos", "label", "m")
+    few = rows.where(F.col("m") <= BLOCK).drop("m")
+    other = few.toDF("token", "id2", "n2", "pos2", "label2")
     larger = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
     hit = larger & (F.col("label") != F.col("label2")) & _fits("n", "pos", "n2", "pos2", percent)
-    return rows.join(other, "token").where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke")).distinct()
+    listed = few.join(other, "token").where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke"))
+
+    # A shingle of m classes: blocks of about half of BLOCK by a hash of the id, and a group for each pair of blocks.
+    many = rows.where(F.col("m") > BLOCK).withColumn("blocks", F.ceil(2 * F.col("m") / BLOCK))
+    many = many.withColumn("b", F.pmod(F.xxhash64("id", "token"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.join(sets.select("id", "n", "whole"), ["id", "n"]).select("token", "id", "n", "pos", "label", "whole", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        block, x, y = rows.column("b").to_numpy(), key[1].as_py(), key[2].as_py()
+        sides = [np.flatnonzero(block == k) for k in (x, y)]
+        ids, n, pos, label = (rows.column(c).to_numpy() for c in ("id", "n", "pos", "label"))
+        whole = [np.frombuffer(e.as_buffer(), "<u8") for e in rows.column("whole")]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"hub": pa.array([], pa.int64()), "spoke": pa.array([], pa.int64())})
+        a, b = (side[:, None] if not k else side[None, :] for k, side in enumerate(sides))
+        rest = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b])
+        ok = (label[a] != label[b]) & ((100 + percent) * rest >= percent * (n[a] + n[b]))
+        ends = [[ends_of(whole[i], percent) for i in side] for side in sides]
+        ok &= pass_orders(ends[0], n[sides[0]], ends[1], n[sides[1]], percent)
+        if x == y:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        i, j = np.nonzero(ok)
+        i, j = sides[0][i], sides[1][j]
+        near = np.array([similar(whole[p], whole[q], percent) for p, q in zip(i, j, strict=True)], bool)
+        i, j = i[near], j[near]
+        swap = (n[i] > n[j]) | ((n[i] == n[j]) & (ids[i] > ids[j]))
+        return pa.table({"hub": pa.array(np.where(swap, ids[i], ids[j]), pa.int64()), "spoke": pa.array(np.where(swap, ids[j], ids[i]), pa.int64())})
+
+    blocked = many.groupBy("token", "x", "y").applyInArrow(compare, "hub long, spoke long")
+    return listed.unionByName(blocked).distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, turns: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     rows = keyed(docs, key, text)
-    n_groups = partitions_for(text_bytes(rows), 16 << 20, 1)
-    members = stored(classes_of(rows, size))
-    classes = members.where("n > 0 and doc_id is not null").groupBy(*_CLASS).agg(F.min("doc_id").alias("id"))
-    found = prefixes(rows, shingle_sketch(rows, size), size, percent)
-    tokens = stored(shared_tokens(found, classes, n_groups))
+    made = stored(first_pass(rows, size))
+    members = made.where("slice is null").select("doc_id", *_CLASS)
+    n_groups = partitions_for(6 * (members.agg(F.sum("n")).first()[0] or 0), 16 << 20, 1)
+    # A table of its own, not an aggregate within later joins: so that Spark can split a class that many rows have.
+    classes = stored(members.where("n > 0 and doc_id is not null").groupBy(*_CLASS).agg(F.min("doc_id").alias("id")))
+    found = prefixes(rows, summed_sketch(made), size, percent)
+    tokens = stored(thinned(stored(shared_tokens(found, classes, n_groups))))
+    sets = sets_of(rows, tokens.select("id").distinct(), size, percent)
     labels = edges = done = None
     turn, last = 0, False
     while True:
         labelled = tokens.withColumn("label", F.col("id"))
         if labels is not None:
             labelled = tokens.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pairs = all_pairs(labelled, percent) if last else leader_pairs(labelled, percent, turn)
+        pairs = all_pairs(labelled, sets, percent) if last else leader_pairs(labelled, percent, turn)
         if done is not None:
             tried = done.select(F.least("hub", "spoke").alias("x"), F.greatest("hub", "spoke").alias("y"))
             pairs = pairs.join(tried, (F.least("hub", "spoke") == F.col("x")) & (F.greatest("hub", "spoke") == F.col("y")), "left_anti")
@@ -322,7 +473,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         n_pairs = pairs.count()
         n_new = 0
         if n_pairs:
-            new = stored(verify(rows, pairs, size, percent))
+            new = verify(pairs, sets, percent)
             n_new = new.count()
             done = pairs if done is None else done.unionByName(pairs)
             edges = new if edges is None else edges.unionByName(new)
@@ -333,9 +484,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         # Another round of leaders for as long as they link at least a tenth of what they are compared with.
         turn += 1
         last = turn >= turns or 10 * n_new < n_pairs or not n_pairs
-    out = members.join(classes, [*_CLASS], "left")
     if labels is not None:
-        out = out.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id"))
+        classes = stored(classes.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id")).select(*_CLASS, "id"))
+    out = members.join(classes, [*_CLASS], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("component_id"))
 
 

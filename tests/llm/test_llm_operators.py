@@ -160,6 +160,58 @@ def test_jaccard_join_is_brute_force(spark, docs, texts):
     assert jaccard.link(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_in_blocks_and_with_repeated_ids(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "BROADCAST", 3)
+    base = [f"b{i}" for i in range(200)]
+    r = random.Random(9)
+    rows = [(9300 + k, " ".join(w if r.random() > 0.004 * (k % 9) else f"x{r.randrange(9999)}" for w in base)) for k in range(60)]
+    df = spark.createDataFrame([*texts, *rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(df, turns=1).collect()}
+    assert got.pop(None) == (1, None)
+    assert got == _jaccard([*texts, *rows])
+    # Repeated rows, and one id with two texts that link with different documents: all is one node.
+    twice = [*rows[:2], *rows[:2], (9500, rows[0][1] + " tail"), (9500, " ".join(f"y{i}" for i in range(50))), (9501, " ".join(f"y{i}" for i in range(51)))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(spark.createDataFrame(twice, "doc_id long, text string")).collect()}
+    assert {c for d, _, c in got if d in (9300, 9500, 9501)} == {9300} and len(got) == 5
+
+
+def test_template_pages_make_no_quadratic_list_of_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    blocks = [" ".join(f"t{b}w{i}" for i in range(40)) for b in range(14)]
+    listed = []
+    verify = jaccard.verify
+    monkeypatch.setattr(jaccard, "BLOCK", 8)  # up to half of it may be listed for a class and shingle
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *a: listed.append(pairs.count()) or verify(pairs, *a))
+    for n in (300, 600):
+        listed.append(0)
+        rows = [(k, " ".join(r.sample(blocks, 8))) for k in range(n)]
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n == 300:
+            assert got == _jaccard(rows)
+        assert sum(listed) < 8 * n
+        listed.clear()
+
+
+def test_orders_never_lose_a_similar_pair():
+    r = np.random.default_rng(8)
+    sets = []
+    for k in range(60):
+        base = np.random.default_rng(k // 6).integers(0, 1 << 63, [1, 2, 3, 7, 60, 400][k % 6] if k < 30 else 150, dtype=np.uint64)
+        sets.append(jaccard.in_second_order(np.unique(np.concatenate((base[r.random(len(base)) > 0.06 * r.random()], r.integers(0, 1 << 63, r.integers(0, 1 + len(base) // 12), dtype=np.uint64), base[:1])))))
+    for percent in (40, 80, 95):
+        ends, n = [jaccard.ends_of(s, percent) for s in sets], np.array([len(s) for s in sets])
+        grid = jaccard.pass_orders(ends, n, ends, n, percent)
+        linked = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert grid[i, j] == jaccard.passes_orders(ends[i], n[i], ends[j], n[j], percent)
+                if jaccard.similar(a, b, percent):
+                    linked += 1
+                    assert grid[i, j]
+        assert linked >= 60 and not grid.all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     assert {r["label"] for r in components.components(edges).collect()} == {0}
