@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .shared import cut, keyed, table
+from .shared import cut, keyed, small_batches, table
 
 STATE = "doc_id long, text string, hit binary, items array<string>"
 FOUND = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
@@ -129,7 +129,7 @@ def _pass(index, last: bool):
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 64 << 20, carry: str | None = None) -> DataFrame:
     """Per document: n_words, n_hit, the items found, the hit spans (bytes of the text) and the text without them.
     The column `carry`, such as a struct of the whole row, comes along as `carried`."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textarrays as ta
 from .shared import keyed, partitions_for, text_bytes
 
 #: Bytes of text in a group, and entries in a bucket, that a worker holds at once in the mean.
@@ -119,6 +120,7 @@ def answer_repeated(asked: DataFrame, tag: int) -> DataFrame:
     """BITS: the hashes that two groups or more have (40 bits and the bucket's are compared: now and then one too many)."""
 
     def answer(rows: pa.Table) -> pa.Table:
+        ta.release()
         rows = rows.sort_by("g")
         parts = [from_low_bytes(b, 5) for b in rows.column("hashes").to_pylist()]
         hashes = np.concatenate(parts)

@@ -16,8 +16,8 @@ candidate it shares most prefix shingles with among the leaders of its shingles;
 components found so far, and the last one takes every candidate pair whose ends are still in different components.
 There the classes of a frequent shingle are dealt into blocks, each pair of blocks is a group of its own, and only
 similar pairs leave it. So no link that matters to a component is left out, pairs within
-a component are never verified again, and no step puts all members of a shingle into one task. Texts are read three
-times, whatever the number of rounds; the sets of classes with a candidate are written once.
+a component are never verified again, and no step puts all members of a shingle into one task. What
+stands beside the classes is written once; whole sets are made from the texts of the pairs that need them.
 
 Defined results: no text or no words is an empty set, linked with nothing; a document without an id has no
 component; rows with equal ids count as one node, whatever their texts, and repeated rows as one; texts of any length
@@ -40,8 +40,8 @@ from .shared import keyed, partitions_for, stored, table
 
 #: Counters of the sketch, in so many slices.
 SKETCH, SLICES = 1 << 19, 32
-#: Classes of a frequent shingle that are compared at once, and pairs whose ids are broadcast to find their sets by.
-BLOCK, BROADCAST = 256, 500_000
+#: Classes of a frequent shingle that are compared at once.
+BLOCK = 256
 _CLASS = ("k1", "k2", "n")
 
 
@@ -217,7 +217,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int = 5, percent: int =
                 for s in shingle_sets(part.column("text"), size):
                     if not len(s) or (key := (*set_key(s), len(s))) in seen:
                         continue
-                    if len(seen) > 50_000:
+                    if len(seen) > 20_000:
                         seen.clear()
                     seen.add(key)
                     p = prefix_length(len(s), percent)
@@ -247,11 +247,13 @@ def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFr
         return np.concatenate([none.astype("<u8"), *parts]), np.repeat(np.arange(len(keys)), [len(p) for p in parts]), np.concatenate([none, *(np.arange(1, len(p) + 1) for p in parts)]), keys
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        ta.release()
         return gr.ask_repeated(key[0].as_py(), gr.Distinct(tokens_of(rows)[0]), n_buckets)
 
     repeated = gr.answer_repeated(by_group.applyInArrow(ask, gr.HASHES), 0)
 
     def emit(key: tuple, rows: pa.Table, more: pa.Table) -> pa.Table:
+        ta.release()
         tokens, owner, place, keys = tokens_of(rows)
         distinct = gr.Distinct(tokens)
         bits = more.filter(more.column("bits").is_valid())
@@ -280,7 +282,7 @@ def thinned(tokens: DataFrame) -> DataFrame:
     sums = [F.sum(x.bitwiseAND(low)).alias(c) for c, x in (("x", h), ("y", F.shiftrightunsigned(h, 31)))]
     lists = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("k").alias("lo"), F.max("k").alias("hi"), *sums, F.sum("pos").alias("at")).where("m > 1")
     first = lists.groupBy("m", "lo", "hi", "x", "y").agg(F.min_by("token", "at").alias("token"), F.count("*").alias("w"))
-    return tokens.drop("k").join(first.select("token", "w"), "token")
+    return tokens.drop("k").join(first.select("token", "w").hint("shuffle_hash"), "token")
 
 
 def id_filter(ids: DataFrame, bits: int | None = None) -> np.ndarray:
@@ -327,39 +329,37 @@ def _places(ids: np.ndarray, bits: int):
     return [(h >> np.uint64(s)).astype(np.int64) & (bits - 1) for s in (0, 29)]
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, k1, k2, n, ends, whole) of the documents of `ids`, written once: whole is the set in the second order."""
+def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool, whole: bool, size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n, shingles) of the documents of `ids`: their sets in the second order, or just the ends. `repeated`: are
+    there rows with one id and one set? They would meet in all their pairs, so that one of them stays."""
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
         for batch in batches:
             for part in ta.slices(batch.filter(pa.array(_maybe(wanted.value, batch.column("doc_id")))), "text"):
                 rows = []
                 for s in shingle_sets(part.column("text"), size):
-                    ordered = in_second_order(s)
-                    rows.append((*set_key(s), len(s), ends_of(ordered, percent).tobytes() if len(s) else b"", ordered.astype("<u8").tobytes()))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *_CLASS, "ends", "whole"])
-
-    made = stored(docs.where("doc_id is not null").mapInArrow(run, "id long, k1 long, k2 long, n long, ends binary, whole binary").where("n > 0"))
-    once = made.groupBy("id", *_CLASS).agg(F.count("*").alias("c")).where("c > 1").select("id")
-    if once.isEmpty():
-        return made
-    # Repeated rows would meet in all their pairs: of each such id and class one stays.
-    repeated = made.join(once.distinct(), "id", "left_semi").groupBy("id", *_CLASS).agg(F.first("ends").alias("ends"), F.first("whole").alias("whole"))
-    return stored(made.join(once.distinct(), "id", "left_anti").unionByName(repeated))
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """The pairs (hub, spoke) with n and a column of either's set. Pairs and sets both grow with the corpus: they meet by
-    shuffles. Only the ids of pairs known to be few are broadcast, so that other sets are not moved."""
-    ids = pairs.select(F.explode(F.array("hub", "spoke")).alias("id")).distinct()
-    if pairs.count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    needed = sets.select("id", "n", column).join(ids, "id", "left_semi").hint("merge")
-    both = pairs.join(needed.toDF("spoke", "m", "theirs"), "spoke")
-    return both.join(needed.toDF("hub", "n", "mine"), "hub").select("hub", "spoke", "n", "mine", "m", "theirs")
+                    ordered = in_second_order(s).astype("<u8")
+                    rows.append((*set_key(s), len(s), (ordered if whole or not len(s) else ends_of(ordered, percent)).tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *_CLASS, "shingles"])
+
+    made = docs.where("doc_id is not null").mapInArrow(run, "id long, k1 long, k2 long, n long, shingles binary").where("n > 0")
+    if repeated:
+        made = made.groupBy("id", *_CLASS).agg(F.first("shingles").alias("shingles"))
+    return made.select("id", "n", "shingles")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("hub", "spoke")).alias("id")).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (hub, spoke) with n and shingles of both. Pairs and sets both grow with the corpus: they meet by shuffles.
+    Hashed, not sorted: an id has one set, so the hashed side is even, and sets are not copied into sort buffers."""
+    both = pairs.join(sets.toDF("spoke", "m", "theirs").hint("shuffle_hash"), "spoke")
+    return both.join(sets.toDF("hub", "n", "mine").hint("shuffle_hash"), "hub").select("hub", "spoke", "n", "mine", "m", "theirs")
 
 
 def _holding(test, kind: str):
@@ -371,15 +371,17 @@ def _holding(test, kind: str):
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
             ok = np.array([test(np.frombuffer(mine[i].as_buffer(), kind), int(n[i]), np.frombuffer(theirs[i].as_buffer(), kind), int(m[i])) for i in range(batch.num_rows)], bool)
             yield batch.select(["hub", "spoke"]).filter(pa.array(ok, pa.bool_()))
+            ta.release()
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (hub, spoke) that are similar, as (a, b): those that pass the second and third order by whole sets."""
+def verify(pairs: DataFrame, ends: DataFrame, sets, percent: int = 80) -> DataFrame:
+    """The pairs (hub, spoke) that are similar, as (a, b): those that pass the second and third order by whole sets.
+    sets: gives the whole sets of a table of ids."""
     kept = "hub long, spoke long"
-    close = stored(_with_sets(pairs, sets, "ends").mapInArrow(_holding(lambda a, n, b, m: passes_orders(a, n, b, m, percent), "<u4"), kept))
-    found = _with_sets(close, sets, "whole").mapInArrow(_holding(lambda a, n, b, m: similar(a, b, percent), "<u8"), kept)
+    close = stored(_with_sets(pairs, ends).mapInArrow(_holding(lambda a, n, b, m: passes_orders(a, n, b, m, percent), "<u4"), kept))
+    found = _with_sets(close, sets(_ids(close))).mapInArrow(_holding(lambda a, n, b, m: similar(a, b, percent), "<u8"), kept)
     return stored(found.distinct().toDF("a", "b"))
 
 
@@ -402,12 +404,12 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
     else:  # every class is a component of its own yet
         best = groups.groupBy("token").agg(F.min_by(F.struct("lead", "label"), F.struct("lead.pos", "lead.n", "lead.id")).alias("top"), F.count("*").alias("labels"))
     best = best.where("labels > 1").select("token", F.col("top.lead.id").alias("hub"), F.col("top.lead.n").alias("hub_n"), F.col("top.lead.pos").alias("hub_pos"), F.col("top.label").alias("hub_label"))
-    pairs = tokens.join(best, "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
+    pairs = tokens.join(best.hint("shuffle_hash"), "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
     counts = pairs.groupBy("id", "hub").agg(F.sum("w").alias("c"))
     return counts.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", F.col("id").alias("spoke"))
 
 
-def all_pairs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def all_pairs(tokens: DataFrame, sets, percent: int) -> DataFrame:
     """Every candidate pair whose ends are in different components: an equal shingle, at places that fit. Of a frequent
     shingle only those that are similar: they are compared block by block, by all three orders and then whole."""
     mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
@@ -419,15 +421,19 @@ def all_pairs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     listed = few.join(other, "token").where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke"))
 
     # A shingle of m classes: blocks of about half of BLOCK by a hash of the id, and a group for each pair of blocks.
-    many = rows.where(F.col("m") > BLOCK).withColumn("blocks", F.ceil(2 * F.col("m") / BLOCK))
-    many = many.withColumn("b", F.pmod(F.xxhash64("id", "token"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.join(sets.select("id", "n", "whole"), ["id", "n"]).select("token", "id", "n", "pos", "label", "whole", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    many = rows.where(F.col("m") > BLOCK)
+    if many.isEmpty():
+        return listed.distinct()
+    whole = sets(many.select("id").distinct())
+    many = many.withColumn("blocks", F.ceil(2 * F.col("m") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("id", "token"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.join(whole, ["id", "n"]).select("token", "id", "n", "pos", "label", "shingles", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        ta.release()
         block, x, y = rows.column("b").to_numpy(), key[1].as_py(), key[2].as_py()
         sides = [np.flatnonzero(block == k) for k in (x, y)]
         ids, n, pos, label = (rows.column(c).to_numpy() for c in ("id", "n", "pos", "label"))
-        whole = [np.frombuffer(e.as_buffer(), "<u8") for e in rows.column("whole")]
+        whole = [np.frombuffer(e.as_buffer(), "<u8") for e in rows.column("shingles")]
         if not len(sides[0]) or not len(sides[1]):
             return pa.table({"hub": pa.array([], pa.int64()), "spoke": pa.array([], pa.int64())})
         a, b = (side[:, None] if not k else side[None, :] for k, side in enumerate(sides))
@@ -453,18 +459,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     rows = keyed(docs, key, text)
     made = stored(first_pass(rows, size))
     members = made.where("slice is null").select("doc_id", *_CLASS)
-    n_groups = partitions_for(6 * (members.agg(F.sum("n")).first()[0] or 0), 16 << 20, 1)
+    n_groups = partitions_for(6 * (members.agg(F.sum("n")).first()[0] or 0), 8 << 20, 1)
     # A table of its own, not an aggregate within later joins: so that Spark can split a class that many rows have.
     classes = stored(members.where("n > 0 and doc_id is not null").groupBy(*_CLASS).agg(F.min("doc_id").alias("id")))
     found = prefixes(rows, summed_sketch(made), size, percent)
     tokens = stored(thinned(stored(shared_tokens(found, classes, n_groups))))
-    sets = sets_of(rows, tokens.select("id").distinct(), size, percent)
+    repeated = not members.where("n > 0 and doc_id is not null").groupBy("doc_id", *_CLASS).count().where("count > 1").isEmpty()
+    ends = stored(sets_of(rows, tokens.select("id").distinct(), repeated, False, size, percent))
+    sets = lambda ids: sets_of(rows, ids, repeated, True, size, percent)
     labels = edges = done = None
     turn, last = 0, False
     while True:
         labelled = tokens.withColumn("label", F.col("id"))
         if labels is not None:
-            labelled = tokens.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            labelled = tokens.join(labels.hint("shuffle_hash"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         pairs = all_pairs(labelled, sets, percent) if last else leader_pairs(labelled, percent, turn)
         if done is not None:
             tried = done.select(F.least("hub", "spoke").alias("x"), F.greatest("hub", "spoke").alias("y"))
@@ -473,7 +481,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         n_pairs = pairs.count()
         n_new = 0
         if n_pairs:
-            new = verify(pairs, sets, percent)
+            new = verify(pairs, ends, sets, percent)
             n_new = new.count()
             done = pairs if done is None else done.unionByName(pairs)
             edges = new if edges is None else edges.unionByName(new)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .shared import table
+from .shared import small_batches, table
 
 BUCKETS = 1 << 15
 #: Scripts by the first byte of their characters in UTF-8 (fixed values of the encoding); the rest is one class.
@@ -139,7 +139,7 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 12_000, learnable: Column | None = None) -> Model:
     """A model from labelled documents for which `learnable` holds (default: all with a key)."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if learnable is None else learnable).alias("ok"))
+    rows = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if learnable is None else learnable).alias("ok"))
     rows = rows.where("ok and lang is not null and doc_id is not null")
     n = rows.select("lang").count()
     if n > sample:
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", penalty: float = 12.0) -> DataFrame:
     """All columns of docs with lang_pred, lang_score and lang_spans (start and end in bytes of the text, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def label(held: list, model: Model):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .shared import table
+from .shared import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "contact", "identity")
@@ -274,7 +274,7 @@ def train(rows: list[tuple[str, list[float], int]], precision: float = 0.98) ->
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4_000) -> Selector:
     """A selector from the seeds and about `sample` documents with a digit."""
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
+    rows = small_batches(docs).select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("k", F.lit(13)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
@@ -309,7 +309,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame:
     """All columns of docs with pii_base, pii_added (kind, start, end in code points) and pii_redacted."""
-    shared = docs.sparkSession.sparkContext.broadcast(selector)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(selector)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):

@@ -15,9 +15,9 @@ without words, marks or lines are 0; rows are independent, so repeats and null k
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import keyed, table
 
+if TYPE_CHECKING:  # pandas is needed on the driver only, where Spark brings it
+    import pandas as pd
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
 #: The statistics that rules may use: (name, numerator, denominator).
 RATIOS = (

@@ -14,9 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the batches that go to Python workers, where a session leaves Spark's 64 MB: rows here may be sets or whole
+#: texts, and both the executor and the worker hold a few batches at a time, outside what Spark accounts for.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows, in a session whose batches for Python are small unless it has chosen their size itself."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, None) in ("64MB", f"{64 << 20}b"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Just the key and the text, under fixed names, so that other columns' names cannot clash."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -82,6 +82,7 @@ class _Group:
 
 def _smaller_owner(rows: pa.Table) -> pa.Table:
     """Which windows have an owner in another group with a smaller id?"""
+    ta.release()
     rows = rows.sort_by("g")
     parts = [np.frombuffer(b, "<u8") for b in rows.column("windows").to_pylist()]
     docs = np.concatenate([np.frombuffer(b, "<i8" if len(b) == 8 * len(p) else "<u4").astype(np.int64) for b, p in zip(rows.column("docs").to_pylist(), parts, strict=True)])
@@ -102,11 +103,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     by_group = rows.groupBy("g")
 
     def anchors(key: tuple, rows: pa.Table) -> pa.Table:
+        ta.release()
         return gr.ask_repeated(key[0].as_py(), _Group(rows, size).found, n_buckets)
 
     repeated = gr.answer_repeated(by_group.applyInArrow(anchors, gr.HASHES), 0)
 
     def windows(key: tuple, rows: pa.Table, bits: pa.Table) -> pa.Table:
+        ta.release()
         group = _Group(rows, size)
         group.windows(bits, n_buckets)
         second = group.second_hashes().astype("<u8")
@@ -120,6 +123,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     owned = asked.groupBy("bucket").applyInArrow(_smaller_owner, gr.BITS)
 
     def finish(key: tuple, rows: pa.Table, bits: pa.Table) -> pa.Table:
+        ta.release()
         group = _Group(rows, size)
         group.windows(bits, n_buckets)
         gone = group.removed(bits, n_buckets)

@@ -182,11 +182,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     by_group = rows.groupBy("g")
 
     def halves(key: tuple, rows: pa.Table) -> pa.Table:
+        ta.release()
         return gr.ask_repeated(key[0].as_py(), _Group(rows, size).found, n_buckets)
 
     repeated = gr.answer_repeated(by_group.applyInArrow(halves, gr.HASHES), 0)
 
     def suffixes(key: tuple, rows: pa.Table, bits: pa.Table) -> pa.Table:
+        ta.release()
         group = _Group(rows, size)
         group.candidates(bits, n_buckets)
         at, raw = group.leader, group.data.tobytes()
@@ -230,6 +232,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     answers = answers.unionByName(found.select("g", F.lit(1).alias("tag"), F.lit(0).alias("bucket"), none.alias("bits"), "entries", "least", "most"))
 
     def finish(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        ta.release()
         group = _Group(rows, size)
         group.candidates(answers, n_buckets)
         mine = [x for x in answers.select(["entries", "least", "most"]).to_pylist() if x["entries"] is not None]

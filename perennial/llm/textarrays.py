@@ -6,6 +6,8 @@ a handful of vector operations a byte and no Python work a word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,20 @@ _CODE = np.random.Generator(np.random.PCG64(20240521)).integers(1, 1 << 63, 256,
 _POWERS: dict[int, np.ndarray] = {}
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: it keeps what it likes
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A worker is kept for later tasks, and what the largest group or batch has
+    needed would otherwise count against its executor for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the largest table made so far is kept."""
     if base not in _POWERS or len(_POWERS[base]) < n:
@@ -142,7 +158,7 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
     return np.cumsum(step[:-1]) > 0
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """The batch in runs of rows of about `most` bytes of text, each row whole: bounds what numpy holds at once."""
     if not batch.num_rows:
         return
@@ -151,3 +167,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(lo, hi - lo)
+    release()

@@ -162,7 +162,6 @@ def test_jaccard_join_is_brute_force(spark, docs, texts):
 
 def test_jaccard_join_in_blocks_and_with_repeated_ids(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 6)
-    monkeypatch.setattr(jaccard, "BROADCAST", 3)
     base = [f"b{i}" for i in range(200)]
     r = random.Random(9)
     rows = [(9300 + k, " ".join(w if r.random() > 0.004 * (k % 9) else f"x{r.randrange(9999)}" for w in base)) for k in range(60)]
