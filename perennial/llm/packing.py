@@ -36,9 +36,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of text between spaces whose ids a worker remembers, and the longest one that is remembered. They are kept
 #: in two halves: when the newer one is full, the older one goes, but for the chunks that have been met again.
 REMEMBERED, LONGEST = 500_000, 32
-#: Lower-case Latin-1 letters in UTF-8: such a word is one pre-token, which the tokenizer's model takes as it is.
+#: Lower-case Latin-1 letters in UTF-8: such a word is one pre-token.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-_MARK = re.compile(rb"([.,;!?])(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))(?=[ \n]|$)")
+#: ASCII marks but the apostrophe, from the end of a word of letters to white space: a pre-token of their own.
+_MARKS = re.compile(rb"([!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*)(?=[ \n]|$)")
+#: Capital Latin-1 letters in UTF-8; their lower case has a second byte higher by 32.
+_CAPITAL = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
+_SMALL = {bytes((0xC3, b)): bytes((0xC3, b + 32)) for b in range(0x80, 0x9F)}
 #: The characters by which a byte-level model knows bytes: printable ones stand for themselves, the rest from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
@@ -56,13 +60,14 @@ def _tokenizer(path: str):
 
 def _chunks(text: str | None) -> list[bytes]:
     """Chunks of a text whose ids do not depend on each other: this tokenizer drops white space, lets nothing reach
-    across it, lower-cases, and parts a letter from a mark. So case and a mark at a word's end make no new chunks."""
+    across it, lower-cases, and parts a letter from a mark. So case and marks at a word's end make no new chunks."""
     if not text:
         return []
     raw = text.encode()
-    if b"<|" not in raw:  # a special string is known by its case
-        raw = raw.lower()
-    return _MARK.sub(rb" \1", raw).split()
+    if b"<|" in raw:  # a special string is known by its case and marks
+        return raw.split()
+    raw = raw.lower()
+    return _MARKS.sub(rb" \1", _CAPITAL.sub(lambda m: _SMALL[m[0]], raw)).split()
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
@@ -76,13 +81,13 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> list[by
     missing = {p for ps, xs in zip(parts, got, strict=True) if None in xs for p, x in zip(ps, xs, strict=True) if x is None}
     fresh = {p: older[p] for p in missing if p in older}
     new = [p for p in missing if p not in fresh]
-    model = tokenizer.model
+    tokenize = tokenizer.model.tokenize
     for p in filter(_LETTERS.fullmatch, new):
-        fresh[p] = array("I", [t.id for t in model.tokenize(p.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        fresh[p] = array("I", [t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
     rest = [p for p in new if p not in fresh]
     for lo in range(0, len(rest), 4096):
         part = rest[lo : lo + 4096]
-        fresh.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True))
+        fresh.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True))
     known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
     end = int(end_id).to_bytes(4, "little")
     return [b"".join([fresh[p] if x is None else x for p, x in zip(ps, xs, strict=True)] if None in xs else xs) + end for ps, xs in zip(parts, got, strict=True)]
