@@ -6,10 +6,11 @@ word ends included. Viterbi with a penalty for each switch of language then labe
 that a single odd word does not break a span, and a passage in another language becomes a span of its own. The
 language with the most letters is the document's; its share of the letters is the score.
 
-The model is fitted on about `sample` labelled documents, chosen by a hash of the key; its counts are summed by Spark.
+The model is fitted on about `sample` labelled documents, chosen by a hash of key and text; Spark sums its counts.
 
 Defined results: `und` and 0 for a null text, one without letters, or when no label could be learned; a null doc_id
-is neither learned from nor held out; repeated rows are rows of their own; an empty table gives no rows.
+is neither learned from nor held out; repeated rows are rows of their own; an empty table gives no rows; a text is read
+whole, whatever its length; columns of docs that are named as the three results are replaced by them, others stay.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .shared import small_batches, table
+from .shared import sampled, small_batches, table
 
 BUCKETS = 1 << 15
 #: Scripts by the first byte of their characters in UTF-8 (fixed values of the encoding); the rest is one class.
@@ -139,11 +140,9 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 12_000, learnable: Column | None = None) -> Model:
     """A model from labelled documents for which `learnable` holds (default: all with a key)."""
-    rows = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if learnable is None else learnable).alias("ok"))
+    rows = small_batches(docs).select(F.col(key).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if learnable is None else learnable).alias("ok"))
     rows = rows.where("ok and lang is not null and doc_id is not null")
-    n = rows.select("lang").count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    rows = sampled(rows, rows.select("lang").count(), sample, 11, "doc_id", "text")
 
     def count(batches):
         for batch in batches:
@@ -178,6 +177,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", penalty: float = 12.0) -> DataFrame:
     """All columns of docs with lang_pred, lang_score and lang_spans (start and end in bytes of the text, lang)."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_spans")
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 

@@ -9,7 +9,9 @@ The rules are learned on at most about `sample` labelled rows, chosen by a hash
 
 Defined results: a null text has no words; documents below the base rules are failed before the list is asked;
 with no labels (or labels of one kind only) the list is empty and only the base rules speak; ratios of a text
-without words, marks or lines are 0; rows are independent, so repeats and null keys need no rule.
+without words, marks or lines are 0; rows are independent, so repeats and null keys need no rule; a text is counted
+whole, whatever its length; an empty table gives no rows; other columns of docs, of any name, are not looked at. Of
+several labels of one id the worst counts, and of several texts of one id the one whose statistics sort first.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import keyed, table
+from .shared import keyed, sampled, table
 
 if TYPE_CHECKING:  # pandas is needed on the driver only, where Spark brings it
     import pandas as pd
@@ -190,9 +192,7 @@ def rule_column(rules: list[list[Condition]]) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 12_000) -> list[list[Condition]]:
     """Rules from labelled documents (1 is good, 0 is bad)."""
     labelled = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    n = labelled.count()
-    if n > sample:  # about `sample` rows, the same in every run
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    labelled = sampled(labelled, labelled.count(), sample, 7, "doc_id")
     chosen = keyed(docs, key, text).join(F.broadcast(labelled), "doc_id")  # bounded by `sample`
     rows = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(labelled), "doc_id").select("doc_id", "label", *FEATURES).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES], kind="stable").drop_duplicates("doc_id")

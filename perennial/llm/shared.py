@@ -32,11 +32,28 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def sample_bound(n: int, sample: int) -> int:
+    """Below this lie the signed 64-bit hashes of about `sample` of n rows; never of none, however large n is."""
+    return max(1 - (1 << 63), min((1 << 63) - 1, (int(sample) << 64) // max(n, 1) - (1 << 63)))
+
+
+def sampled(rows: DataFrame, n: int, sample: int, seed: int, *columns: str) -> DataFrame:
+    """About `sample` of the n rows, by a hash of the columns: the same in every run. Take the text among them, so that
+    rows without an id, or with one id, neither all come nor all stay away; of rows equal in them one comes."""
+    if n > sample:
+        rows = rows.where(F.xxhash64(*columns, F.lit(seed)) < F.lit(sample_bound(n, sample))).dropDuplicates(list(columns))
+    return rows
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; only a session without that setting gets its own."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Only a session in one process (tests) may do without that
+    setting and gets a folder of its own; on a cluster that would be a folder that executors do not share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
