@@ -7,15 +7,19 @@ calibrated on candidates held out from training to a wanted precision, selects w
 candidates the likeliest is taken; those that overlap a base span are dropped.
 
 The trees are trained on seeds made from templates (a fixed number of them) and on the candidates of about `sample`
-documents, labelled by strict forms of the formats. Each text is read whole, in time linear in its length.
+documents, labelled by strict forms of the formats. Each text is read whole, in time linear in its length but for the
+sorting of its candidates.
 
-Defined results: a null text is empty and has no spans; rows are independent, so repeats and null keys need no rule.
+Defined results: a null text is empty and has no spans; rows are independent, so repeats and null keys need no rule; an
+empty table gives no rows (the trees then know the templates alone); columns of docs that are named as the three
+results are replaced by them, others stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .shared import small_batches, table
+from .shared import sampled, small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "contact", "identity")
@@ -203,13 +207,34 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
 
 
+class Spans:
+    """Spans that are taken, joined where they overlap and sorted, so that a look-up takes the logarithm of their number."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k == len(self.starts) or self.starts[k] >= end
+
+    def cover(self, start: int, end: int) -> None:
+        lo, hi = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if lo < hi:
+            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
+
+
 @dataclass
 class Selector:
     trees: dict[str, Trees]
     thresholds: dict[str, float]
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        found = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)] if text else []
+        free = Spans()
+        for _, s, e in base:
+            free.cover(s, e)
+        found = [c for c in candidates(text) if free.free(*c[1:])] if text else []
         scored = []
         for kind in ADDED:
             mine = [c for c in found if c[0] == kind]
@@ -218,7 +243,8 @@ class Selector:
                 scored += [(-v, c[1], c[2], kind) for v, c in zip(p.tolist(), mine, strict=True) if v >= self.thresholds[kind]]
         taken: list[tuple[str, int, int]] = []
         for _, s, e, kind in sorted(scored):
-            if not any(s < y and x < e for _, x, y in taken):
+            if free.free(s, e):
+                free.cover(s, e)
                 taken.append((kind, s, e))
         return sorted(taken, key=lambda x: (ADDED.index(x[0]), x[1]))
 
@@ -245,10 +271,11 @@ def seeds(n: int = 400) -> list[tuple[str, str, int]]:
 
 def labelled_candidates(text: str, base: list | None = None) -> list[tuple[str, list[float], int]]:
     """Candidates of a text with labels by the strict forms; key and value pairs count if the value holds a digit."""
-    base = base_spans(text) if base is None else base
-    out = []
+    out, free = [], Spans()
+    for _, s, e in base_spans(text) if base is None else base:
+        free.cover(s, e)
     for kind, s, e in candidates(text):
-        if not any(s < y and x < e for _, x, y in base):
+        if free.free(s, e):
             value = text[s:e]
             f = features(text, kind, s, e)
             strict = _STRICT[kind].fullmatch(value) is not None and (kind != "secret" or any(map(str.isalpha, value)))
@@ -275,9 +302,7 @@ def train(rows: list[tuple[str, list[float], int]], precision: float = 0.98) ->
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4_000) -> Selector:
     """A selector from the seeds and about `sample` documents with a digit."""
     rows = small_batches(docs).select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("k", F.lit(13)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    rows = sampled(rows, rows.count(), sample, 13, "k", "text")
 
     def propose(batches):
         for batch in batches:
@@ -309,6 +334,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame:
     """All columns of docs with pii_base, pii_added (kind, start, end in code points) and pii_redacted."""
+    docs = docs.drop("pii_base", "pii_added", "pii_redacted")
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(selector)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
