@@ -5,18 +5,21 @@ run of `n` consecutive words of a benchmark item is a window; an item of fewer w
 A document is scanned once: the hashes of its windows are looked up in the broadcast set, and each hit is verified
 against the words themselves before it counts. No shuffle takes place.
 
-Scale: the set is broadcast only in blocks of `block_bytes` of benchmark text. A larger benchmark is dealt into
-several blocks by hash; the documents then pass all blocks one after the other, with a checkpoint between, so that
-one worker never holds more than one block.
+Scale: the set is broadcast only in blocks of `block_bytes` of benchmark text, as sorted arrays of 20 bytes a window
+beside the words. A larger benchmark is dealt into several blocks by hash; the documents then pass all blocks one after
+the other, with a checkpoint between, so that one worker never holds more than one block.
 
 Defined results: a null text has no words; a null doc_id or a repeated row is a row of its own; an item without
 text or words has no windows; an item without an id still hits words but is left out of the list of items; an empty
-benchmark hits nothing.
+benchmark hits nothing, an empty table gives no rows; texts of any length are read whole; other columns of either table
+are not looked at, but for the one that is carried along.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +34,100 @@ STATE = "doc_id long, text string, hit binary, items array<string>"
 FOUND = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
 
 
-def build_index(items: list[tuple[str | None, str | None]], n: int) -> dict:
-    """{window length: (bloom flags, sorted hashes, {hash: {words: item ids}})} of the items given."""
-    by_length: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for start in range(0, len(items), 4096):
-        part = items[start : start + 4096]
-        data, offsets = ta.text_buffer(pa.array([text for _, text in part], pa.string()))
-        words = ta.Words(ta.LOWER[data], offsets, ta.ALNUM)
-        hashes = words.hashes()
-        for k, (lo, hi) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            size = min(n, hi - lo)
-            for i, h in enumerate(ta.window_hashes(hashes[lo:hi], size).tolist() if size else ()):
-                found = by_length[size][h][words.text(lo + i, lo + i + size)]
-                if part[k][0] is not None:
-                    found.add(str(part[k][0]))
-    index = {}
-    for size, windows in by_length.items():
-        keys = np.sort(np.fromiter(windows, np.uint64, len(windows)))
+@dataclass
+class Windows:
+    """The windows of one length of a block of the benchmark, as arrays sorted by hash: 20 bytes a window."""
+
+    flags: np.ndarray  # by the upper 20 bits of a hash: is there one?
+    keys: np.ndarray  # distinct hashes
+    first: np.ndarray  # of each, its first window; one more at the end
+    start: np.ndarray  # of each window, its words in Index.words
+    end: np.ndarray
+    item: np.ndarray  # its item's number
+
+
+@dataclass
+class Index:
+    words: bytes  # the normalised words of the block, a space after each
+    ids: list[str | None]
+    windows: dict[int, Windows]
+
+    def items_of(self, size: int, key: int, words: bytes) -> tuple[str, ...] | None:
+        """The items with this window, verified on the words; none if there is no such window."""
+        at = self.windows[size]
+        k = int(np.searchsorted(at.keys, np.uint64(key)))
+        same = [i for i in range(at.first[k], at.first[k + 1]) if self.words[at.start[i] : at.end[i]] == words]
+        return tuple({self.ids[at.item[i]] for i in same} - {None}) if same else None
+
+
+def _joined(words: ta.Words) -> tuple[bytes, np.ndarray]:
+    """(all words with a space after each, the end of each word there)."""
+    sizes = words.ends - words.starts + 1
+    ends = np.cumsum(sizes)
+    place = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
+    out = np.full(len(place), 32, np.uint8)
+    letter = place < np.repeat(sizes - 1, sizes)
+    out[letter] = words.data[(np.repeat(words.starts, sizes) + place)[letter]]
+    return out.tobytes(), ends - 1
+
+
+def build_index(items: Iterable[tuple[str | None, str | None]], n: int) -> Index:
+    ids, texts, parts, held, length = [], [], [], {}, 0
+
+    def take() -> None:
+        nonlocal length
+        base = len(ids) - len(texts)
+        words = ta.Words(*(lambda d, o: (ta.LOWER[d], o))(*ta.text_buffer(pa.array(texts, pa.string()))), ta.ALNUM)
+        hashes, counts = words.hashes(), words.counts
+        joined, ends = _joined(words)
+        begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+        doc = words.doc()
+        for size in sorted(set(np.minimum(counts, n).tolist()) - {0}):
+            at = np.flatnonzero(ta.window_starts(words.first, size))  # of items of fewer words than n the whole only
+            at = at[(counts[doc[at]] == size) | (size == n)] if len(at) else at
+            found = (ta.window_hashes(hashes, size)[at], begins[at] + length, ends[at + size - 1] + length, doc[at] + base)
+            held.setdefault(size, []).append(tuple(x.astype(t) for x, t in zip(found, (np.uint64, np.uint32, np.uint32, np.uint32), strict=True)))
+        parts.append(joined)
+        length += len(joined)
+        texts.clear()
+
+    for item, text in items:
+        ids.append(None if item is None else str(item))
+        texts.append(text)
+        if len(texts) == 1024:
+            take()
+    if texts:
+        take()
+    windows = {}
+    for size, found in held.items():
+        hashes, start, end, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         flags = np.zeros(1 << 20, bool)
-        flags[keys >> np.uint64(44)] = True
-        index[size] = (flags, keys, {h: {w: tuple(ids) for w, ids in ws.items()} for h, ws in windows.items()})
-    return index
+        flags[hashes >> np.uint64(44)] = True
+        windows[size] = Windows(flags, hashes[first], np.append(first, len(hashes)), start[order], end[order], item[order])
+    return Index(b"".join(parts), ids, windows)
 
 
-def scan_batch(words: ta.Words, index: dict) -> tuple[np.ndarray, dict[int, set]]:
+def scan_batch(words: ta.Words, index: Index) -> tuple[np.ndarray, dict[int, set]]:
     """(hit flag of each word, {document's number: item ids}) of a batch."""
     hit, items = np.zeros(len(words), bool), defaultdict(set)
     hashes = words.hashes()
-    for size, (flags, keys, windows) in index.items():
+    for size, windows in index.windows.items():
+        keys, seen = windows.keys, {}
         at = ta.window_hashes(hashes, size)
-        maybe = np.flatnonzero(flags[at >> np.uint64(44)] & ta.window_starts(words.first, size))
+        maybe = np.flatnonzero(windows.flags[at >> np.uint64(44)] & ta.window_starts(words.first, size))
         place = np.minimum(np.searchsorted(keys, at[maybe]), len(keys) - 1)
         maybe = maybe[keys[place] == at[maybe]]
         docs = np.searchsorted(words.first, maybe, side="right") - 1
         for i, d in zip(maybe.tolist(), docs.tolist(), strict=True):
-            ids = windows[int(at[i])].get(words.text(i, i + size))  # verified on the words
-            if ids is not None:
+            text = words.text(i, i + size)
+            if text not in seen:
+                seen[text] = index.items_of(size, int(at[i]), text)
+            if seen[text] is not None:
                 hit[i : i + size] = True
-                items[d].update(ids)
+                items[d].update(seen[text])
     return hit, items
 
 
@@ -126,7 +185,7 @@ def _pass(index, last: bool):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 64 << 20, carry: str | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20, carry: str | None = None) -> DataFrame:
     """Per document: n_words, n_hit, the items found, the hit spans (bytes of the text) and the text without them.
     The column `carry`, such as a struct of the whole row, comes along as `carried`."""
     spark = small_batches(docs).sparkSession
@@ -139,7 +198,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id"
     carried = [f for f in state.schema.fields if f.name == "carried"]
     for b in range(blocks):
         block = items.where(F.col("block") == b) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in block.select("item_id", "text").toLocalIterator()], n))
+        index = spark.sparkContext.broadcast(build_index(((r[0], r[1]) for r in block.select("item_id", "text").toLocalIterator()), n))
         last = b == blocks - 1
         state = state.mapInArrow(_pass(index, last), T.StructType([*T.StructType.fromDDL(FOUND if last else STATE).fields, *carried]))
         if not last:
