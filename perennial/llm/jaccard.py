@@ -404,7 +404,8 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
     else:  # every class is a component of its own yet
         best = groups.groupBy("token").agg(F.min_by(F.struct("lead", "label"), F.struct("lead.pos", "lead.n", "lead.id")).alias("top"), F.count("*").alias("labels"))
     best = best.where("labels > 1").select("token", F.col("top.lead.id").alias("hub"), F.col("top.lead.n").alias("hub_n"), F.col("top.lead.pos").alias("hub_pos"), F.col("top.label").alias("hub_label"))
-    pairs = tokens.join(best.hint("shuffle_hash"), "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
+    # A table of its own, so that Spark can split the rows of a frequent shingle.
+    pairs = tokens.join(stored(best).hint("shuffle_hash"), "token").where(F.col("label") != F.col("hub_label")).where(_fits("n", "pos", "hub_n", "hub_pos", percent))
     counts = pairs.groupBy("id", "hub").agg(F.sum("w").alias("c"))
     return counts.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", F.col("id").alias("spoke"))
 
@@ -413,7 +414,7 @@ def all_pairs(tokens: DataFrame, sets, percent: int) -> DataFrame:
     """Every candidate pair whose ends are in different components: an equal shingle, at places that fit. Of a frequent
     shingle only those that are similar: they are compared block by block, by all three orders and then whole."""
     mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
-    rows = tokens.join(mixed, "token").select("token", "id", "n", "pos", "label", "m")
+    rows = tokens.join(stored(mixed).hint("shuffle_hash"), "token").select("token", "id", "n", "pos", "label", "m")
     few = rows.where(F.col("m") <= BLOCK).drop("m")
     other = few.toDF("token", "id2", "n2", "pos2", "label2")
     larger = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
