@@ -47,6 +47,15 @@ def test_query_matches_sql(spark, name):
     assert_same(spark, SF, llm.queries()[name], llm.oracle_sql()[name])
 
 
+def test_decontamination_index_is_small():
+    r = random.Random(1)
+    items = [(k, " ".join(f"w{r.randrange(50_000)}" for _ in range(200))) for k in range(5_000)]
+    index = decontaminate.build_index(iter(items), 10)
+    size = len(index.words) + sum(x.nbytes for w in index.windows.values() for x in (w.keys, w.first, w.start, w.end, w.item))
+    assert size < 40 * 191 * 5_000 + len(index.words)
+    assert index.items_of(10, int(index.windows[10].keys[0]), b"other") is None
+
+
 def test_decontamination_blocks_and_edges(spark, docs):
     items = [(1, "a b"), (2, None), (None, "no id"), (3, "W1 w2, w3 w4 w5 w6 w7 w8 w9 w10 w11"), (4, "!!"), (5, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -428,6 +437,90 @@ def test_licence_headers_are_found_however_they_are_wrapped(spark):
     assert nested["identifiers"] == ["2", "3", "4"] and nested["licence"] == "X"
 
 
+def test_licences_of_plain_forms(spark):
+    forms = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020", "This software is released under the MIT license", "// SPDX-License-Identifier: MIT\nint main;", WRAPPED["MIT"]],
+        "Apache-2.0": ['Licensed under the Apache License,\nVersion 2.0 (the "License")', "# SPDX-License-Identifier: Apache-2.0", "Apache License\nVersion 2.0\n\nsome text"],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"],
+        "LGPL-2.1": ["This library is free software; but\nthis program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General\nPublic License; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+        "Proprietary": ["Copyright 2020 Foo, all rights reserved."],
+        None: ["the mit license is one of many", "MITlicense", "no words of it"],
+    }
+    rows = [(k, t) for k, t in enumerate(t for texts in forms.values() for t in texts)]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == [name for name, texts in forms.items() for _ in texts]
+
+
+def test_licences_of_very_long_texts(spark):
+    line = "Licensed under CC BY 4.0.\n"
+    rows = [(1, line * 100_000), (2, "x" * 300_000 + "\n" + line), (3, "Permission is hereby granted, free of charge, to any person obtaining a copy.\n" * 30_000 + WRAPPED["MIT"])]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[1]["identifiers"]) == 100_000 and got[1]["licences"] == got[2]["licences"] == ["CC-BY-4.0"] and got[3]["licence"] == "MIT"
+
+
+def test_samples_never_fall_to_none():
+    from perennial.llm.shared import sample_bound
+
+    least = -(1 << 63)
+    for sample in (4_000, 12_000):
+        for n in (sample + 1, 10**6, 10**11, 10**14):
+            share = (sample_bound(n, sample) - least) / (1 << 64)
+            assert 0.99 * sample <= share * n <= 1.01 * sample
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Names that operators use for columns of their own, a repeated id, a repeated row, nulls and a very long text."""
+    names = "lang_pred lang_score lang_spans pii_base pii_added pii_redacted row carried hit items k1 k2 n g tag bucket label slice counts component_id n_words piece rule token pos id hub spoke".split()
+    text = "the house of the river is on the hill and the people walk there in the evening " * 3
+    rows = [(1, text, "en"), (1, text, "en"), (1, "another text with the same id and words of its own in it", "en"), (2, None, None), (3, "", "en"), (None, None, None), (4, "word " * 60_000, "en"), (5, text + "mail a.b@c.de", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return df.withColumns({c: F.lit(f"own {c}") for c in names}).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(0).cast("long"))
+
+
+def test_every_operator_takes_clashing_names_repeats_nulls_and_empty_tables(spark, clashing):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (1, 0), (None, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "the house of the river is on the hill and the people")], "item_id long, text string").withColumn("hit", F.lit(1))
+    operators = {
+        "decontaminate": lambda d: decontaminate.find(d, bench), "pack": lambda d: packing.pack(packing.pieces_of(d, path)), "suffix": suffix_dedup.remove_repeats, "jaccard": jaccard.link,
+        "substring": substring_dedup.remove_repeats, "pii": lambda d: pii.find(d, pii.fit(d)), "licences": licences.scan, "tokens": token_counts.count_tokens,
+        "language": lambda d: language_id.identify(d, language_id.fit(d)), "quality": lambda d: quality_rules.judge(d, quality_rules.fit_rules(d, labels)),
+    }
+    n = clashing.count()
+    for name, operator in operators.items():
+        got = operator(clashing).collect()
+        if name == "pack":
+            assert sum(r["piece"] == 0 for r in got) == n
+        else:
+            assert (name, len(got)) == (name, n)
+            # Equal rows have equal results.
+            twice = [{k: v for k, v in r.asDict().items()} for r in got if r["doc_id"] == 1]
+            assert len(twice) == 3 and any(a == b for k, a in enumerate(twice) for b in twice[k + 1 :])
+        assert operator(clashing.limit(0)).count() == 0
+    pii_row = pii.find(clashing, pii.fit(clashing)).where("doc_id = 5").first()
+    assert pii_row["pii_redacted"].endswith("mail [EMAIL]") and pii_row["lang_pred"] == "own lang_pred"
+    assert language_id.identify(clashing, language_id.fit(clashing)).where("doc_id = 4").first()["lang_pred"] == "en"
+
+
+def test_pipeline_stages_take_clashing_names_repeats_and_empty_tables(spark, clashing):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, clashing, SF), stage(spark, clashing.limit(0), SF)
+        assert none.count() == 0
+        if name == "packing":
+            continue
+        assert got.columns == none.columns == clashing.columns
+        rows = got.collect()
+        assert all(r["lang_pred"] == "own lang_pred" and r["row"] == "own row" for r in rows)
+        if name == "near_duplicates":
+            # Of the rows with id 1, linked or not, one stays; its text sorts first.
+            assert sorted((r["doc_id"] or 0, (r["text"] or "")[:7]) for r in rows) == [(0, ""), (1, "another"), (2, ""), (3, ""), (4, "word wo")]
+
+
 def test_id_filter_misses_none(spark):
     ids = spark.range(0, 5000, 7)
     flags = jaccard.id_filter(ids, 1 << 12)
