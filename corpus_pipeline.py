@@ -3,47 +3,64 @@
 1. language: documents in which no language is recognised go (no text, no letters, or no language that holds 30 % of
    the letters).
 2. near_duplicates: of each group of documents linked by 5-word shingles at a Jaccard similarity of 0.8, the one with
-   the smallest id stays; documents without an id have no group and stay.
+   the smallest id stays; documents without an id have no group and stay; of rows that share an id, the one whose text
+   sorts first.
 3. decontamination: documents with a window of 10 words of a benchmark item go.
 4. personal_data: spans of personal data become tags; n_chars follows the new text.
 5. packing: one row for each piece of at most 2048 tokens, with its place in a sequence.
+
+All but the last stage return the columns of their input, whatever further ones it has and however they are named (for
+rows that share an id they must be comparable). An empty input gives an empty output of the same columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perennial.llm import decontaminate, jaccard, language_id, packing, pii
 from perennial.llm.shared import stored, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one struct `row`, so that no name of theirs meets one of an operator's."""
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, row: str = "row", **changed: Column) -> DataFrame:
+    """The columns of docs again, some of them changed."""
+    return found.select(*(changed.get(c, F.col("text") if c == "text" else F.col(row)[c]).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model)
-    return found.where("lang_pred <> 'und' and lang_score >= 0.3").select(*docs.columns)
+    found = language_id.identify(_carried(docs), model)
+    return _unpacked(found.where("lang_pred <> 'und' and lang_score >= 0.3"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = stored(jaccard.link(docs)).where("doc_id is not null")
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    # Only rows that a filter of fixed size takes for a copy are moved to be compared; all others stay where they are.
+    # Only rows that a filter of bounded size takes for a copy are moved to be compared; all others stay where they are.
     maybe = jaccard.in_filter(jaccard.id_filter(gone.withColumnRenamed("doc_id", "id")))(F.col("doc_id"))
     kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
-    if linked.count() > linked.select("doc_id").distinct().count():  # rows that share an id are one group
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if linked.count() > linked.select("doc_id").distinct().count():
+        # Rows that share an id are one group: the row whose text sorts first stays, of equal texts the first by all columns.
+        order = F.struct(F.col("text").isNull().alias("_0"), F.col("text").alias("_1"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(order).alias("least"))
+        kept = once.select(*(F.col("least.row")[c].alias(c) for c in docs.columns)).unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("row", F.struct(*(c for c in docs.columns if c != "text")))
+    rows = _carried(docs).withColumn("doc_id", F.col("row.doc_id"))
     found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"), carry="row").where(~decontaminate.is_contaminated())
-    return found.select(*("text" if c == "text" else F.col(f"carried.{c}").alias(c) for c in docs.columns))
+    return _unpacked(found, docs, "carried")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs, pii.fit(docs))
-    return found.withColumn("text", F.col("pii_redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = pii.find(_carried(docs), pii.fit(docs))
+    return _unpacked(found, docs, text=F.col("pii_redacted"), n_chars=F.length("pii_redacted").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
