@@ -3,8 +3,9 @@
 Base kinds (email, ip, card, phone) are formats with checks; their spans always stay. Beside them, loose generators
 propose overlapping candidate spans: key and value pairs, long mixed tokens, numbers in groups, spelled-out e-mail
 addresses. Gradient-boosted trees score each candidate by its format and its surroundings, and per kind a threshold,
-calibrated on candidates held out from training to a wanted precision, selects what is redacted. Of overlapping
-candidates the likeliest is taken; those that overlap a base span are dropped.
+calibrated on candidates held out from training to a wanted precision, selects what is redacted. Candidates
+within one of another kind that is about as likely, and those that overlap a base span, are dropped; of overlapping
+candidates the likeliest is taken.
 
 The trees are trained on seeds made from templates (a fixed number of them) and on the candidates of about `sample`
 documents, labelled by strict forms of the formats. Each text is read whole, in time linear in its length but for the
@@ -42,6 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
+_DIGITS = re.compile("[0-9]+")
 _HAS_DIGIT = re.compile("[0-9]")
 _HAS_SIGN = re.compile("[=:]")
 _AT_DOT = r"(?:@|at)\s?[\])]?\s?[a-z0-9-]{1,63}\s?[\[(]?\s?dot\s?[\])]?\s?[a-z]{2,10}(?![a-z])"
@@ -51,7 +53,7 @@ _HAS_AT_DOT = re.compile(f"(?i){_AT_DOT}")
 #: span; without one the whole match is. Values and tokens may be of any length: neither is begun anew within itself.
 GENERATORS = (
     ("secret", _HAS_SIGN, re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?(?P<x>[^\s"',;]{6,})""")),
-    ("secret", _HAS_DIGIT, re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,})(?![A-Za-z0-9+/_=-])")),
+    ("secret", _HAS_DIGIT, re.compile(r"(?<![A-Za-z0-9+/_-])(?P<x>(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/_-])")),
     ("contact", _HAS_DIGIT, re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")),
     ("contact", _HAS_AT_DOT, re.compile(r"(?i)[a-z0-9._%+-]{1,64}\s?[\[(]?\s?" + _AT_DOT)),
     ("identity", _HAS_DIGIT, re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
@@ -116,7 +118,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return list(found)
 
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "spaces", "distinct", "entropy", "switches", "cue", "assigned", "quoted", "edge", "letters_before", "hex", "longest_letters")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "spaces", "distinct", "entropy", "switches", "cue", "assigned", "quoted", "edge", "letters_before", "hex", "longest_letters", "groups", "first_length", "last_length", "first_value", "second_value", "separator", "brackets")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -129,10 +131,14 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     tail = before.rstrip("\"' ")
     entropy = -sum(v / n * np.log2(v / n) for v in counts.values())
     letters = max(map(len, re.findall("[A-Za-z]+", s)), default=0)
+    groups = _DIGITS.findall(s)
+    value = lambda g: int(g) if len(g) <= 4 else -1
+    separator = next((1 + "- .".index(c) for c in s[1:] if c in "- ."), 0)
     return [
         n, kinds["d"] / n, kinds["u"] / n, kinds["l"] / n, kinds["m"] / n, kinds["s"] / n, len(counts) / n, entropy,
         sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n, any(c in before.lower() for c in CUES[kind]), tail[-1:] in ("=", ":"), before[-1:] in ("'", '"'),
         (not before or before[-1].isspace()) + (not after or after.isspace() or after in ".,;"), sum(map(str.isalpha, before[-10:])), all(c in "0123456789abcdefABCDEF" for c in s), letters,
+        len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, value(groups[0]) if groups else -1, value(groups[1]) if len(groups) > 1 else -1, separator, sum(map(s.count, "[]()")),
     ]
 
 
@@ -240,9 +246,15 @@ class Selector:
             mine = [c for c in found if c[0] == kind]
             if mine:
                 p = self.trees[kind].probability(np.array([features(text, *c) for c in mine], float))
-                scored += [(-v, c[1], c[2], kind) for v, c in zip(p.tolist(), mine, strict=True) if v >= self.thresholds[kind]]
+                scored += [(c[1], -c[2], v, kind) for v, c in zip(p.tolist(), mine, strict=True) if v >= self.thresholds[kind]]
+        held, around = [], []
+        for s, e, v, kind in sorted(scored):  # around: what reaches beyond s, one a generator at most
+            around = [x for x in around if x[1] < -s]
+            if not any(end <= e and other != kind and u > v - 0.1 for _, end, u, other in around):
+                around.append((s, e, v, kind))
+                held.append((-v, s, -e, kind))
         taken: list[tuple[str, int, int]] = []
-        for _, s, e, kind in sorted(scored):
+        for _, s, e, kind in sorted(held):
             if free.free(s, e):
                 free.cover(s, e)
                 taken.append((kind, s, e))
@@ -258,13 +270,13 @@ def seeds(n: int = 400) -> list[tuple[str, str, int]]:
     about = lambda: " ".join(word() for _ in range(3))
     yes = {
         "secret": (lambda: f"AKIA{pick(upper + digits, 16)}", lambda: f"password={pick(hexa, 18)}", lambda: f'token = "{pick(hexa, 40)}"', lambda: f"api_key: {pick(upper + lower + digits, 32)}", lambda: f"ghp_{pick(upper + lower + digits, 36)}"),
-        "contact": (lambda: f"call {r.integers(200, 999)}-{r.integers(200, 999)}-{pick(digits, 4)}", lambda: f"({r.integers(200, 999)}) {r.integers(200, 999)}-{pick(digits, 4)}", lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()}.{word()} (at) {word()} dot org", lambda: f"tel {r.integers(200, 999)} {r.integers(200, 999)} {pick(digits, 4)}"),
+        "contact": (lambda: f"call {r.integers(200, 999)}-{r.integers(200, 999)}-{pick(digits, 4)}", lambda: f"({r.integers(200, 999)}) {r.integers(200, 999)}-{pick(digits, 4)}", lambda: f"{r.integers(200, 999)}.{r.integers(200, 999)}.{pick(digits, 4)}", lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()}.{word()} (at) {word()} dot org", lambda: f"{word()}(at){word()}(dot)net", lambda: f"tel {r.integers(200, 999)} {r.integers(200, 999)} {pick(digits, 4)}"),
         "identity": (lambda: f"ssn {r.integers(100, 660)}-{r.integers(10, 99)}-{r.integers(1000, 9999)}", lambda: f"{r.integers(100, 660)}-{r.integers(10, 99)}-{r.integers(1000, 9999)}", lambda: f"IBAN {pick(upper, 2)}{pick(digits, 20)}", lambda: f"{pick(upper, 2)}{pick(digits, 2)} {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 4)}"),
     }
     no = {
         "secret": (lambda: f"{word()}_{word()}_{word()}{r.integers(1, 99)}", lambda: f"{word()}-{word()}-{word()}-{r.integers(1, 9)}", lambda: pick(digits, r.integers(16, 22)), lambda: f"token: {word()}", lambda: f"{word()}/{word()}/{word()}{r.integers(1, 99)}/{word()}", lambda: f"secret = {word()}{word()}"),
         "contact": (lambda: f"{r.integers(1900, 2030)}-{r.integers(100, 366)}-{pick(digits, 3)}", lambda: f"{pick(digits, 2)}.{pick(digits, 3)}.{pick(digits, 3)}", lambda: f"isbn {pick(digits, 3)}-{pick(digits, 4)}-{pick(digits, 5)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"0{pick(digits, 1)} {pick(digits, 3)} {pick(digits, 3)}"),
-        "identity": (lambda: f"part 9{pick(digits, 2)}-00-{pick(digits, 4)}", lambda: f"{pick(digits, 3)} {pick(digits, 2)} {pick(digits, 4)}", lambda: f"{pick(upper, 2)}{pick(digits, 2)} {pick(upper, 4)} {pick(upper, 4)}", lambda: f"000-{pick(digits, 2)}-{pick(digits, 4)}"),
+        "identity": (lambda: f"part 9{pick(digits, 2)}-00-{pick(digits, 4)}", lambda: f"{pick(digits, 3)} {pick(digits, 2)} {pick(digits, 4)}", lambda: f"{pick(upper, 2)}{pick(digits, 2)} {pick(upper, 4)} {pick(upper, 4)}", lambda: f"000-{pick(digits, 2)}-{pick(digits, 4)}", lambda: f"{r.integers(900, 999)}-{pick(digits, 2)}-{pick(digits, 4)}"),
     }
     return [(kind, f"{about()} {made()} {about()}", label) for label, source in ((1, yes), (0, no)) for kind, makers in source.items() for made in makers for _ in range(n // len(makers))]
 
@@ -295,7 +307,8 @@ def train(rows: list[tuple[str, list[float], int]], precision: float = 0.98) ->
         order = np.argsort(-p, kind="stable")
         good = np.cumsum(y[held][order]) / np.arange(1, len(order) + 1) >= precision
         last = np.flatnonzero(good & np.concatenate((p[order][1:] < p[order][:-1], [True])))
-        thresholds[kind] = max(0.5, float(p[order][last[-1]])) if len(last) else 1.1
+        below = float(p[order][last[-1] + 1]) if len(last) and last[-1] + 1 < len(p) else 0.0
+        thresholds[kind] = max(0.5, (float(p[order][last[-1]]) + below) / 2) if len(last) else 1.1  # halfway to the next
     return Selector(trees, thresholds)
 
 
