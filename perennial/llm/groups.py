@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import keyed, partitions_for, text_bytes
+from .shared import keyed, partitions_for
 
 #: Bytes of text in a group, and entries in a bucket, that a worker holds at once in the mean.
 GROUP_BYTES, BUCKET_ENTRIES = 4 << 20, 1_000_000
@@ -25,12 +25,26 @@ BITS = "g long, tag int, bucket int, bits binary"
 
 
 def grouped(docs: DataFrame, key: str, text: str, each: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, g; the number of groups). Equal rows have one g."""
+    """(doc_id, text, copies, g; the number of groups). Rows of one id and one text come once, with their number: however
+    many they are, they are no load for their group. spread() gives them back."""
     rows = keyed(docs, key, text)
-    n = partitions_for(text_bytes(rows), each, 1)
+    kinds = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("c"), F.sum(F.octet_length("text")).alias("b"))
+    most, total = kinds.agg(F.max("c"), F.sum("b")).first()
+    if (most or 0) > 1:
+        rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    n = partitions_for(total or 0, each, 1)
     return rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")), n
 
 
+def spread(found: DataFrame, least: int = 1 << 12) -> DataFrame:
+    """Each row `copies` times, in runs of at most `least`, so that no array holds them all."""
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / least)))
+    out = found.withColumn("run", runs)
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(least), F.col("copies") - F.col("run") * least).cast("int")))).drop("copies", "run", "copy")
+
+
 def in_order(rows: pa.Table) -> pa.Table:
     """The rows of a group in an order that is the same in every pass."""
     return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -75,6 +75,3 @@ def partitions_for(n_bytes: int, each: int, least: int = 8) -> int:
     """So many partitions that each holds about `each` bytes."""
     return max(least, -(-n_bytes // each))
 
-
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

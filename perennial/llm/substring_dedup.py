@@ -11,7 +11,8 @@ smaller id? For both a group sends each hash once, the second time with its smal
 Windows are compared by 64 bits beside those that name the bucket.
 
 Defined results: a null text has no words; a document without an id neither loses words nor takes any; rows with
-equal ids never take words from each other; empty tables give no rows.
+equal ids never take words from each other, and rows equal in id and text are handled once; texts of any length are
+read whole; other columns of any name are not looked at; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .shared import table
 #: Difference cover: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOWS = "bucket int, g long, windows binary, docs binary"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, copies long"
 
 
 class _Group:
@@ -136,9 +137,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
             kept = b" ".join(compress(words, keep[first[d] : first[d + 1]].tolist()) if n else words)
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept.decode() if with_text else None)
-        return pa.table([group.rows.column("doc_id"), pa.array(group.words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        return pa.table([group.rows.column("doc_id"), pa.array(group.words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), group.rows.column("copies")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "copies"])
 
-    return by_group.cogroup(repeated.unionByName(owned).groupBy("g")).applyInArrow(finish, RESULT)
+    return gr.spread(by_group.cogroup(repeated.unionByName(owned).groupBy("g")).applyInArrow(finish, RESULT))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ place, and every repeat is seen at a suffix that begins at one of its anchors.
    common prefixes on both sides are the classes of equal windows; all but the earliest of a class are repeats.
 
 Defined results: a null text is empty; a document without an id loses nothing and takes nothing; rows with equal ids
-take nothing from each other; empty tables give no rows.
+take nothing from each other, and rows equal in id and text are handled once; texts of any length are read whole; other
+columns of any name are not looked at; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .shared import table
 GRAM, HALF = 20, 60
 SUFFIXES = "lead binary, suffix binary, before binary, doc_id long, g long, row int, start int, entry int"
 FOUND = "g long, entries binary, least binary, most binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, copies long"
 
 
 def anchor_places(hashes: np.ndarray, offsets: np.ndarray, ok: np.ndarray, size: int) -> np.ndarray:
@@ -250,9 +251,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
             out.append((hi - lo, n, int(edge[lo:hi].sum()) if n else 0, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         columns = list(zip(*out, strict=True))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([group.rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.table([group.rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), group.rows.column("copies")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "copies"])
 
-    return by_group.cogroup(answers.groupBy("g")).applyInArrow(finish, RESULT)
+    return gr.spread(by_group.cogroup(answers.groupBy("g")).applyInArrow(finish, RESULT))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
