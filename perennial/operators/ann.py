@@ -19,11 +19,11 @@ def _units(values) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Centres (unit vectors) of spherical k-means on at most about `sample` vectors, chosen by a hash of their ids."""
+    """Centres (unit vectors) of spherical k-means on at most about `sample` vectors, chosen by a hash of id and values."""
     rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
     n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    if n > sample:  # a 64-bit bound: the share of a sample among any number of rows is above 0
+        rows = rows.where(F.xxhash64(id_col, vector, F.lit(3)) < F.lit((sample << 64) // n - (1 << 63)))
     held = rows.select(id_col, vector).toPandas().sort_values(id_col)
     x = _units(held[vector]) if len(held) else np.zeros((0, 1))
     centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else x

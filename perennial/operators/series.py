@@ -93,3 +93,41 @@ def latest_z(df: DataFrame, key: Sequence[str], order: Sequence[Column], value:
     out = rows.groupBy(*key).agg(F.max(F.when(F.col("_k") == 1, F.col(value))).alias("newest"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("sd"), F.count(value).alias("n"))
     out = out.where((F.col("n") >= max(least, 4)) & (F.col("sd") > 0)).withColumn("z", (F.col("newest") - F.col("mean")) / F.col("sd"))
     return out.where(F.abs("z") >= threshold).withColumn("severity", F.when(F.abs("z") >= 3, "high").when(F.abs("z") >= 2.5, "medium").otherwise("low"))
+
+
+def front_signal(df: DataFrame, key: Sequence[str], day: str, value: str, days: int = 4, drop: float = 8.0, step: float = 3.0) -> DataFrame:
+    """Per day the signal of the run of readings on the calendar days d-days+1 .. d: a front passes if the last reading is
+    `drop` or more below the run's peak; else cooling or warming by `step` from the first to the last; else steady. A
+    run of fewer than two readings is unknown. Days without a reading have no row."""
+    w = Window.partitionBy(*key).orderBy(day_number(day)).rangeBetween(-(days - 1), 0)
+    v = F.col(value)
+    rows = df.where(v.isNotNull()).withColumns({"readings": F.count(value).over(w), "change": v - F.first(value).over(w), "drop_from_peak": F.max(value).over(w) - v})
+    signal = F.when(F.col("readings") < 2, "unknown").when(F.col("drop_from_peak") >= drop, "front").when(F.col("change") <= -step, "cooling").when(F.col("change") >= step, "warming").otherwise("steady")
+    return rows.withColumn("signal", signal)
+
+
+def motion(df: DataFrame, key: Sequence[str], day: str, value: str, usable: Column, days: int = 14, least: int = 10, out: str = "motion") -> DataFrame:
+    """Mean over the `days` days before of how far each usable day lies above its own trailing mean. Both windows need
+    `least` usable days; in the outer one only days with a trailing mean of their own count."""
+    inner = masked_mean(df, key, day, value, usable, days, least, "_mean")
+    return masked_mean(inner.withColumn("_off", F.col(value) - F.col("_mean")), key, day, "_off", usable & F.col("_mean").isNotNull(), days, least, out).drop("_mean", "_off")
+
+
+def frequency_dictionary(pools: DataFrame, key: Sequence[str], day: str, value: str, gap: int = 0) -> DataFrame:
+    """Per pool its days in order of value, its years, the number of occasions (runs of days with at most `gap` missing
+    between two) and the first day of the latest one. A pool holds the days of one time of year, a few a year."""
+    w = _by(key, day)
+    new = F.coalesce((F.datediff(F.col(day), F.lag(day).over(w)) > gap + 1).cast("int"), F.lit(1))
+    rows = pools.where(F.col(value).isNotNull()).withColumn("_new", new)
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(day).alias("d")))), lambda x: x["d"])
+    return rows.groupBy(*key).agg(
+        ranked.alias("days"), F.array_sort(F.collect_set(F.year(day))).alias("years"), F.sum("_new").alias("episodes"), F.max(F.when(F.col("_new") == 1, F.col(day))).alias("last_occurrence"),
+    )
+
+
+def voted_mean(df: DataFrame, key: Sequence[str], mean: str, low: str, high: str) -> DataFrame:
+    """Mean over the points of an area: points without a mean do not vote, nor do their extremes; `points` says how many
+    voted, `spread` how far apart their means lie (null for fewer than two)."""
+    votes = F.col(mean).isNotNull()
+    out = df.groupBy(*key).agg(F.avg(mean).alias("mean"), F.avg(F.when(votes, F.col(low))).alias("low"), F.avg(F.when(votes, F.col(high))).alias("high"), F.count(mean).alias("points"), (F.max(mean) - F.min(mean)).alias("_apart"))
+    return out.withColumn("spread", F.when(F.col("points") > 1, F.col("_apart"))).drop("_apart")

@@ -94,13 +94,39 @@ def near_miss(fires: Column, followed: Column, near_fires: Column, near_followed
 
 
 def union_find(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each connected component, by rounds of smallest labels with a checkpoint each."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select(F.col("b"), F.col("a"))).distinct()
-    labels = both.groupBy("id").agg(F.least("id", F.min("near")).alias("label"))
+    """(id, label): the smallest id of each connected component. The edges are computed once and checkpointed; in a round
+    each id takes the smallest label beside it and then that label's own label, so that long chains halve."""
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
+    labels = both.groupBy("id").agg(F.least("id", F.min("near")).alias("label")).checkpoint()
     while True:
-        labels = labels.checkpoint()
         best = both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("label").alias("l"))
-        new = labels.join(best, "id").select("id", "label", F.least("label", "l").alias("new")).checkpoint()
+        new = labels.join(best, "id").select("id", "label", F.least("label", "l").alias("new"))
+        up = labels.select(F.col("id").alias("new"), F.col("label").alias("l"))
+        new = new.join(up, "new", "left").select("id", "label", F.least("new", F.coalesce("l", "new")).alias("new")).checkpoint()
         if new.where("label <> new").isEmpty():
             return labels
         labels = new.select("id", F.col("new").alias("label"))
+
+
+def empirical_p(observed: DataFrame, nulls: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:
+    """The observed rows with p = (1 + null values of the key that reach the observed one) / (1 + null values of the key).
+    A key's null values are its replicates, a stated number; keys are many."""
+    pool = nulls.select(*key, F.col(value).alias("_null"))
+    counts = observed.join(pool, list(key), "left").groupBy(*key, value).agg(F.count_if(F.col("_null") >= F.col(value)).alias("_k"), F.count("_null").alias("_n"))
+    return counts.select(*key, value, F.col("_n").alias("replicates"), ((1 + F.col("_k")) / (1 + F.col("_n"))).alias("p"))
+
+
+def cumulative(values: DataFrame, value: str, weight: Column | None = None, parts: int = 64) -> DataFrame:
+    """(value, c, le, ge) for each distinct value: how often it occurs, and how many values lie at or below and at or
+    above it; with a weight, its sums instead. Counted by value first, then dealt into ranges; the sums of the ranges before are added to sums within
+    a range, so that no task sees all values. The ranges are written to a checkpoint, as they are read twice."""
+    per = values.where(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if weight is None else F.sum(weight)).alias("c"))
+    cuts = per.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
+    part = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda b: b < F.col(value).cast("double")))
+    rows = per.crossJoin(F.broadcast(cuts)).select(value, "c", part.alias("_part")).checkpoint()  # one row
+    sums = rows.groupBy("_part").agg(F.sum("c").alias("_sum"))
+    before = sums.select("_part", "_sum", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))  # `parts` rows at most
+    w = Window.partitionBy("_part").orderBy(value)
+    out = rows.withColumn("_in", F.sum("c").over(w)).join(F.broadcast(before), "_part")
+    le = F.col("_before") + F.col("_in")
+    return out.select(value, "c", le.alias("le"), (F.col("_all") - le + F.col("c")).alias("ge"))

@@ -66,19 +66,6 @@ def links_on_write(spark, d):
     return h.groupBy(F.col("query_id").alias("source_id")).agg(F.count("*").alias("links"), (F.countDistinct("label") >= 3).alias("convergence"))
 
 
-@query("""WITH o AS (SELECT l_suppkey AS id, round(avg(l_discount), 9) AS v FROM lineitem GROUP BY 1), z AS (SELECT (k * 7919) % 997 / 10000.0 AS v FROM range(0, 997) t(k)), r AS (SELECT id, v, (1 + (SELECT count(*) FROM z WHERE z.v >= o.v)) / 998 AS p, row_number() OVER (ORDER BY v DESC, id) AS k, count(*) OVER () AS m FROM o)
-SELECT id, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM r""")
-def empirical_fdr(spark, d):
-    o = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.avg("l_discount"), 9).alias("v"))
-    z = spark.range(997).select(((F.col("id") * 7919) % 997 / 10000.0).alias("v"), F.lit(1).alias("z"), F.lit(None).cast("long").alias("id"))
-    both = o.select("v", F.lit(0).alias("z"), "id").unionByName(z)
-    above = F.sum("z").over(Window.orderBy(F.desc("v"), F.desc("z")).rowsBetween(Window.unboundedPreceding, 0))
-    p = both.withColumn("above", above).where("z = 0").select("id", "v", ((1 + F.col("above")) / 998).alias("p")).withColumn("all", F.lit(1)).withColumn("rank", -F.col("v"))
-    w = Window.partitionBy("all").orderBy(F.desc("v"), "id")
-    q = p.withColumn("raw", F.col("p") * F.count("*").over(Window.partitionBy("all")) / F.row_number().over(w))
-    return q.select("id", F.round(F.least(F.lit(1.0), F.min("raw").over(w.rowsBetween(0, Window.unboundedFollowing))), 6).alias("q_value"))
-
-
 @query("""WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_orderpriority AS family, c_nationkey AS state, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INTEGER) AS b, o_totalprice AS severity FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000),
 e AS (SELECT x.id AS x, y.id AS y FROM s x JOIN s y ON x.family = y.family AND x.state = y.state AND x.a <= y.b AND y.a <= x.b), r AS (SELECT id AS x, id AS y FROM s UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x AS id, min(y) AS label FROM r GROUP BY 1)
 SELECT label, count(*) AS members, max_by(c.id, (severity, -epoch(a), -c.id)) AS keeper FROM c JOIN s ON c.id = s.id GROUP BY 1""")

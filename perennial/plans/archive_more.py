@@ -51,9 +51,12 @@ def strangest_days(spark, d):
 
 @query(f"""WITH {DAILY}, a AS (SELECT region, day FROM daily WHERE value > 600000), c AS (SELECT DISTINCT region, CAST(day + INTERVAL 1 YEAR AS DATE) AS day FROM a WHERE (region, CAST(day + INTERVAL 1 YEAR AS DATE)) NOT IN (SELECT region, day FROM a)),
 g AS (SELECT tau, lead, k FROM (VALUES (200000.0), (300000.0)) v(tau), (VALUES (7), (30)) w(lead), (VALUES (2), (5)) x(k)),
-f AS (SELECT tau, lead, k, count(*) AS n, count(*) FILTER (WHERE (SELECT count(*) FROM daily b WHERE b.region = a.region AND b.value >= tau AND a.day - b.day BETWEEN 1 AND lead) >= k) AS hits FROM a, g GROUP BY 1, 2, 3),
-h AS (SELECT tau, lead, k, count(*) AS m, count(*) FILTER (WHERE (SELECT count(*) FROM daily b WHERE b.region = c.region AND b.value >= tau AND c.day - b.day BETWEEN 1 AND lead) >= k) AS control_hits FROM c, g GROUP BY 1, 2, 3)
-SELECT tau, lead, k, n, hits, m, control_hits, round((hits / n) / greatest(control_hits / m, 1 / (2 * m)), 6) AS lift FROM f JOIN h USING (tau, lead, k)""")
+ra AS (SELECT * FROM a WHERE (SELECT count(*) FROM daily b WHERE b.region = a.region AND a.day - b.day BETWEEN 1 AND 30) >= 20), rc AS (SELECT * FROM c WHERE (SELECT count(*) FROM daily b WHERE b.region = c.region AND c.day - b.day BETWEEN 1 AND 30) >= 20),
+f AS (SELECT tau, lead, k, count(*) AS n, count(DISTINCT year(a.day)) AS years, count(*) FILTER (WHERE (SELECT count(*) FROM daily b WHERE b.region = a.region AND b.value >= tau AND a.day - b.day BETWEEN 1 AND lead) >= k) AS hits FROM ra a, g GROUP BY 1, 2, 3),
+h AS (SELECT tau, lead, k, count(*) AS m, count(*) FILTER (WHERE (SELECT count(*) FROM daily b WHERE b.region = c.region AND b.value >= tau AND c.day - b.day BETWEEN 1 AND lead) >= k) AS control_hits FROM rc c, g GROUP BY 1, 2, 3)
+SELECT tau, lead, k, n, years, hits, m, control_hits, round((hits / n) / greatest(control_hits / m, 1 / (2 * m)), 6) AS lift, round(least(1.0, list_sum(list_transform(range(hits, least(n, hits + control_hits) + 1), lambda i:
+exp(lgamma(n + 1) + lgamma(m + 1) + lgamma(hits + control_hits + 1) + lgamma(n + m - hits - control_hits + 1) - lgamma(n + m + 1) - lgamma(i + 1) - lgamma(n - i + 1) - lgamma(hits + control_hits - i + 1) - lgamma(m - hits - control_hits + i + 1))))), 6) AS p
+FROM f JOIN h USING (tau, lead, k) WHERE n >= 20 AND years >= 5""")
 def sweep_grid(spark, d):
     x = daily(spark, d).select("region", "day", "value")
     a = x.where("value > 600000").select("region", "day")
@@ -63,24 +66,14 @@ def sweep_grid(spark, d):
     # All cells of the grid from one interval join: per anchor the counts of each (tau, lead), then the k's.
     hits = joins.interval_join(anchors, seen, ["region"], "day", "d2", -30, -1, "left")
     cells = [(tau, lead) for tau in (200000.0, 300000.0) for lead in (7, 30)]
-    counts = hits.groupBy("case", "region", "day").agg(*(F.count_if((F.col("v") >= tau) & (F.datediff("day", "d2") <= lead)).alias(f"c{i}") for i, (tau, lead) in enumerate(cells)))
+    # Floors: 20 readable days of the 30 before an anchor, 20 anchors in 5 years or more.
+    counts = hits.groupBy("case", "region", "day").agg(F.count("d2").alias("readable"), *(F.count_if((F.col("v") >= tau) & (F.datediff("day", "d2") <= lead)).alias(f"c{i}") for i, (tau, lead) in enumerate(cells)))
     grid = F.explode(F.array(*(F.struct(F.lit(tau).alias("tau"), F.lit(lead).alias("lead"), F.lit(k).alias("k"), (F.col(f"c{i}") >= k).alias("hit")) for i, (tau, lead) in enumerate(cells) for k in (2, 5))))
-    g = counts.select("case", grid.alias("g")).groupBy("g.tau", "g.lead", "g.k")
+    g = counts.where("readable >= 20").select("case", "day", grid.alias("g")).groupBy("g.tau", "g.lead", "g.k")
     case, hit = F.col("case") == 1, F.col("g.hit")
-    s = g.agg(F.count_if(case).alias("n"), F.count_if(case & hit).alias("hits"), F.count_if(~case).alias("m"), F.count_if(~case & hit).alias("control_hits"))
-    return s.withColumn("lift", F.round(st.finite_lift(F.col("hits"), F.col("n"), F.col("control_hits"), F.col("m")), 6))
-
-
-@query("""WITH r AS (SELECT l_suppkey AS supplier, avg(CAST(l_returnflag = 'R' AS INTEGER)) AS observed, count(*) AS n FROM lineitem GROUP BY 1), nulls AS (SELECT (k * 7919) % 1000 / 1500.0 AS v FROM range(0, 1000) t(k)),
-p AS (SELECT supplier, round(observed, 9) AS observed, (1 + (SELECT count(*) FROM nulls WHERE v >= round(observed, 9))) / 1001 AS p FROM r)
-SELECT supplier, round(p, 9) AS p, p <= 0.5 AS certified FROM p""")
-def empirical_p(spark, d):
-    r = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.round(F.avg((F.col("l_returnflag") == "R").cast("int")), 9).alias("observed"))
-    pool = spark.range(1000).select(((F.col("id") * 7919) % 1000 / 1500.0).alias("v"), F.lit(1).alias("null_case"))
-    both = r.select("supplier", F.col("observed").alias("v"), F.lit(0).alias("null_case")).unionByName(pool.withColumn("supplier", F.lit(None).cast("long")))
-    above = F.sum("null_case").over(Window.orderBy(F.desc("v"), F.desc("null_case")).rowsBetween(Window.unboundedPreceding, 0))
-    p = both.withColumn("above", above).where("null_case = 0").withColumn("p", (1 + F.col("above")) / 1001)
-    return p.select("supplier", F.round("p", 9).alias("p"), (F.col("p") <= 0.5).alias("certified"))
+    s = g.agg(F.count_if(case).alias("n"), F.countDistinct(F.when(case, F.year("day"))).alias("years"), F.count_if(case & hit).alias("hits"), F.count_if(~case).alias("m"), F.count_if(~case & hit).alias("control_hits"))
+    s = s.where("n >= 20 and years >= 5").withColumn("lift", F.round(st.finite_lift(F.col("hits"), F.col("n"), F.col("control_hits"), F.col("m")), 6))
+    return s.withColumn("p", F.round(st.fisher_greater(F.col("hits"), F.col("n") - F.col("hits"), F.col("control_hits"), F.col("m") - F.col("control_hits")), 6))
 
 
 @query()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..functions import sky
 from ..operators import ann, quality, scoring, series
+from ..operators import statistics as st
+from ..sources import archive
 from .common import DAILY, EVENT_DAYS, daily, event_days, query, t
 
 #: A daily low and high, made of order totals: region, day, low and high in degrees.
@@ -62,14 +64,14 @@ def lunar_clock(spark, d):
     return daily(spark, d).groupBy(sky.moon_phase(F.col("day")).alias("phase")).agg(F.count("*").alias("days"), F.round(F.avg("value") + 1e-6, 2).alias("mean"))
 
 
-@query(f"""WITH {DAILY}, p AS (SELECT median(value) AS mid FROM daily) SELECT region, day, round(CASE WHEN value >= mid THEN (SELECT count(*) FROM daily b WHERE b.value >= a.value) ELSE (SELECT count(*) FROM daily b WHERE b.value <= a.value) END / (SELECT count(*) FROM daily), 6) AS share FROM daily a, p WHERE value > 900000 OR value < 3000""")
+@query(f"""WITH {DAILY}, p AS (SELECT median(value) AS mid FROM daily) SELECT region, day, round(CASE WHEN value >= mid THEN (SELECT count(*) FROM daily b WHERE b.value >= a.value) ELSE (SELECT count(*) FROM daily b WHERE b.value <= a.value) END / (SELECT count(*) FROM daily), 6) AS share FROM daily a, p""")
 def tail_base_rate(spark, d):
-    # One distribution by value, then an equi-join: the share at or beyond each value on its side of the median.
+    # One distribution by value, its sums by ranges, then an equi-join: the share at or beyond each value on its side.
     x = daily(spark, d)
+    archive.shared_folder(spark)
     pivot = x.agg(F.median("value").alias("pivot"), F.count("*").alias("all"))
-    per = x.groupBy("value").agg(F.count("*").alias("c"))
-    upto = per.withColumn("le", F.sum("c").over(Window.orderBy("value"))).withColumn("ge", F.sum("c").over(Window.orderBy(F.desc("value")))).drop("c")
-    j = x.where("value > 900000 or value < 3000").join(upto, "value").crossJoin(F.broadcast(pivot))  # one row
+    upto = st.cumulative(x, "value").drop("c")
+    j = x.join(upto, "value").crossJoin(F.broadcast(pivot))  # one row
     return j.select("region", "day", F.round(F.when(F.col("value") >= F.col("pivot"), F.col("ge")).otherwise(F.col("le")) / F.col("all"), 6).alias("share"))
 
 

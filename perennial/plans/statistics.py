@@ -70,9 +70,9 @@ r AS (SELECT k, s.value, make_date(CAST(y0 + (year(day) - y0 + k) % len AS INTEG
 SELECT r.k AS shift, count(*) AS pairs, round(avg(CAST(r.value > e.value AS INTEGER)) + 1e-9, 6) AS share FROM r JOIN daily e ON e.region = 'EUROPE' AND e.day = r.day GROUP BY 1""")
 def rotation_null(spark, d):
     x = daily(spark, d)
-    first = x.where("region = 'ASIA'").agg(F.min(F.year("day"))).first()[0]
-    a = x.where("region = 'ASIA'").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    year = F.lit(first) + F.pmod(F.year("day") - first + F.col("shift"), F.lit(7))
+    first = x.where("region = 'ASIA'").agg(F.min(F.year("day")).alias("first"))  # one row
+    a = x.where("region = 'ASIA'").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(5)))).crossJoin(F.broadcast(first))
+    year = F.col("first") + F.pmod(F.year("day") - F.col("first") + F.col("shift"), F.lit(7))
     moved = F.make_date(year, F.month("day"), F.when((F.month("day") == 2) & (F.dayofmonth("day") == 29), 28).otherwise(F.dayofmonth("day")))
     a = a.select("shift", moved.alias("day"), F.col("value").alias("a"))
     e = x.where("region = 'EUROPE'").select("day", F.col("value").alias("e"))

@@ -79,12 +79,15 @@ _SENTINEL = -32768
 
 def encode_series(df: DataFrame, key: Sequence[str], day: str, value: str) -> DataFrame:
     """A series a key as big-endian int16 a day: the least scale of 1, 10, 100, 1000 that keeps its decimals; days
-    without a value are the sentinel. Values out of range at that scale are an error. A series is one key's days."""
+    without a value are the sentinel. Values that no scale keeps, or out of range at that scale, are an error. A series is
+    one key's days."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[value]).sort_values(day)
         v = rows[value].to_numpy(float)
-        scale = next((s for s in (1, 10, 100, 1000) if np.allclose(np.round(v * s), v * s, atol=1e-6)), 1000)
+        scale = next((s for s in (1, 10, 100, 1000) if np.allclose(np.round(v * s), v * s, rtol=0, atol=1e-6)), None)
+        if scale is None:
+            raise ValueError("a value has more than three decimals: the codec would round it")
         at = (pd.to_datetime(rows[day]) - pd.to_datetime(rows[day].iloc[0])).dt.days.to_numpy() if len(rows) else np.zeros(0, int)
         scaled = np.round(v * scale)
         if len(v) and np.abs(scaled).max() > 32767:

@@ -89,3 +89,77 @@ def lead_lifecycle(df: DataFrame, key: str, at: str, fade_after: str = "3 days",
 
     rows = _timed(df, at, late).select(F.col(key).cast("string").alias("key"), "at")
     return rows.groupBy("key").applyInPandasWithState(step, LEAD_EVENTS, LEAD_STATE, "append", "EventTimeTimeout")
+
+
+def throttle(df: DataFrame, key: str, at: str, hold: str = "48 hours", late: str = "1 day") -> DataFrame:
+    """key and at of the alerts that pass: the first of a key, and then none until `hold` after the last one that passed.
+    The state is one time a key and goes when the watermark has passed its end."""
+    import pandas as pd
+
+    wait = pd.Timedelta(hold)
+
+    def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = pd.Timestamp(state.get[0]) if state.exists else None
+        passed = []
+        for t in sorted(t for b in batches for t in b["at"]):
+            if until is None or t >= until:
+                passed.append(t)
+                until = t + wait
+        state.update((until.to_pydatetime(),))
+        state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [k[0]] * len(passed), "at": passed})
+
+    rows = _timed(df, at, late).select(F.col(key).cast("string").alias("key"), "at")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, at timestamp", "until timestamp", "append", "EventTimeTimeout")
+
+
+def due_outcomes(claims: DataFrame, readings: DataFrame, key: str, fired: str, day: str, value: str, days: int = 7, late: str = "1 day") -> DataFrame:
+    """Per fire of a key, once the watermark has passed the deadline `days` after it: the days 1 .. days that have a reading
+    and those that are holes, with the lowest and highest reading. Until then missing days are pending, and nothing
+    is said. A day's reading that comes twice counts once, the latest to come. claims: key and fired; readings: key,
+    day and value; both come as one stream of rows, as state is by key."""
+    import pandas as pd
+
+    a = claims.select(F.col(key).cast("string").alias("key"), F.lit("fire").alias("kind"), F.to_date(fired).alias("day"), F.lit(None).cast("double").alias("value"))
+    b = readings.select(F.col(key).cast("string").alias("key"), F.lit("reading").alias("kind"), F.to_date(day).alias("day"), F.col(value).cast("double").alias("value"))
+    rows = a.unionByName(b).where("day is not null").withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", late)
+
+    def step(k, batches, state):
+        fires, seen = [], {}
+        if state.exists:
+            for kind, d, v in zip(*state.get, strict=True):
+                if kind == "fire":
+                    fires.append(d)
+                else:
+                    seen[d] = v
+        if not state.hasTimedOut:
+            for batch in batches:
+                for kind, d, v in zip(batch["kind"], batch["day"], batch["value"], strict=True):
+                    if kind == "fire":
+                        fires.append(d)
+                    elif not pd.isna(v):
+                        seen[d] = float(v)
+        now = state.getCurrentWatermarkMs()
+        end = lambda d: int((pd.Timestamp(d) + pd.Timedelta(days=days + 1)).timestamp() * 1000)
+        due, fires = [d for d in fires if end(d) <= now], [d for d in fires if end(d) > now]
+        out = []
+        for d in sorted(set(due)):
+            after = [d + pd.Timedelta(days=i) for i in range(1, days + 1)]
+            got = [seen[x] for x in after if x in seen]
+            out.append((k[0], d, len(got), days - len(got), min(got, default=None), max(got, default=None)))
+        # A reading is of use to fires of the days before it that are still open, or may still come within the watermark.
+        floor = min([*fires, pd.Timestamp(now, unit="ms").date()])
+        seen = {d: v for d, v in seen.items() if d > floor}
+        if not fires and not seen:
+            state.remove()
+        else:
+            state.update((["fire"] * len(fires) + ["reading"] * len(seen), [*fires, *seen], [None] * len(fires) + list(seen.values())))
+            state.setTimeoutTimestamp(max(now + 1, min(map(end, [*fires, *seen]))))
+        yield pd.DataFrame(out, columns=["key", "fired", "recorded", "holes", "low", "high"])
+
+    state = "kinds array<string>, days array<date>, vals array<double>"
+    schema = "key string, fired date, recorded int, holes int, low double, high double"
+    return rows.groupBy("key").applyInPandasWithState(step, schema, state, "append", "EventTimeTimeout")

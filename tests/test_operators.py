@@ -133,3 +133,26 @@ def test_union_find_chain(spark):
     archive.shared_folder(spark)
     got = {r["id"]: r["label"] for r in st.union_find(edges).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and got[101] == 100
+
+
+def test_codec_refuses_what_it_would_round(spark):
+    from perennial.sources import archive
+
+    for v in (1.23456, 0.00049, 40.0001):
+        df = spark.createDataFrame([("a", dt.date(2024, 1, 1), v)], "k string, day date, v double")
+        with pytest.raises(Exception, match="decimals"):
+            archive.encode_series(df, ["k"], "day", "v").collect()
+
+
+def test_cumulative_is_the_plain_count(spark):
+    from perennial.operators import statistics as st
+    from perennial.sources import archive
+
+    archive.shared_folder(spark)
+    values = [float(v) for v in (5, 5, 5, 5, 1, 2, 2, 9, -3, 0, 0)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = [v for v in values if v is not None]
+    want = {v: (known.count(v), sum(x <= v for x in known), sum(x >= v for x in known)) for v in known}
+    for parts in (2, 5, 64):
+        assert {r["v"]: (r["c"], r["le"], r["ge"]) for r in st.cumulative(df, "v", parts=parts).collect()} == want
+    assert st.cumulative(df.limit(0), "v").count() == 0

@@ -59,3 +59,29 @@ def test_lead_lifecycle(spark, tmp_path):
     live = st.poll(spark, str(tmp_path / "in/p*"), spark.read.parquet(str(tmp_path / "in/p0")).schema, 1)
     got = drain(spark, st.lead_lifecycle(live, "lead", "ts"), tmp_path, "leads", "append")
     assert sorted((r["key"], r["at"].day, r["action"]) for r in got.collect()) == [("a", 1, "open"), ("a", 2, "refresh"), ("a", 5, "fade"), ("a", 9, "open"), ("a", 12, "fade"), ("b", 10, "open"), ("b", 13, "fade"), ("c", 25, "open"), ("c", 26, "refresh")]
+
+
+def test_throttle(spark, tmp_path):
+    at = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    for k, rows in enumerate(([("a", at(1)), ("a", at(2)), ("a", at(3)), ("b", at(2))], [("a", at(4)), ("a", at(5, 1)), ("b", at(4))], [("c", at(20))], [("a", at(21))])):
+        spark.createDataFrame(rows, "lead string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/p{k}"))
+    live = st.poll(spark, str(tmp_path / "in/p*"), spark.read.parquet(str(tmp_path / "in/p0")).schema, 1)
+    got = drain(spark, st.throttle(live, "lead", "ts"), tmp_path, "throttled", "append")
+    assert sorted(map(tuple, got.collect())) == [("a", at(1)), ("a", at(3)), ("a", at(5, 1)), ("a", at(21)), ("b", at(2)), ("b", at(4)), ("c", at(20))]
+
+
+def test_due_outcomes_wait_for_pending_days(spark, tmp_path):
+    day = lambda n: dt.date(2024, 1, n)
+    schema = "state string, fired date, day date, value double"
+    parts = (
+        [("a", day(1), None, None), ("b", day(2), None, None), ("a", None, day(2), 5.0)],
+        [("a", None, day(4), 1.0), ("a", None, day(8), 9.0), ("a", None, day(9), 99.0)],
+        [("c", None, day(20), 0.0)],
+        [("c", day(21), None, None)],
+    )
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{k}"))
+    live = st.poll(spark, str(tmp_path / "in/p*"), spark.read.parquet(str(tmp_path / "in/p0")).schema, 1)
+    got = drain(spark, st.due_outcomes(live.where("fired is not null"), live.where("day is not null"), "state", "fired", "day", "value"), tmp_path, "due", "append")
+    # Days 2, 4 and 8 of a's week are recorded and four are holes; b has holes only; c's week is still pending.
+    assert sorted(map(tuple, got.collect())) == [("a", day(1), 3, 4, 1.0, 9.0), ("b", day(2), 0, 7, None, None)]
