@@ -105,16 +105,28 @@ def peak_and_mean(spark, d):
     return daily(spark, d).groupBy("region", F.year("day").cast("long").alias("year")).agg(F.max_by("day", order).alias("peak"), F.round(F.avg("value") + 1e-6, 2).alias("mean"))
 
 
-@query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda q: CAST(q AS DOUBLE) * q)))) AS v FROM embeddings), h AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-k AS (SELECT query_id, id, 'vector' AS via FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 5), w AS (SELECT vec_id AS query_id, doc_id AS id, 'keyword' AS via FROM embeddings JOIN documents ON contains(lower(text), 'mit license') WHERE vec_id % 100 = 0)
-SELECT via, query_id, count(*) AS hits, min(id) AS first FROM (SELECT * FROM k UNION ALL SELECT * FROM w) GROUP BY 1, 2""")
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda q: CAST(q AS DOUBLE) * q)))) AS v FROM embeddings), h AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+k AS (SELECT query_id, id, 'vector' AS via FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 5),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM documents), qt AS (SELECT vec_id AS query_id, term FROM embeddings JOIN w ON doc_id = vec_id WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY term) <= 5),
+c AS (SELECT query_id, doc_id AS id, count(*) AS shared FROM qt JOIN w USING (term) WHERE doc_id <> query_id GROUP BY 1, 2), kw AS (SELECT query_id, id, 'keyword' AS via FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) <= 5),
+f AS (SELECT source, doc_id AS id FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5), fa AS (SELECT vec_id AS query_id, id, 'facts' AS via FROM embeddings JOIN documents ON doc_id = vec_id JOIN f USING (source) WHERE vec_id % 20 = 0)
+SELECT via, query_id, count(*) AS hits, min(id) AS first FROM (SELECT * FROM k UNION ALL SELECT * FROM kw UNION ALL SELECT * FROM fa) GROUP BY 1, 2""")
 def hybrid_search(spark, d):
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0")
-    k = vectors.search(e, q, 5).select("query_id", "id", F.lit("vector").alias("via"))
-    words = t(spark, d, "documents").where(F.lower("text").contains("mit license")).select(F.col("doc_id").alias("id"))
-    w = words.crossJoin(F.broadcast(q.select(F.col("vec_id").alias("query_id")))).select("query_id", "id", F.lit("keyword").alias("via"))  # a stated query set
-    return k.unionByName(w).groupBy("via", "query_id").agg(F.count("*").alias("hits"), F.min("id").alias("first"))
+    e, docs = t(spark, d, "embeddings"), t(spark, d, "documents")
+    q = e.where("vec_id % 20 = 0")
+    near = vectors.search(e, q, 5).select("query_id", "id", F.lit("vector").alias("via"))
+    # A query's terms are the first five long words of its own document; documents are found by an equi-join on the term.
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))).alias("term"))
+    ids = q.select(F.col("vec_id").alias("query_id"))
+    terms = words.join(ids, F.col("doc_id") == F.col("query_id")).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).where("k <= 5").select("query_id", "term")
+    shared = words.join(terms, "term").where("doc_id <> query_id").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.count("*").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "id"))
+    keyword = shared.withColumn("k", best).where("k <= 5").select("query_id", "id", F.lit("keyword").alias("via"))
+    # Facts: the first five well-judged documents of the query's own source, picked once a source.
+    good = docs.join(t(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id").select("source", F.col("doc_id").alias("id"))
+    good = good.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where("k <= 5")
+    facts = docs.join(ids, F.col("doc_id") == F.col("query_id")).select("query_id", "source").join(good, "source").select("query_id", "id", F.lit("facts").alias("via"))
+    return near.unionByName(keyword).unionByName(facts).groupBy("via", "query_id").agg(F.count("*").alias("hits"), F.min("id").alias("first"))
 
 
 @query("""WITH r AS (SELECT p_partkey AS rule, CASE p_partkey % 3 WHEN 0 THEN 'sunrise' WHEN 1 THEN 'sunset' ELSE 'noon' END AS anchor, (p_size - 25) * 2 AS minutes FROM part), a AS (SELECT * FROM (VALUES ('sunrise', 372), ('sunset', 1124)) v(anchor, moment))
