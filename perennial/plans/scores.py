@@ -143,11 +143,8 @@ def weighted_search_dates(spark, d):
 SELECT source_id, matched_id, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, matched_id) <= 3""")
 def cross_domain_matches(spark, d):
     e = t(spark, d, "embeddings")
-    kinds = e.select(F.col("vec_id").alias("id"), F.col("label").alias("label_b"))
-    h = vectors.search(e, _queries(spark, d), 1 << 30).join(kinds, "id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("label_a")), "query_id")
-    h = h.where("label_a <> label_b and similarity >= 0.15")
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return h.withColumn("k", k).where("k <= 3").select(F.col("query_id").alias("source_id"), F.col("id").alias("matched_id"), F.round("similarity", 6).alias("similarity"))
+    h = vectors.search(e, _queries(spark, d), 3, apart="label").where("similarity >= 0.15")
+    return h.select(F.col("query_id").alias("source_id"), F.col("id").alias("matched_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {_HITS}, g AS (SELECT query_id, id % 30 AS date_key, avg(similarity) AS m, count(*) AS entries FROM h WHERE rank <= 50 AND abs(id % 30 - query_id % 30) > 3 GROUP BY 1, 2)
