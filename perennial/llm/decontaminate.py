@@ -77,7 +77,8 @@ def build_index(items: Iterable[tuple[str | None, str | None]], n: int) -> Index
     def take() -> None:
         nonlocal length
         base = len(ids) - len(texts)
-        words = ta.Words(*(lambda d, o: (ta.LOWER[d], o))(*ta.text_buffer(pa.array(texts, pa.string()))), ta.ALNUM)
+        data, offsets = ta.text_buffer(pa.array(texts, pa.string()))
+        words = ta.Words(ta.LOWER[data], offsets, ta.ALNUM)
         hashes, counts = words.hashes(), words.counts
         joined, ends = _joined(words)
         begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends

@@ -13,7 +13,8 @@ length and partition, ranking within (partition, length), and placing each piece
 in as many groups as there are partitions.
 
 Defined results: a null text counts as empty, so it holds the end id only; repeated rows and null ids are packed as
-documents of their own; an empty table gives no rows.
+documents of their own; an empty table gives no rows; texts of any length are tokenised whole; other columns of any
+name are not looked at.
 """
 
 from __future__ import annotations

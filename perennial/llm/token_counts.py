@@ -8,7 +8,7 @@ first), all sequences at once, until none has a pair left. Surviving symbols are
 counts its UTF-8 bytes, as byte fallback does. Counts are remembered by pre-token in a table of bounded size.
 
 Defined results: a null or empty text has 0 tokens; rows are independent of each other, so repeated rows, null
-keys and empty tables need no rule.
+keys and empty tables need no rule; texts of any length are counted whole; other columns of any name are not looked at.
 """
 
 from __future__ import annotations
