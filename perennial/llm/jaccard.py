@@ -276,13 +276,14 @@ def shared_tokens(found: DataFrame, classes: DataFrame, n_groups: int) -> DataFr
 
 
 def thinned(tokens: DataFrame) -> DataFrame:
-    """(token, id, n, pos, w): of shingles that the very same classes have, the first in the order and how many there are.
+    """(token, id, n, pos, w, m): of shingles that the very same classes have, the first in the order and how many there
+    are (w), and how many classes (m).
     Lists of classes are told apart by their length, ends and two sums of hashes; shingles of one class go."""
     h, low = F.xxhash64("k"), F.lit((1 << 31) - 1)
     sums = [F.sum(x.bitwiseAND(low)).alias(c) for c, x in (("x", h), ("y", F.shiftrightunsigned(h, 31)))]
     lists = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("k").alias("lo"), F.max("k").alias("hi"), *sums, F.sum("pos").alias("at")).where("m > 1")
     first = lists.groupBy("m", "lo", "hi", "x", "y").agg(F.min_by("token", "at").alias("token"), F.count("*").alias("w"))
-    return tokens.drop("k").join(first.select("token", "w").hint("shuffle_hash"), "token")
+    return tokens.drop("k").join(first.select("token", "w", "m").hint("shuffle_hash"), "token")
 
 
 def id_filter(ids: DataFrame, bits: int | None = None) -> np.ndarray:
@@ -413,16 +414,17 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
 def all_pairs(tokens: DataFrame, sets, percent: int) -> DataFrame:
     """Every candidate pair whose ends are in different components: an equal shingle, at places that fit. Of a frequent
     shingle only those that are similar: they are compared block by block, by all three orders and then whole."""
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
-    rows = tokens.join(stored(mixed).hint("shuffle_hash"), "token").select("token", "id", "n", "pos", "label", "m")
-    few = rows.where(F.col("m") <= BLOCK).drop("m")
+    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
+    rows = tokens.select("token", "id", "n", "pos", "label", "m")
+    few = rows.where(F.col("m") <= BLOCK).drop("m").join(mixed, "token")
     other = few.toDF("token", "id2", "n2", "pos2", "label2")
     larger = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
     hit = larger & (F.col("label") != F.col("label2")) & _fits("n", "pos", "n2", "pos2", percent)
     listed = few.join(other, "token").where(hit).select(F.col("id2").alias("hub"), F.col("id").alias("spoke"))
 
     # A shingle of m classes: blocks of about half of BLOCK by a hash of the id, and a group for each pair of blocks.
-    many = rows.where(F.col("m") > BLOCK)
+    # No table by shingle but `mixed`, one row a shingle, is behind this join: Spark can split a frequent shingle's rows.
+    many = rows.where(F.col("m") > BLOCK).join(mixed.hint("shuffle_hash"), "token")
     if many.isEmpty():
         return listed.distinct()
     whole = sets(many.select("id").distinct())
