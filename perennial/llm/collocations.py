@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from .shared import partitions_for, small_batches, stored, table
 from .textarrays import release
 
-#: Bytes of text for each bucket of pieces, and for each bucket of phrases.
-PIECE_BYTES, PHRASE_BYTES = 32 << 20, 12 << 20
-#: What duckdb may hold in a task before it spills; bytes of a batch's rows that go to it at once.
-MEMORY, ROWS = "224MB", 1 << 16
+#: Bytes of text for each bucket of pieces, and for each bucket of phrases: so many that a bucket is counted in memory.
+#: Beyond BUCKETS of them the runs between tasks would become too short; buckets then grow, and duckdb spills.
+PIECE_BYTES, PHRASE_BYTES, BUCKETS = 12 << 20, 8 << 20, 1 << 15
+#: What duckdb may hold in a task before it spills; rows of a batch of its answers.
+MEMORY, ROWS = "384MB", 1 << 16
 #: A piece of more bytes is cut into runs of so many words.
 LONG_PIECE, RUN = 1 << 16, 4096
 #: Under so many keys the requests for one part, and the rows of one language, are dealt out.
@@ -142,12 +143,11 @@ def _phrases(buckets: int, longest: int):
                 _insert(con, "p", rows)
             con.execute(r"CREATE TABLE q AS SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, own, m FROM (SELECT lang, piece, own, sum(m) AS m FROM p GROUP BY ALL)")
             con.execute("DROP TABLE p")
-            con.execute("CREATE TABLE c (lang VARCHAR, phrase VARCHAR, words INTEGER, f BIGINT)")
             for n in range(1, longest + 1):
                 phrase = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
-                con.execute(f"INSERT INTO c SELECT lang, phrase, {n}, sum(m) FROM (SELECT lang, {phrase} AS phrase, m FROM (SELECT lang, w, m, unnest(range(1, 1 + least(len(w) - {n - 1}, coalesce(own, len(w))))) AS i FROM q)) GROUP BY ALL")
-            con.execute("DROP TABLE q")
-            yield from _packed(con, f"SELECT CAST(hash(lang, phrase) % {buckets} AS INTEGER) AS bucket, lang, phrase, words, f FROM c ORDER BY bucket, lang, phrase")
+                places = f"SELECT lang, w, m, unnest(range(1, 1 + least(len(w) - {n - 1}, coalesce(own, len(w))))) AS i FROM q"
+                counted = f"SELECT lang, phrase, CAST(sum(m) AS BIGINT) AS f FROM (SELECT lang, {phrase} AS phrase, m FROM ({places})) GROUP BY ALL"
+                yield from _packed(con, f"SELECT CAST(hash(lang, phrase) % {buckets} AS INTEGER) AS bucket, lang, phrase, CAST({n} AS INTEGER) AS words, f FROM ({counted}) ORDER BY bucket, lang, phrase")
 
     return run
 
@@ -174,7 +174,7 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, text: str = "text
     with a null phrase and words = 0 for each language and bucket, whose f add up to the language's words. Stored."""
     rows = small_batches(docs).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pieces, phrases = partitions_for(n_bytes, PIECE_BYTES), partitions_for(n_bytes, PHRASE_BYTES)
+    pieces, phrases = (min(BUCKETS, partitions_for(n_bytes, each)) for each in (PIECE_BYTES, PHRASE_BYTES))
     found = rows.mapInArrow(_pieces(pieces, longest), PACKED)
     found = found.repartitionById(pieces, F.col("bucket")).mapInArrow(_phrases(phrases, longest), PACKED)
     return stored(found.repartitionById(phrases, F.col("bucket")).mapInArrow(_sums(least), "lang string, phrase string, words int, f long"))
