@@ -10,7 +10,7 @@ The model is fitted on about `sample` labelled documents, chosen by a hash of ke
 
 Defined results: `und` and 0 for a null text, one without letters, or when no label could be learned; a null doc_id
 is neither learned from nor held out; repeated rows are rows of their own; an empty table gives no rows; a text is read
-whole, whatever its length; columns of docs that are named as the three results are replaced by them, others stay.
+whole, whatever its length; labels may be any number (a model holds two arrays of BUCKETS x labels); columns of docs that are named as the three results are replaced by them, others stay.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ _SCRIPT = np.zeros(256, np.int8)  # ASCII and later bytes: as latin, the least
 _SCRIPT[0xC2:] = len(SCRIPTS) - 1
 for _k, _leads in enumerate(SCRIPT_OF_LEAD.values()):
     _SCRIPT[list(_leads)] = _k
+_SCRIPT[0xE2] = 0  # U+2000 to U+2FFF: punctuation and symbols are of no script, also within a word
+#: Latin letters with further marks, U+1E00 to U+1EFF: first byte, and range of the second.
+_LATIN_LEAD, _LATIN_SECOND = 0xE1, (0xB8, 0xBB)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -71,7 +74,11 @@ class LetterWords(ta.Words):
             return np.zeros(0, np.int8)
         edges = np.column_stack((self.starts, self.ends)).ravel()
         edges = edges[:-1] if edges[-1] == len(self.data) else edges
-        return np.maximum.reduceat(_SCRIPT[self.data], edges)[::2]
+        of_byte = _SCRIPT[self.data]
+        lead = np.flatnonzero(self.data[:-1] == _LATIN_LEAD)
+        second = self.data[lead + 1]
+        of_byte[lead[(second >= _LATIN_SECOND[0]) & (second <= _LATIN_SECOND[1])]] = 0
+        return np.maximum.reduceat(of_byte, edges)[::2]
 
     def gram_places(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First and one-past-last place of each word's n-grams (n is 3 or 4)."""
@@ -104,10 +111,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     count = np.diff(first)
     order = np.argsort(-count, kind="stable")
     begin, ends = first[:-1][order], -count[order]
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), np.int32)
     if not len(scores) or scores.shape[1] < 2:
         return label
-    top, jumped = np.zeros(len(scores), np.int8), np.zeros(scores.shape, bool)
+    top, jumped = np.zeros(len(scores), np.int32), np.zeros(scores.shape, bool)
     steps = int(count.max())
     active = np.searchsorted(ends, -np.arange(steps), side="left")  # documents of more than t words
     value = scores[begin[: active[0]]].copy()

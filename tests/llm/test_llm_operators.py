@@ -8,12 +8,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
 from perennial import llm
 from perennial.llm import components, decontaminate, groups, jaccard, language_id, licences, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_counts
+from perennial.llm import textarrays as ta
 
 SF = "/root/testdata/sf0.001"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -335,6 +337,20 @@ def test_viterbi_is_the_plain_one():
             assert list(best) == got[lo:hi].tolist()
 
 
+def test_many_languages_and_marked_letters(spark):
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [["".join(r.choice(letters) for _ in range(r.randrange(5, 10))) for _ in range(12)] for _ in range(300)]
+    rows = [(1000 * k + j, " ".join(r.choice(words) for _ in range(40)), f"l{k:03}") for k, words in enumerate(own) for j in range(4)]
+    rows += [(900_000 + j, " ".join(r.choice(["chúng", "tôi", "những", "người", "được", "tiếng", "việt"]) for _ in range(40)), "vi") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language_id.identify(docs, language_id.fit(docs)).select("lang", "lang_pred").collect()
+    assert len(got) == len(rows) and all(g["lang"] == g["lang_pred"] for g in got)
+    words = language_id.LetterWords(*ta.text_buffer(pa.array(["được don’t слово ქართული"])))
+    names = [language_id.SCRIPTS[k] for k in words.script()]
+    assert names == ["latin", "latin", "cyrillic", "asian"]
+
+
 def test_quality_counts_are_the_plain_ones(spark, docs):
     text = dict(docs.select("doc_id", "text").collect())
     for r in quality_rules.text_statistics(docs).collect():
