@@ -2,15 +2,15 @@
 
 1. language: documents in which no language is recognised go (no text, no letters, or no language that holds 30 % of
    the letters).
-2. near_duplicates: of each group of documents linked by 5-word shingles at a Jaccard similarity of 0.8, the one with
-   the smallest id stays; documents without an id have no group and stay; of rows that share an id, the one whose text
-   sorts first.
+2. near_duplicates: of each group of documents linked by 5-word shingles at a Jaccard similarity of 0.8, one stays, the
+   one with the smallest id unless others share that id; documents without an id have no group and stay. Unlike texts
+   of one id are documents of their own; of rows equal in id and text one stays.
 3. decontamination: documents with a window of 10 words of a benchmark item go.
 4. personal_data: spans of personal data become tags; n_chars follows the new text.
 5. packing: one row for each piece of at most 2048 tokens, with its place in a sequence.
 
-All but the last stage return the columns of their input, whatever further ones it has and however they are named (for
-rows that share an id they must be comparable). An empty input gives an empty output of the same columns.
+All but the last stage return the columns of their input, whatever further ones it has, of whatever type and however
+they are named. Texts are read whole, whatever their length. An empty input gives an empty output of the same columns.
 """
 
 from __future__ import annotations
@@ -38,18 +38,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(found.where("lang_pred <> 'und' and lang_score >= 0.3"), docs)
 
 
+def _own_keys(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows, those of ids that several rows share with a key of their own for each text: of rows equal in id and text
+    one stays, the one whose other columns sort first as JSON."""
+    texts = rows.join(shared, F.col("key") == F.col("id")).groupBy("id", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    least, most = rows.agg(F.min("key"), F.max("key")).first()
+    number = F.monotonically_increasing_id()
+    key = F.lit(most + 1) + number if most < 1 << 62 else F.lit(least - 1) - number
+    others = rows.join(shared, F.col("key") == F.col("id"), "left_anti")
+    return others.unionByName(stored(texts.select("text", "row", key.alias("key"))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = stored(jaccard.link(docs)).where("doc_id is not null")
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = _carried(docs).withColumn("key", F.col("row.doc_id").cast("long"))
+    shared = stored(rows.where("key is not null").groupBy(F.col("key").alias("id")).count().where("count > 1").select("id"))
+    if not shared.isEmpty():
+        rows = stored(_own_keys(rows, shared))
+    gone = stored(jaccard.link(rows, "key")).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     # Only rows that a filter of bounded size takes for a copy are moved to be compared; all others stay where they are.
-    maybe = jaccard.in_filter(jaccard.id_filter(gone.withColumnRenamed("doc_id", "id")))(F.col("doc_id"))
-    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
-    if linked.count() > linked.select("doc_id").distinct().count():
-        # Rows that share an id are one group: the row whose text sorts first stays, of equal texts the first by all columns.
-        order = F.struct(F.col("text").isNull().alias("_0"), F.col("text").alias("_1"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-        once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(order).alias("least"))
-        kept = once.select(*(F.col("least.row")[c].alias(c) for c in docs.columns)).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    maybe = jaccard.in_filter(jaccard.id_filter(gone))(F.col("key"))
+    kept = rows.where(~maybe).unionByName(rows.where(maybe).join(gone, F.col("key") == F.col("id"), "left_anti"))
+    return _unpacked(kept, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language models, boosted trees and packing are not SQL: tests/llm tests the pipeline against brute force.
+#: Language models, boosted trees and packing are not SQL: tests/llm tests the stages, near duplicates and decontamination against
+#: brute force.
 ORACLE_SQL = None
