@@ -64,6 +64,48 @@ def invert_pct(lut_vals: Column, lut_below: Column, n: Column, pct: Column) -> C
     return F.element_at(F.filter(F.arrays_zip(lut_vals.alias("v"), lut_below.alias("b")), lambda x: x["b"] <= pct * n), -1)["v"]
 
 
+def _last_at_most(xs: Column, x: Column) -> Column:
+    """Place (from 0) of the last entry of a sorted array that is at most x, 0 if none is: a search by halves, in a fixed
+    number of steps that is enough for any array."""
+    start = F.struct(F.lit(0).alias("lo"), (F.size(xs) - 1).alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        low = F.get(xs, middle) <= x
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & low, middle).otherwise(s["lo"]).alias("lo"), F.when(go & ~low, middle - 1).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, half, lambda s: s["lo"])
+
+
+def inverse(lut_vals: Column, lut_below: Column, n: Column, pct: Column, side: str = "high") -> Column:
+    """The value at a depth of pct (0 to 1) on a side of the pool: between two values of the pool on a line by the number
+    strictly below, the least value at 0 (of the high side), the greatest one beyond the last step; null for an empty pool."""
+    p = F.least(F.greatest(pct, F.lit(0.0)), F.lit(1.0))
+    target = (p if side == "high" else 1 - p) * n
+    place = _last_at_most(lut_below, target)
+
+    def at(k: Column) -> Column:
+        v, b = F.get(lut_vals, k), F.get(lut_below, k)
+        step = (target - b) / (F.get(lut_below, k + 1) - b)
+        return F.when(k >= F.size(lut_vals) - 1, v).otherwise(v + step * (F.get(lut_vals, k + 1) - v))
+
+    return F.when(F.size(lut_vals) > 0, F.when(target <= 0, F.get(lut_vals, F.lit(0))).otherwise(F.get(F.transform(F.array(place), at), F.lit(0))))
+
+
+def depth_between(lut_vals: Column, lut_below: Column, n: Column, value: Column, side: str = "high") -> Column:
+    """The depth of any value on the same lines: what inverse() turns around, up to the last step."""
+    place = _last_at_most(lut_vals, value)
+
+    def at(k: Column) -> Column:
+        v, b = F.get(lut_vals, k), F.get(lut_below, k)
+        inside = (value - v) / (F.get(lut_vals, k + 1) - v) * (F.get(lut_below, k + 1) - b)
+        return F.when((k >= F.size(lut_vals) - 1) | (value <= v), b.cast("double")).otherwise(b + inside)
+
+    share = F.get(F.transform(F.array(place), at), F.lit(0)) / n
+    return F.when(F.size(lut_vals) > 0, share if side == "high" else 1 - share)
+
+
 def band_census(df: DataFrame, key: Sequence[str], day: str, value: str, band: float, side: str = "low", gap: int = 7) -> DataFrame:
     """The ceil(band * n) most extreme members of each key's pool: threshold, ties at it, episodes, their years."""
     rows = df.where(F.col(value).isNotNull())
