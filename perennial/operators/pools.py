@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendars import doy_common
 from ..functions.numbers import round_half_up
+from .ranks import numbered
 from .series import episodes
 
 
@@ -109,8 +110,7 @@ def depth_between(lut_vals: Column, lut_below: Column, n: Column, value: Column,
 def band_census(df: DataFrame, key: Sequence[str], day: str, value: str, band: float, side: str = "low", gap: int = 7) -> DataFrame:
     """The ceil(band * n) most extreme members of each key's pool: threshold, ties at it, episodes, their years."""
     rows = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*key)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value, day))).withColumn("pool_n", F.count("*").over(w))
+    ranked = numbered(rows, key, [value, day], "_r", "pool_n")
     take = F.ceil(F.lit(band) * F.col("pool_n"))
     inside = F.col("_r") <= take if side == "low" else F.col("_r") > F.col("pool_n") - take
     members = ranked.where(inside)

@@ -70,11 +70,12 @@ def forecast_skill(forecast: DataFrame, actual: DataFrame, on: Sequence[str]) ->
     return j.select(*on, F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))).alias("skill"))
 
 
-def station_changes(obs: DataFrame, station: Sequence[str], at: str) -> DataFrame:
+def station_changes(obs: DataFrame, station: Sequence[str], at: str, tie: Sequence[str] = ()) -> DataFrame:
     """Oldest against newest reading of a station, 1 to 6 hours apart: temp falls, wind turns, pressure moves; two or
-    more at one station add a front. Columns temp, wind_dir, pressure; pressures outside 870..1100 say nothing."""
+    more at one station add a front. Readings of one time go by `tie`. Columns temp, wind_dir, pressure; pressures outside 870..1100 say nothing."""
     reading = F.struct(F.col(at).cast("timestamp").alias("at"), "temp", "wind_dir", F.when(F.col("pressure").between(870, 1100), F.col("pressure")).alias("pressure"))
-    g = obs.groupBy(*station).agg(F.min_by(reading, at).alias("a"), F.max_by(reading, at).alias("b"))
+    order = F.struct(at, *tie)
+    g = obs.groupBy(*station).agg(F.min_by(reading, order).alias("a"), F.max_by(reading, order).alias("b"))
     hours = (F.unix_micros("b.at") - F.unix_micros("a.at")) / 3.6e9
     fall = F.col("a.temp") - F.col("b.temp")
     turn = F.abs(F.col("b.wind_dir") - F.col("a.wind_dir"))

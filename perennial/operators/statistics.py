@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import cumulative, mean_ranks
+
 
 @F.pandas_udf(T.DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
@@ -40,13 +42,18 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> dict[str, C
     return {"lo": pick(F.greatest(middle - half, F.lit(0.0)), 0.0), "hi": pick(F.least(middle + half, F.lit(1.0)), 1.0), "mid": pick(middle, 0.5)}
 
 
-def benjamini_hochberg(df: DataFrame, p: str, family: Sequence[str], tie: Sequence[str], q: float = 0.05) -> DataFrame:
-    """q-values by step-up, and whether each test is rejected at level q."""
-    w = Window.partitionBy(*family)
-    rows = df.where(F.col(p).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(p, *tie))).withColumn("_m", F.count("*").over(w))
-    raw = F.col(p) * F.col("_m") / F.col("_k")
-    rows = rows.withColumn("q_value", F.least(F.lit(1.0), F.min(raw).over(w.orderBy(p, *tie).rowsBetween(0, Window.unboundedFollowing))))
-    return rows.withColumn("rejected", F.col("q_value") <= q).drop("_k", "_m")
+def benjamini_hochberg(df: DataFrame, p: str, family: Sequence[str], tie: Sequence[str] = (), q: float = 0.05) -> DataFrame:
+    """q-values by step-up, and whether each test is rejected at level q. Equal p have equal q, whatever their order (`tie` is not
+    needed any more). A family may hold most of the tests: ranks and the least of what follows are found by ranges of p."""
+    c = cumulative(df, p, key=family)
+    c = c.withColumn("_raw", F.col(p) * (F.col("le") + F.col("ge") - F.col("c")) / F.col("le"))
+    after = Window.partitionBy(*family, "range").orderBy(F.desc(p))
+    least = c.groupBy(*family, "range").agg(F.min("_raw").alias("_least"))
+    beyond = Window.partitionBy(*family).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.withColumn("_beyond", F.min("_least").over(beyond)).drop("_least")  # a row for each family and range
+    found = c.withColumn("_here", F.min("_raw").over(after)).join(least, [*family, "range"])
+    found = found.select(*family, p, F.least(F.lit(1.0), "_here", "_beyond").alias("q_value"))
+    return df.where(F.col(p).isNotNull()).join(found, [*family, p]).select(*df.columns, "q_value", (F.col("q_value") <= q).alias("rejected"))
 
 
 def finite_lift(a: Column, n: Column, b: Column, m: Column) -> Column:
@@ -55,12 +62,10 @@ def finite_lift(a: Column, n: Column, b: Column, m: Column) -> Column:
 
 
 def spearman(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with mean ranks for ties."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
-        w = Window.partitionBy(*key)
-        rows = rows.withColumn(f"_{c}", F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*key, c)) - 1) / 2)
-    return rows.groupBy(*key).agg(F.corr(f"_{x}", f"_{y}").alias("rho"), F.count("*").alias("n"))
+    """Rank correlation with mean ranks for ties. Ranks are found by counts of values, not by ordering a key in one task."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, x, y)
+    ranked = mean_ranks(mean_ranks(rows, key, x, "_x"), key, y, "_y")
+    return ranked.groupBy(*key).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def theil_sen(df: DataFrame, key: Sequence[str], x: str, y: str, most: int = 4000) -> DataFrame:
@@ -114,19 +119,3 @@ def empirical_p(observed: DataFrame, nulls: DataFrame, key: Sequence[str], value
     pool = nulls.select(*key, F.col(value).alias("_null"))
     counts = observed.join(pool, list(key), "left").groupBy(*key, value).agg(F.count_if(F.col("_null") >= F.col(value)).alias("_k"), F.count("_null").alias("_n"))
     return counts.select(*key, value, F.col("_n").alias("replicates"), ((1 + F.col("_k")) / (1 + F.col("_n"))).alias("p"))
-
-
-def cumulative(values: DataFrame, value: str, weight: Column | None = None, parts: int = 64) -> DataFrame:
-    """(value, c, le, ge) for each distinct value: how often it occurs, and how many values lie at or below and at or
-    above it; with a weight, its sums instead. Counted by value first, then dealt into ranges; the sums of the ranges before are added to sums within
-    a range, so that no task sees all values. The ranges are written to a checkpoint, as they are read twice."""
-    per = values.where(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if weight is None else F.sum(weight)).alias("c"))
-    cuts = per.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
-    part = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda b: b < F.col(value).cast("double")))
-    rows = per.crossJoin(F.broadcast(cuts)).select(value, "c", part.alias("_part")).checkpoint()  # one row
-    sums = rows.groupBy("_part").agg(F.sum("c").alias("_sum"))
-    before = sums.select("_part", "_sum", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))  # `parts` rows at most
-    w = Window.partitionBy("_part").orderBy(value)
-    out = rows.withColumn("_in", F.sum("c").over(w)).join(F.broadcast(before), "_part")
-    le = F.col("_before") + F.col("_in")
-    return out.select(value, "c", le.alias("le"), (F.col("_all") - le + F.col("c")).alias("ge"))

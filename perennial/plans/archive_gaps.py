@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import frames, joins, series
+from ..operators import frames, joins, ranks, series
 from ..operators import statistics as st
 from ..sources import archive
 from .common import DAILY, daily, query, t
@@ -95,6 +95,6 @@ def empirical_fdr(spark, d):
     archive.shared_folder(spark)
     shares = _rotated(spark, d).withColumn("turned", (F.col("k") > 0).cast("int"))
     total = shares.agg(F.sum("turned").alias("pool"))  # one row
-    above = st.cumulative(shares, "value", F.col("turned")).select("value", "ge")
+    above = ranks.cumulative(shares, "value", F.col("turned")).select("value", "ge")
     p = shares.where("turned = 0").join(above, "value").crossJoin(F.broadcast(total)).select("region", F.round((1 + F.col("ge")) / (1 + F.col("pool")), 9).alias("p"), F.lit("all").alias("family"))
     return st.benjamini_hochberg(p, "p", ["family"], ["region"]).select("region", F.round("q_value", 6).alias("q_value"))

@@ -104,9 +104,9 @@ def station_top_three(spark, d):
     return event_days(spark, d).groupBy("day").agg(F.count_if(F.col("n") > 60).alias("nonzero"), F.array_join(F.transform(best, lambda x: x["event_type"]), ",").alias("top3"))
 
 
-@query("""WITH s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS direct, count(*) FILTER (WHERE event_type = 'view') AS vector FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1)
-SELECT user_id, CASE WHEN direct >= 5 OR vector >= 8 THEN 'confirmed' WHEN direct >= 2 THEN 'partial' ELSE 'missed' END AS grade FROM s""")
+@query("""WITH s AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) FILTER (WHERE event_type = 'purchase') AS direct, count(*) FILTER (WHERE event_type = 'view') AS vector FROM events GROUP BY 1, 2)
+SELECT user_id, week, CASE WHEN direct >= 5 OR vector >= 8 THEN 'confirmed' WHEN direct >= 2 THEN 'partial' ELSE 'missed' END AS grade FROM s""")
 def signal_count_grade(spark, d):
     k = F.col("event_type")
-    s = t(spark, d, "events").where(F.col("ts") < F.lit("2024-01-08").cast("timestamp")).groupBy("user_id").agg(F.count_if(k == "purchase").alias("direct"), F.count_if(k == "view").alias("vector"))
-    return s.select("user_id", num.ladder([((F.col("direct") >= 5) | (F.col("vector") >= 8), "confirmed"), (F.col("direct") >= 2, "partial")], "missed").alias("grade"))
+    s = t(spark, d, "events").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count_if(k == "purchase").alias("direct"), F.count_if(k == "view").alias("vector"))
+    return s.select("user_id", "week", num.ladder([((F.col("direct") >= 5) | (F.col("vector") >= 8), "confirmed"), (F.col("direct") >= 2, "partial")], "missed").alias("grade"))

@@ -172,13 +172,16 @@ def hourly_arrays(spark, d):
     return t(spark, d, "events").select("event_type", F.explode(arr).alias("v")).groupBy("event_type").agg(F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("high"), F.count("v").alias("present"))
 
 
-@query(f"""WITH {DAILY} SELECT region, day, round(value, 1) AS value FROM daily WHERE value IS NOT NULL AND day >= DATE '2001-01-01'""")
+@query(f"""WITH {DAILY} SELECT region, day, round(value, 1) AS value FROM daily WHERE value IS NOT NULL""")
 def codec_round_trip(spark, d):
-    x = daily(spark, d).where("day >= date'2001-01-01'").select("region", "day", F.round("value", 1).alias("value"))
-    # Values are too large for one int16, so the codec carries them as thousands and tenths apart.
-    parts = x.select("region", F.explode(F.array(F.struct(F.lit("k").alias("part"), F.floor(F.col("value") / 1000).cast("double").alias("v")), F.struct(F.lit("r").alias("part"), F.round(F.col("value") - F.floor(F.col("value") / 1000) * 1000, 1).alias("v")))).alias("p"), "day").select("region", "p.part", "day", "p.v")
+    x = daily(spark, d).select("region", "day", F.round("value", 1).alias("value"))
+    # Values are too large for one int16, so the codec carries them as millions, thousands and tenths apart.
+    whole = F.floor(F.col("value") / 1000)
+    part = lambda name, v: F.struct(F.lit(name).alias("part"), v.cast("double").alias("v"))
+    split = F.array(part("m", F.floor(whole / 1000)), part("k", whole % 1000), part("r", F.round(F.col("value") - whole * 1000, 1)))
+    parts = x.select("region", F.explode(split).alias("p"), "day").select("region", "p.part", "day", "p.v")
     back = archive.decode_series(archive.encode_series(parts, ["region", "part"], "day", "v"), ["region", "part"], "day", "v")
-    return back.groupBy("region", "day").agg(F.round(F.sum(F.when(F.col("part") == "k", F.col("v") * 1000).otherwise(F.col("v"))), 1).alias("value"))
+    return back.groupBy("region", "day").agg(F.round(F.sum(F.when(F.col("part") == "m", F.col("v") * 1_000_000).when(F.col("part") == "k", F.col("v") * 1000).otherwise(F.col("v"))), 1).alias("value"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS questions, max(length(text)) AS longest FROM conversations GROUP BY 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as num
 from ..functions import sky
-from ..operators import ann, quality, scoring, series
+from ..operators import ann, quality, ranks, scoring, series
 from ..operators import statistics as st
 from ..sources import archive
 from .common import DAILY, EVENT_DAYS, daily, event_days, query, t
@@ -70,7 +70,7 @@ def tail_base_rate(spark, d):
     x = daily(spark, d)
     archive.shared_folder(spark)
     pivot = x.agg(F.median("value").alias("pivot"), F.count("*").alias("all"))
-    upto = st.cumulative(x, "value").drop("c")
+    upto = ranks.cumulative(x, "value").select("value", "le", "ge")
     j = x.join(upto, "value").crossJoin(F.broadcast(pivot))  # one row
     return j.select("region", "day", F.round(F.when(F.col("value") >= F.col("pivot"), F.col("ge")).otherwise(F.col("le")) / F.col("all"), 6).alias("share"))
 
@@ -134,11 +134,11 @@ def job_health(spark, d):
     return j.select("job", "latest", F.round(hours, 4).alias("hours_ago"), F.when(hours > F.when(F.col("job") == "click", 1).otherwise(26), "late").otherwise("ok").alias("status"))
 
 
-@query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS hits, count(*) FILTER (WHERE event_type = 'error') AS misses, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'hit'
-WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'mixed' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'miss' ELSE 'quiet' END AS grade FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1""")
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'purchase') AS hits, count(*) FILTER (WHERE event_type = 'error') AS misses, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'hit'
+WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'mixed' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'miss' ELSE 'quiet' END AS grade FROM events GROUP BY 1, 2""")
 def report_cards(spark, d):
     p, e = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
-    g = t(spark, d, "events").where(F.col("ts") < F.lit("2024-01-05").cast("timestamp")).groupBy("user_id").agg(p.alias("hits"), e.alias("misses"))
+    g = t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(p.alias("hits"), e.alias("misses"))
     return g.withColumn("grade", num.ladder([((F.col("hits") > 0) & (F.col("misses") == 0), "hit"), (F.col("hits") > 0, "mixed"), (F.col("misses") > 0, "miss")], "quiet"))
 
 

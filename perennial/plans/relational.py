@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
-from ..operators import joins
+from ..operators import joins, ranks
 from .common import DAILY, EVENT_DAYS, daily, event_days, query, t
 
 # --- scans
@@ -368,8 +368,7 @@ def multi_key_order(spark, d):
 @query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, event_id FROM r WHERE (k - 1) % CAST(ceil(n / 40.0) AS BIGINT) = 0""")
 def systematic_sample(spark, d):
-    w = Window.partitionBy("event_type")
-    r = t(spark, d, "events").select("event_type", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("k"), F.count("*").over(w).alias("n"))
+    r = ranks.numbered(t(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], ["ts", "event_id"], "k", "n")
     return r.where((F.col("k") - 1) % F.ceil(F.col("n") / 40.0) == 0).select("event_type", "event_id")
 
 
@@ -408,10 +407,10 @@ def set_difference(spark, d):
     return e.where("event_type = 'view'").select("user_id").exceptAll(e.where("event_type = 'error' and value > 90").select("user_id")).distinct().join(e.where("event_type = 'error' and value > 90").select("user_id").distinct(), "user_id", "left_anti")
 
 
-@query("""SELECT key, doc_id, length(text) AS size FROM (SELECT lower(regexp_replace(left(text, 40), '[^A-Za-z]+', ' ', 'g')) AS key, doc_id, text FROM documents)
+@query("""SELECT key, doc_id, length(text) AS size FROM (SELECT lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')) AS key, doc_id, text FROM documents)
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(text) DESC, doc_id) = 1""")
 def dedupe_keep_longest(spark, d):
-    key = F.lower(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]+", " "))
+    key = F.lower(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^A-Za-z]+", " "))  # a document's title is its first line
     x = t(spark, d, "documents").select(key.alias("key"), "doc_id", F.length("text").cast("long").alias("size"))
     return joins.latest(x, ["key"], [F.desc("size"), F.col("doc_id")])
 

@@ -90,16 +90,15 @@ def forecast_skill(spark, d):
     return scoring.forecast_skill(a.withColumn("day", F.date_add("day", 1)), a, ["event_type", "day"]).withColumn("skill", F.round("skill", 6))
 
 
-@query("""WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, value AS temp, (value * 7) % 360 AS wind_dir, CASE WHEN 980 + value / 2 BETWEEN 870 AND 1100 THEN 980 + value / 2 END AS pressure FROM events WHERE hour(ts) BETWEEN 8 AND 13),
-g AS (SELECT user_id, day, min_by(temp, ts) AS t1, max_by(temp, ts) AS t2, min_by(wind_dir, ts) AS w1, max_by(wind_dir, ts) AS w2, arg_min_null(pressure, ts) AS p1, arg_max_null(pressure, ts) AS p2, epoch(max(ts)) - epoch(min(ts)) AS s FROM o GROUP BY 1, 2 HAVING count(DISTINCT ts) = count(*)),
+@query("""WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) // 6 AS quarter, (ts, event_id) AS ts, ts AS moment, value AS temp, (value * 7) % 360 AS wind_dir, CASE WHEN 980 + value / 2 BETWEEN 870 AND 1100 THEN 980 + value / 2 END AS pressure FROM events),
+g AS (SELECT user_id, day, quarter, min_by(temp, ts) AS t1, max_by(temp, ts) AS t2, min_by(wind_dir, ts) AS w1, max_by(wind_dir, ts) AS w2, arg_min_null(pressure, ts) AS p1, arg_max_null(pressure, ts) AS p2, epoch(max(moment)) - epoch(min(moment)) AS s FROM o GROUP BY 1, 2, 3),
 h AS (SELECT *, least(abs(w2 - w1), 360 - abs(w2 - w1)) AS turn FROM g WHERE s BETWEEN 3600 AND 21600),
-e AS (SELECT user_id, day, list_filter([CASE WHEN t1 - t2 > 5 THEN CASE WHEN t1 - t2 > 12 THEN 'temp-drop:high' ELSE 'temp-drop:medium' END END, CASE WHEN turn > 60 THEN CASE WHEN turn > 135 THEN 'wind-shift:high' ELSE 'wind-shift:medium' END END,
+e AS (SELECT user_id, day, quarter, list_filter([CASE WHEN t1 - t2 > 5 THEN CASE WHEN t1 - t2 > 12 THEN 'temp-drop:high' ELSE 'temp-drop:medium' END END, CASE WHEN turn > 60 THEN CASE WHEN turn > 135 THEN 'wind-shift:high' ELSE 'wind-shift:medium' END END,
 CASE WHEN p2 - p1 < -2 THEN CASE WHEN p2 - p1 < -6 THEN 'pressure-drop:high' ELSE 'pressure-drop:medium' END END, CASE WHEN p2 - p1 > 3 THEN 'pressure-rise:medium' END], lambda x: x IS NOT NULL) AS f FROM h)
-SELECT user_id, day, split_part(x, ':', 1) AS event, split_part(x, ':', 2) AS severity FROM (SELECT user_id, day, unnest(CASE WHEN len(f) >= 2 THEN list_append(f, 'front-passage:high') ELSE f END) AS x FROM e)""")
+SELECT user_id, day, quarter, split_part(x, ':', 1) AS event, split_part(x, ':', 2) AS severity FROM (SELECT user_id, day, quarter, unnest(CASE WHEN len(f) >= 2 THEN list_append(f, 'front-passage:high') ELSE f END) AS x FROM e)""")
 def station_changes(spark, d):
-    o = t(spark, d, "events").where("hour(ts) between 8 and 13").select("user_id", F.to_date("ts").alias("day"), "ts", F.col("value").alias("temp"), ((F.col("value") * 7) % 360).alias("wind_dir"), (980 + F.col("value") / 2).alias("pressure"))
-    single = o.groupBy("user_id", "day").agg(F.count("*").alias("a"), F.countDistinct("ts").alias("b")).where("a = b").select("user_id", "day")
-    return scoring.station_changes(o.join(single, ["user_id", "day"], "left_semi"), ["user_id", "day"], "ts")
+    o = t(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 6).alias("quarter"), "ts", "event_id", F.col("value").alias("temp"), ((F.col("value") * 7) % 360).alias("wind_dir"), (980 + F.col("value") / 2).alias("pressure"))
+    return scoring.station_changes(o, ["user_id", "day", "quarter"], "ts", ["event_id"])
 
 
 # --- vectors

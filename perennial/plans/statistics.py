@@ -11,12 +11,12 @@ from .common import DAILY, daily, query, t
 
 #: Per supplier: returned and late lines as a 2x2 table.
 _TABLES = """tables AS (SELECT l_suppkey AS supplier, count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount >= 0.05) AS a, count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount < 0.05) AS b,
-count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount >= 0.05) AS c, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount < 0.05) AS d FROM lineitem WHERE l_quantity > 30 GROUP BY 1)"""
+count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount >= 0.05) AS c, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount < 0.05) AS d FROM lineitem GROUP BY 1)"""
 
 
 def _tables(spark, d):
     r, big = F.col("l_returnflag") == "R", F.col("l_discount") >= 0.05
-    g = t(spark, d, "lineitem").where("l_quantity > 30").groupBy(F.col("l_suppkey").alias("supplier"))
+    g = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"))
     return g.agg(F.count_if(r & big).alias("a"), F.count_if(r & ~big).alias("b"), F.count_if(~r & big).alias("c"), F.count_if(~r & ~big).alias("d"))
 
 

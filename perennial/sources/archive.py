@@ -21,10 +21,14 @@ ARCHIVE = T.StructType(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, from spark.checkpoint.dir; one of its own only where that is unset."""
+    """The checkpoint folder of the session, from spark.checkpoint.dir. Only a session in one process (tests) may do without that setting
+    and gets a folder of its own; on a cluster that would be a folder that executors do not share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
