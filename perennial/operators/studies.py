@@ -21,7 +21,7 @@ _LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.323
 
 
 def log_gamma(x: Column) -> Column:
-    """For x > 0.5."""
+    """For x of 0.5 and more."""
     z = x - 1
     total = F.lit(_LANCZOS[0])
     for k, c in enumerate(_LANCZOS[1:], 1):
@@ -51,13 +51,19 @@ def _beta_fraction(a: Column, b: Column, x: Column, steps: int = 200) -> Column:
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) of Student's distribution with df degrees of freedom, which need be no whole number."""
-    a, b, x = df / 2, F.lit(0.5), df / (df + t * t)
-    front = F.exp(log_gamma(a + b) - log_gamma(a + 1) - 0.5 * math.log(math.pi) + a * F.log(x) + b * F.log1p(-x))
-    # One side of the fraction converges: the other is its mirror image.
-    direct = front * _beta_fraction(a, b, x)
-    mirrored = 1 - front * a / b * _beta_fraction(b, a, 1 - x)
-    return F.when(t == 0, 1.0).when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+    """P(|T| >= |t|) of Student's distribution with df degrees of freedom, which need be no whole number: the incomplete beta
+    function, of the two sides the one whose fraction converges."""
+    a, b, x, rest = df / 2, F.lit(0.5), df / (df + t * t), t * t / (df + t * t)
+    turned = x >= (a + 1) / (a + b + 2)
+    side = F.struct(F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, rest).otherwise(x).alias("x"), turned.alias("turned"))
+
+    def share(s: Column) -> Column:
+        front = F.exp(log_gamma(s["a"] + s["b"]) - log_gamma(s["a"] + 1) - log_gamma(s["b"]) + s["a"] * F.log(s["x"]) + s["b"] * F.log1p(-s["x"]))
+        part = front * _beta_fraction(s["a"], s["b"], s["x"])
+        return F.when(s["turned"], 1 - part).otherwise(part)
+
+    # The side is worked out once, by an array of one element.
+    return F.when(t == 0, 1.0).otherwise(F.get(F.transform(F.array(side), share), F.lit(0)))
 
 
 def normal_upper(z: Column) -> Column:

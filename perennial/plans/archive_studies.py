@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sky
+from ..operators import series, studies
 from ..operators import statistics as st
-from ..operators import studies
+from ..sources import archive
 from .common import DAILY, daily, query
 
 _SYNODIC = 29.530588861
@@ -93,11 +94,10 @@ ps AS (SELECT *, {_student('mt', '(mn - 1.0)')} AS mp, {_student('pt', '(pn - 1.
 SELECT lag, mn AS matched_n, round(mm, 6) AS matched_mean, round(mt, 6) AS matched_t, round(mp, 6) AS matched_p, pn AS placebo_n, round(pm, 6) AS placebo_mean, round(pt, 6) AS placebo_t, round(pp, 6) AS placebo_p, contaminated, round(wt, 6) AS welch_t, round(df, 6) AS welch_df, round(wp, 6) AS welch_p,
 round(least(1.0, min(wp * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM k""")
 def placebo_event_study(spark, d):
-    from ..operators import series
-
     z = series.trailing_z(daily(spark, d), ["region"], "day", "value").select("region", "day", "z")
     partners = spark.createDataFrame([("AFRICA", "ASIA"), ("AMERICA", "EUROPE"), ("ASIA", "AMERICA"), ("EUROPE", "MIDDLE EAST"), ("MIDDLE EAST", "AFRICA")], "region string, partner string")
-    tests = studies.placebo_tests(studies.placebo_study(z, z.where("z > 2"), partners, "region", "day", "z"))
+    archive.shared_folder(spark)
+    tests = studies.placebo_tests(studies.placebo_study(z, z.where("z > 2"), partners, "region", "day", "z")).checkpoint()  # its columns are large expressions
     out = st.benjamini_hochberg(tests.withColumn("family", F.lit(0)), "welch_p", ["family"], ["lag"])
     rounded = ("matched_mean", "matched_t", "matched_p", "placebo_mean", "placebo_t", "placebo_p", "welch_t", "welch_df", "welch_p", "q_value")
     return out.select("lag", "matched_n", "placebo_n", "contaminated", *(F.round(c, 6).alias(c) for c in rounded))
