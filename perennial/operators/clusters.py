@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,12 @@ def greedy_anchors(df: DataFrame, family: str, row_id: str, day: str, states: st
     """Each row with the number of its cluster: rows of a family in order of day and id, each into the first cluster
     whose last day is at most `within` days before and which shares a state; clusters bridged later stay apart.
 
-    The rule is an ordered fold of one family, kept small by letting clusters go once they are too old to take a row:
-    a family's rows pass one task in day order, with a state of the clusters of the last `within` days."""
+    The rule is an ordered fold. No cluster reaches across a gap of more than `within` days without a row, so a family is cut there
+    exactly, each island is folded by itself, and numbers go on from island to island."""
+    days = df.select(family, day).distinct()
+    w = Window.partitionBy(family).orderBy(day)
+    days = days.withColumn("_new", F.coalesce((F.datediff(F.col(day), F.lag(day).over(w)) > within).cast("int"), F.lit(1)))
+    days = days.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([day, row_id], kind="stable")
@@ -33,10 +37,15 @@ def greedy_anchors(df: DataFrame, family: str, row_id: str, day: str, states: st
             hit[1] = max(hit[1], d)
             hit[2] |= mine
             out.append(hit[0])
-        return rows[[family, row_id]].assign(cluster=np.array(out, np.int64))
+        return rows[[family, row_id, "_island"]].assign(_own=np.array(out, np.int64))
 
     kinds = dict(df.dtypes)
-    return df.select(family, row_id, day, states).groupBy(family).applyInPandas(fold, f"{family} {kinds[family]}, {row_id} {kinds[row_id]}, cluster long")
+    rows = df.select(family, row_id, day, states).join(days, [family, day])
+    folded = rows.groupBy(family, "_island").applyInPandas(fold, f"{family} {kinds[family]}, {row_id} {kinds[row_id]}, _island long, _own long")
+    # How many clusters the islands before have: a row for each island.
+    counts = folded.groupBy(family, "_island").agg((F.max("_own") + 1).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(family).orderBy("_island")) - F.col("_n")).drop("_n")
+    return folded.join(before, [family, "_island"]).select(family, row_id, (F.col("_own") + F.col("_before")).alias("cluster"))
 
 
 def arcs(scores: DataFrame, key: Sequence[str], day: str, score: str, rise: float, peak: float, quiet: int) -> DataFrame:

@@ -119,3 +119,20 @@ def band_census(df: DataFrame, key: Sequence[str], day: str, value: str, band: f
     ties = rows.join(facts.select(*key, "threshold"), list(key)).where(F.col(value) == F.col("threshold")).groupBy(*key).agg(F.count("*").alias("ties"))
     runs = episodes(members, key, day, gap).groupBy(*key).agg(F.count("*").alias("episodes"), F.countDistinct(F.year("start_day")).alias("years"), F.max("start_day").alias("last_occurrence"))
     return facts.join(ties, list(key)).join(runs, list(key))
+
+
+def band_facts(dictionary: DataFrame, low: float, high: float, gap: int = 7, least_episodes: int = 3, least_years: int = 3) -> DataFrame:
+    """Of a pool dictionary (days in order of value, as series.frequency_dictionary() bakes them) the slice between two ranks, from
+    floor(low n) to before ceil(high n): matched days, episodes (at most `gap` days missing within one), the years they start in,
+    the last start, episodes by decade, and a reason to say nothing. Work on a row's arrays: no pool is read again."""
+    n = F.size("days")
+    lo, hi = F.greatest(F.lit(0), F.floor(low * n)).cast("int"), F.least(n, F.ceil(high * n).cast("int"))
+    rows = dictionary.withColumn("_band", F.array_sort(F.slice("days", lo + 1, F.greatest(F.lit(0), hi - lo))))
+    fresh = F.filter("_band", lambda d, i: (i == 0) | (F.datediff(d, F.get("_band", i - 1)) > gap + 1))
+    rows = rows.withColumn("_starts", fresh)
+    years = F.array_distinct(F.transform("_starts", lambda d: F.year(d)))
+    decade = lambda d: (F.floor(F.year(d) / 10) * 10).cast("int")
+    decades = F.transform(F.array_distinct(F.transform("_starts", decade)), lambda x: F.struct(x.alias("decade"), F.size(F.filter("_starts", lambda d: decade(d) == x)).alias("episodes")))
+    count, reach = F.size("_starts"), F.size(years)
+    refusal = F.when(count == 0, "nothing on record").when(count < least_episodes, "too few episodes").when(reach < least_years, "too few years")
+    return rows.withColumns({"matched_days": F.size("_band"), "episode_count": count, "episode_years": years, "last_start": F.get("_starts", count - 1), "decades": decades, "refusal": refusal}).drop("_band", "_starts")

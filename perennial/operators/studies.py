@@ -114,9 +114,10 @@ def graded(verb: Column, span: Column, drops: Column, rises: Column, holes: Colu
     return F.when(verb == "cooled", claim(drops)).when(verb == "warmed", claim(rises)).when(verb == "held", F.when(moved, 0).when(F.size(holes) == 0, 1))
 
 
-def anchored(df: DataFrame, key: Sequence[str], day: str, value: str, window: int = 3) -> DataFrame:
-    """Each value once for every calendar day that it lies within `window` days of: `md` (month and day) and `off`."""
-    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(day).alias("p"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("off"))
+def anchored(df: DataFrame, key: Sequence[str], day: str, value: str, window: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """Each value once for every calendar day that it lies within `window` days of: `md` (month and day) and `off`. Columns of `carry`
+    go with it as p_<name>."""
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(day).alias("p"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("off"), *(F.col(c).alias(f"p_{c}") for c in carry))
     return rows.withColumn("md", F.date_format(F.expr("date_sub(p, off)"), "MM-dd")).withColumn("year", F.year("p"))
 
 
@@ -134,21 +135,56 @@ def own_year_out(anchors: DataFrame, key: Sequence[str], least: int = 5) -> Data
     return pairs
 
 
-def paired_precedents(df: DataFrame, key: Sequence[str], day: str, value: str, pooled: Column, treated: Column, window: int = 3, guard: int = 10, least_years: int = 5, days: int = 7, bar: float = 5.0) -> DataFrame:
+#: Fixed values of the line-up: near-normal and tolerated anomalies, an elevated tide, days of the moon's age.
+NEAR, TOLERANCE, ELEVATED, MOON_DAYS = 2.0, 5.0, 0.5, 2.0
+
+
+def temperature_alike(anomaly: Column, today: Column) -> Column:
+    """Both near normal, or of one sign and no further apart than tolerated."""
+    return F.when(F.abs(today) < NEAR, F.abs(anomaly) < NEAR).otherwise((F.signum(anomaly) == F.signum(today)) & (F.abs(anomaly - today) <= TOLERANCE))
+
+
+def tide_alike(residual: Column, today: Column) -> Column:
+    """Both not elevated, or both elevated to one side."""
+    return F.when(F.abs(today) < ELEVATED, F.abs(residual) < ELEVATED).otherwise((F.signum(residual) == F.signum(today)) & (F.abs(residual) >= ELEVATED))
+
+
+def precedent_pool(df: DataFrame, key: Sequence[str], day: str, value: str, window: int = 3, guard: int = 10, least_years: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a day and each member of its pool: values of other years within `window` days of its place in the year and more than
+    `guard` days away. `today` and `anomaly` are how far the day and the member `p` lie above the mean of their offset over the years
+    other than the day's; a day whose own offset has fewer than `least_years` such years has no pool. Columns of `carry` are there
+    for the day under their names and for the member as p_<name>."""
+    anchors = anchored(df, key, day, value, window, carry)
+    means = own_year_out(anchors, key, least_years)
+    index = df.where(F.col(value).isNotNull()).select(*key, F.col(day).alias("day"), F.col(value).cast("double").alias("v0"), F.date_format(day, "MM-dd").alias("md"), F.year(day).alias("year"), *carry)
+    index = index.join(means, [*key, "md", "year"]).withColumn("today", F.col("v0") - F.try_element_at("means", F.lit(0))).where("today is not null").drop("v0")
+    pool = index.join(anchors.withColumnRenamed("year", "p_year"), [*key, "md"])
+    pool = pool.where((F.col("p_year") != F.col("year")) & (F.abs(F.datediff("p", "day")) > guard))
+    return pool.withColumn("anomaly", F.col("v") - F.try_element_at("means", F.col("off"))).where("anomaly is not null").drop("means", "md", "year", "v")
+
+
+def line_ups(df: DataFrame, key: Sequence[str], day: str, value: str, tide: str, moon_distance: Column, least_tides: int = 60, **pool) -> DataFrame:
+    """Per day with a pool: its members, those alike in temperature, those alike in the moon's age besides, and those that line up: alike
+    in the tide besides where the day and `least_tides` members have one (mode moon_tide_temp), else in temperature and moon
+    (moon_temp). moon_distance: days between the ages of `p` and `day`."""
+    pairs = precedent_pool(df, key, day, value, carry=[tide], **pool)
+    warm, moon = temperature_alike(F.col("anomaly"), F.col("today")), moon_distance <= MOON_DAYS
+    tides = F.coalesce(tide_alike(F.col(f"p_{tide}"), F.col(tide)), F.lit(False))
+    out = pairs.groupBy(*key, "day").agg(
+        F.count("*").alias("pool"), F.count(f"p_{tide}").alias("tides"), F.first(tide).alias("_today"), F.count_if(warm).alias("alike"), F.count_if(warm & moon).alias("with_moon"), F.count_if(warm & moon & tides).alias("_all"), F.max(F.when(warm & moon & tides, F.col("p"))).alias("_last_all"), F.max(F.when(warm & moon, F.col("p"))).alias("_last"),
+    )
+    use = F.col("_today").isNotNull() & (F.col("tides") >= least_tides)
+    out = out.withColumns({"mode": F.when(use, "moon_tide_temp").otherwise("moon_temp"), "lined_up": F.when(use, F.col("_all")).otherwise(F.col("with_moon")), "last_day": F.when(use, F.col("_last_all")).otherwise(F.col("_last"))})
+    return out.drop("_today", "_all", "_last_all", "_last")
+
+
+def paired_precedents(df: DataFrame, key: Sequence[str], day: str, value: str, pooled: Column, treated: Column, window: int = 3, guard: int = 10, least_years: int = 5, days: int = 7, bar: float = 5.0, carry: Sequence[str] = ()) -> DataFrame:
     """For each day with a value two arms over one pool, each arm's most recent precedent, and how its claim came out.
 
-    The pool of a day: values of other years within `window` days of its place in the year and more than `guard` days away, for
-    which `pooled` holds; `treated` deals them to the arms. Both are expressions over `day`, `p` (the precedent's day), `off`, `anomaly`
-    and `today` (how far p and the day lie above the mean of their offset over the years other than the day's). A precedent
+    The pool is that of precedent_pool(), as far as `pooled` holds; `treated` deals it to the arms: expressions over its columns. A precedent
     claims what followed it, and the claim is graded by what followed the day. Rows: key, day, `with_day`, `without_day`,
     `with_verb`, `without_verb`, `with_hit`, `without_hit`; null where an arm is empty, claims nothing or can't be graded."""
-    anchors = anchored(df, key, day, value, window)
-    means = own_year_out(anchors, key, least_years)
-    index = df.where(F.col(value).isNotNull()).select(*key, F.col(day).alias("day"), F.col(value).cast("double").alias("v0"), F.date_format(day, "MM-dd").alias("md"), F.year(day).alias("year"))
-    index = index.join(means, [*key, "md", "year"]).withColumn("today", F.col("v0") - F.try_element_at("means", F.lit(0))).where("today is not null")
-    pool = index.select(*key, "md", "day", "year", "today", "means").join(anchors.withColumnRenamed("year", "p_year"), [*key, "md"])
-    pool = pool.where((F.col("p_year") != F.col("year")) & (F.abs(F.datediff("p", "day")) > guard))
-    pool = pool.withColumn("anomaly", F.col("v") - F.try_element_at("means", F.col("off"))).where("anomaly is not null").where(pooled)
+    pool = precedent_pool(df, key, day, value, window, guard, least_years, carry).where(pooled)
     arms = pool.groupBy(*key, "day").agg(F.max(F.when(treated, F.col("p"))).alias("with_day"), F.max(F.when(~F.coalesce(treated, F.lit(False)), F.col("p"))).alias("without_day"))
     after = aftermath(df, key, day, value, days, bar).withColumnRenamed(day, "day")
     out = arms

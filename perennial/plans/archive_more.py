@@ -76,7 +76,11 @@ def sweep_grid(spark, d):
     return s.withColumn("p", F.round(st.fisher_greater(F.col("hits"), F.col("n") - F.col("hits"), F.col("control_hits"), F.col("m") - F.col("control_hits")), 6))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT o_orderpriority AS family, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(c_nationkey % 5 AS VARCHAR) AS state, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS i FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000),
+r AS (SELECT DISTINCT family, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS cluster, CAST(0 AS BIGINT) AS total, CAST([] AS STRUCT(k BIGINT, last DATE, states VARCHAR[])[]) AS live FROM x
+UNION ALL SELECT family, i, id, coalesce(hit, total), total + CAST(hit IS NULL AS BIGINT), CASE WHEN hit IS NULL THEN list_append(near, {'k': total, 'last': day, 'states': [state]}) ELSE list_transform(near, lambda c: CASE WHEN c.k = hit THEN {'k': c.k, 'last': day, 'states': list_append(c.states, state)} ELSE c END) END
+FROM (SELECT *, list_min(list_transform(list_filter(near, lambda c: list_contains(c.states, state)), lambda c: c.k)) AS hit FROM (SELECT r.family, x.i, x.id, x.day, x.state, r.total, list_filter(r.live, lambda c: x.day - c.last <= 7) AS near FROM r JOIN x ON x.family = r.family AND x.i = r.i + 1)))
+SELECT family, id, cluster FROM r WHERE id IS NOT NULL""")
 def greedy_anchors(spark, d):
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     x = o.where("o_totalprice > 450000").join(c, o.o_custkey == c.c_custkey)
@@ -84,7 +88,12 @@ def greedy_anchors(spark, d):
     return clusters.greedy_anchors(x, "family", "id", "day", "states")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENT_DAYS}, x AS (SELECT event_type, day, CAST(n AS DOUBLE) AS s, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM event_days),
+r AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DATE) AS opened, CAST(NULL AS DOUBLE) AS base, CAST(NULL AS DATE) AS recognised, 0 AS calm, CAST(NULL AS DATE) AS o, CAST(NULL AS DATE) AS rec, CAST(NULL AS DATE) AS closed FROM x
+UNION ALL SELECT event_type, i, s, CASE WHEN still < 2 THEN op END, CASE WHEN still < 2 THEN ba END, CASE WHEN still < 2 THEN re END, CASE WHEN still < 2 THEN still ELSE 0 END, CASE WHEN still >= 2 THEN op END, CASE WHEN still >= 2 THEN re END, CASE WHEN still >= 2 THEN day END
+FROM (SELECT *, CASE WHEN op IS NOT NULL AND recognised IS NULL AND s >= 75 THEN day ELSE recognised END AS re, CASE WHEN op IS NOT NULL AND s <= ba THEN calm + 1 ELSE 0 END AS still
+FROM (SELECT r.event_type, x.i, x.day, x.s, r.recognised, r.calm, CASE WHEN r.opened IS NULL AND x.s - r.last > 10 THEN x.day ELSE r.opened END AS op, CASE WHEN r.opened IS NULL AND x.s - r.last > 10 THEN r.last ELSE r.base END AS ba FROM r JOIN x ON x.event_type = r.event_type AND x.i = r.i + 1)))
+SELECT event_type, o AS opened, rec AS recognised, closed FROM r WHERE closed IS NOT NULL UNION ALL SELECT event_type, opened, recognised, NULL FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i DESC) AS k FROM r) WHERE k = 1 AND opened IS NOT NULL""")
 def state_arcs(spark, d):
     return clusters.arcs(event_days(spark, d), ["event_type"], "day", "n", 10.0, 75.0, 2)
 

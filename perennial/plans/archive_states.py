@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seeded
-from ..operators import pools
+from ..operators import pools, series
 from ..streaming import arcs
 from .common import DAILY, daily, query, t
 from .timeseries import _LUT
@@ -67,6 +67,27 @@ def inverse_percentiles(spark, d):
     return rows.select("region", "pool_doy", "pct", F.explode(F.array(value("low"), value("high"))).alias("x")).select("region", "pool_doy", "pct", "x.*")
 
 
+def _slice(name: str, lo: float, hi: float) -> str:
+    return f"SELECT '{name}' AS band, * FROM k WHERE r >= floor(CAST({lo} AS DOUBLE) * n) AND r < ceil(CAST({hi} AS DOUBLE) * n)"
+
+
+@query(f"""WITH {_LUT}, k AS (SELECT region, pool_doy, day, row_number() OVER (PARTITION BY region, pool_doy ORDER BY value, day) - 1 AS r, count(*) OVER (PARTITION BY region, pool_doy) AS n FROM m),
+b AS ({_slice('low', 0.0, 0.05)} UNION ALL {_slice('middle', 0.45, 0.55)} UNION ALL {_slice('high', 0.95, 1.0)}),
+f AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY region, pool_doy, band ORDER BY day) <= 8 THEN 0 ELSE 1 END AS fresh FROM b),
+g AS (SELECT region, pool_doy, band, count(*) AS matched_days, count(*) FILTER (WHERE fresh = 1) AS episode_count, count(DISTINCT year(day)) FILTER (WHERE fresh = 1) AS years, max(day) FILTER (WHERE fresh = 1) AS last_start, count(*) FILTER (WHERE fresh = 1 AND year(day) < 2000) AS nineties FROM f GROUP BY 1, 2, 3)
+SELECT region, CAST(pool_doy AS INTEGER) AS pool_doy, band, matched_days, episode_count, years, last_start, nineties, CASE WHEN episode_count < 3 THEN 'too few episodes' WHEN years < 3 THEN 'too few years' END AS refusal FROM g""")
+def band_slices(spark, d):
+    members = pools.with_offsets(daily(spark, d).select("region", "day", "value"), "day", 10)
+    baked = series.frequency_dictionary(members, ["region", "pool_doy"], "day", "value")
+    out = None
+    for name, lo, hi in (("low", 0.0, 0.05), ("middle", 0.45, 0.55), ("high", 0.95, 1.0)):
+        facts = pools.band_facts(baked, lo, hi)
+        nineties = F.aggregate(F.filter("decades", lambda x: x["decade"] < 2000), F.lit(0), lambda s, x: s + x["episodes"])
+        part = facts.select("region", "pool_doy", F.lit(name).alias("band"), "matched_days", "episode_count", F.size("episode_years").alias("years"), "last_start", nineties.alias("nineties"), "refusal")
+        out = part if out is None else out.unionByName(part)
+    return out.where("matched_days > 0")
+
+
 def _times(a: str, b: str) -> str:
     return f"CAST((CAST({a} AS HUGEINT) * CAST({b} AS HUGEINT)) % 4294967296 AS BIGINT)"
 

@@ -48,8 +48,7 @@ paired AS (SELECT pr.region, pr.day, with_day, without_day, with_verb, without_v
 
 
 def _paired(spark, d):
-    anomaly, today = F.col("anomaly"), F.col("today")
-    near = F.when(F.abs(today) < 2, F.abs(anomaly) < 2).otherwise((F.signum(anomaly) == F.signum(today)) & (F.abs(anomaly - today) <= 5))
+    near = studies.temperature_alike(F.col("anomaly"), F.col("today"))
     lit = sky.circular_moon_distance(F.col("p"), F.col("day")) <= 2
     return studies.paired_precedents(_highs(spark, d), ["region"], "day", "high", near, lit)
 
@@ -59,6 +58,20 @@ def paired_precedents(spark, d):
     return _paired(spark, d)
 
 
+# A tide's residual in quarters of a foot for days with an even number of orders; other days have none.
+@query(f"""WITH {_HIGHS}, td0 AS (SELECT region, day, CASE WHEN n % 2 = 0 THEN (CAST(floor(value) AS BIGINT) % 9 - 4) / 4.0 END AS tide FROM daily), an AS (SELECT h.region, h.day AS p, high AS v, tide, off, strftime(h.day - CAST(off AS INTEGER), '%m-%d') AS md, year(h.day) AS y FROM highs h JOIN td0 ON td0.region = h.region AND td0.day = h.day, range(-3, 4) t(off)),
+ix AS (SELECT h.region, h.day, high AS v0, tide, strftime(h.day, '%m-%d') AS md, year(h.day) AS y FROM highs h JOIN td0 ON td0.region = h.region AND td0.day = h.day),
+mn AS (SELECT i.region, i.day, a.off, avg(a.v) AS m FROM ix i JOIN an a ON a.region = i.region AND a.md = i.md AND a.y <> i.y GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+pl AS (SELECT t.region, t.day, t.tide AS today_tide, a.p, a.tide, a.v - mn.m AS anomaly, t.v0 - m0.m AS today, abs({_age('a.p')} - {_age('t.day')}) AS away FROM ix t JOIN mn m0 ON m0.region = t.region AND m0.day = t.day AND m0.off = 0 JOIN an a ON a.region = t.region AND a.md = t.md AND a.y <> t.y AND abs(a.p - t.day) > 10 JOIN mn ON mn.region = t.region AND mn.day = t.day AND mn.off = a.off),
+ok AS (SELECT *, CASE WHEN abs(today) < 2 THEN abs(anomaly) < 2 ELSE sign(anomaly) = sign(today) AND abs(anomaly - today) <= 5 END AS warm, least(away, {_SYNODIC} - away) <= 2 AS moon, coalesce(CASE WHEN abs(today_tide) < 0.5 THEN abs(tide) < 0.5 ELSE sign(tide) = sign(today_tide) AND abs(tide) >= 0.5 END, false) AS tidal FROM pl),
+g AS (SELECT region, day, count(*) AS pool, count(tide) AS tides, any_value(today_tide) AS tt, count(*) FILTER (WHERE warm) AS alike, count(*) FILTER (WHERE warm AND moon) AS with_moon, count(*) FILTER (WHERE warm AND moon AND tidal) AS w3, max(p) FILTER (WHERE warm AND moon AND tidal) AS p3, max(p) FILTER (WHERE warm AND moon) AS p2 FROM ok GROUP BY 1, 2)
+SELECT region, day, pool, tides, alike, with_moon, CASE WHEN tt IS NOT NULL AND tides >= 15 THEN 'moon_tide_temp' ELSE 'moon_temp' END AS mode, CASE WHEN tt IS NOT NULL AND tides >= 15 THEN w3 ELSE with_moon END AS lined_up, CASE WHEN tt IS NOT NULL AND tides >= 15 THEN p3 ELSE p2 END AS last_day FROM g""")
+def line_ups(spark, d):
+    tide = F.when(F.col("n") % 2 == 0, (F.floor("value") % 9 - 4) / 4.0)
+    rows = daily(spark, d).select("region", "day", (F.floor(F.col("value") / 10000) % 40).cast("double").alias("high"), tide.alias("tide"))
+    return studies.line_ups(rows, ["region"], "day", "high", "tide", sky.circular_moon_distance(F.col("p"), F.col("day")), least_tides=15)
+
+
 _UPPER = "CASE WHEN abs(z) > 6 THEN exp(-z * z / 2) / sqrt(2 * pi()) / abs(z) * (1 - 1 / (z * z)) ELSE 0.5 * (((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z / 2)) END"
 
 
