@@ -151,16 +151,16 @@ def tide_alike(residual: Column, today: Column) -> Column:
 
 def precedent_pool(df: DataFrame, key: Sequence[str], day: str, value: str, window: int = 3, guard: int = 10, least_years: int = 5, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs of a day and each member of its pool: values of other years within `window` days of its place in the year and more than
-    `guard` days away. `today` and `anomaly` are how far the day and the member `p` lie above the mean of their offset over the years
+    `guard` days away, with both values `v0` and `v`. `today` and `anomaly` are how far the day and the member `p` lie above the mean of their offset over the years
     other than the day's; a day whose own offset has fewer than `least_years` such years has no pool. Columns of `carry` are there
     for the day under their names and for the member as p_<name>."""
     anchors = anchored(df, key, day, value, window, carry)
     means = own_year_out(anchors, key, least_years)
     index = df.where(F.col(value).isNotNull()).select(*key, F.col(day).alias("day"), F.col(value).cast("double").alias("v0"), F.date_format(day, "MM-dd").alias("md"), F.year(day).alias("year"), *carry)
-    index = index.join(means, [*key, "md", "year"]).withColumn("today", F.col("v0") - F.try_element_at("means", F.lit(0))).where("today is not null").drop("v0")
+    index = index.join(means, [*key, "md", "year"]).withColumn("today", F.col("v0") - F.try_element_at("means", F.lit(0))).where("today is not null")
     pool = index.join(anchors.withColumnRenamed("year", "p_year"), [*key, "md"])
     pool = pool.where((F.col("p_year") != F.col("year")) & (F.abs(F.datediff("p", "day")) > guard))
-    return pool.withColumn("anomaly", F.col("v") - F.try_element_at("means", F.col("off"))).where("anomaly is not null").drop("means", "md", "year", "v")
+    return pool.withColumn("anomaly", F.col("v") - F.try_element_at("means", F.col("off"))).where("anomaly is not null").drop("means", "md", "year")
 
 
 def line_ups(df: DataFrame, key: Sequence[str], day: str, value: str, tide: str, moon_distance: Column, least_tides: int = 60, **pool) -> DataFrame:

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from ..operators import series, studies
+from ..operators import dossier, series, studies
 from ..operators import statistics as st
 from ..sources import archive
-from .common import DAILY, daily, query
+from .common import DAILY, daily, query, t
 
 _SYNODIC = 29.530588861
 
@@ -72,6 +72,30 @@ def line_ups(spark, d):
     return studies.line_ups(rows, ["region"], "day", "high", "tide", sky.circular_moon_distance(F.col("p"), F.col("day")), least_tides=15)
 
 
+@query(f"""WITH {_HIGHS}, td0 AS (SELECT region, day, CASE WHEN n % 2 = 0 THEN (CAST(floor(value) AS BIGINT) % 9 - 4) / 4.0 END AS tide FROM daily), hs AS (SELECT h.region, h.day, high, tide, strftime(h.day, '%m-%d') AS md, year(h.day) AS y FROM highs h JOIN td0 ON td0.region = h.region AND td0.day = h.day),
+an AS (SELECT region, day AS p, high AS v, tide, off, strftime(day - CAST(off AS INTEGER), '%m-%d') AS md, y FROM hs, range(-3, 4) t(off)),
+mn AS (SELECT i.region, i.day, a.off, avg(a.v) AS m FROM hs i JOIN an a ON a.region = i.region AND a.md = i.md AND a.y <> i.y GROUP BY 1, 2, 3 HAVING count(*) >= 5), {_AFTER},
+pl AS (SELECT t.region, t.day, t.high AS v0, t.tide AS tt, a.p, a.v, a.off, a.tide, a.v - mn.m AS anomaly, t.high - m0.m AS today, abs({_age('a.p')} - {_age('t.day')}) AS far FROM hs t JOIN mn m0 ON m0.region = t.region AND m0.day = t.day AND m0.off = 0 JOIN an a ON a.region = t.region AND a.md = t.md AND a.y <> t.y AND abs(a.p - t.day) > 10 JOIN mn ON mn.region = t.region AND mn.day = t.day AND mn.off = a.off),
+ok AS (SELECT pl.*, cl.recorded, cl.verb, cl.recorded >= 3 AS told, coalesce(cl.fall >= 5, false) AS cooled, CASE WHEN abs(today) < 2 THEN abs(anomaly) < 2 ELSE sign(anomaly) = sign(today) AND abs(anomaly - today) <= 5 END AND least(far, {_SYNODIC} - far) <= 2 AS two, coalesce(CASE WHEN abs(tt) < 0.5 THEN abs(tide) < 0.5 ELSE sign(tide) = sign(tt) AND abs(tide) >= 0.5 END, false) AS tidal FROM pl LEFT JOIN cl ON cl.region = pl.region AND cl.day = pl.p),
+ag AS (SELECT region, day, any_value(v0) AS value, any_value(today) AS anomaly, count(*) FILTER (WHERE off = 0) AS years, avg(v) FILTER (WHERE off = 0) AS mean, stddev_samp(v) FILTER (WHERE off = 0) AS sd, any_value(tt) IS NOT NULL AND count(tide) >= 15 AS use, count(*) FILTER (WHERE two) AS c2, count(*) FILTER (WHERE two AND tidal) AS c3,
+count(*) FILTER (WHERE off = 0 AND told) AS all_n, count(*) FILTER (WHERE off = 0 AND told AND cooled) AS all_cooled, count(*) FILTER (WHERE two AND told) AS n2, count(*) FILTER (WHERE two AND told AND cooled) AS k2, count(*) FILTER (WHERE two AND tidal AND told) AS n3, count(*) FILTER (WHERE two AND tidal AND told AND cooled) AS k3 FROM ok GROUP BY 1, 2),
+near AS (SELECT region, day, p, v, verb, row_number() OVER (PARTITION BY region, day ORDER BY abs(v - v0), p, v) AS k FROM ok QUALIFY k <= 3),
+file AS (SELECT r_name AS region, CAST(o_orderdate AS DATE) AS day, string_agg(DISTINCT o_orderpriority, '+' ORDER BY o_orderpriority) AS types FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 200000 GROUP BY 1, 2),
+al AS (SELECT near.region, near.day, string_agg(CAST(p AS VARCHAR) || '=' || coalesce(verb, '') || '=' || coalesce(types, ''), ' ' ORDER BY k) AS alike FROM near LEFT JOIN file ON file.region = near.region AND file.day = p GROUP BY 1, 2),
+fs AS (SELECT region, day, CASE WHEN n < 2 THEN 'unknown' WHEN peak - high >= 8 THEN 'front' WHEN high - began <= -3 THEN 'cooling' WHEN high - began >= 3 THEN 'warming' ELSE 'steady' END AS signal FROM (SELECT region, day, high, count(*) OVER w AS n, max(high) OVER w AS peak, first_value(high) OVER w AS began FROM highs WINDOW w AS (PARTITION BY region ORDER BY day RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW)))
+SELECT ag.region, ag.day, value, round(anomaly, 6) AS anomaly, years, round(CASE WHEN years >= 5 AND sd > 0 THEN (value - mean) / sd END, 6) AS z, signal, alike, CASE WHEN use THEN 'moon_tide_temp' ELSE 'moon_temp' END AS mode, CASE WHEN use THEN c3 ELSE c2 END AS lined_up, all_n, all_cooled, CASE WHEN use THEN n3 ELSE n2 END AS matched_n, CASE WHEN use THEN k3 ELSE k2 END AS matched_cooled
+FROM ag JOIN al ON al.region = ag.region AND al.day = ag.day JOIN fs ON fs.region = ag.region AND fs.day = ag.day""")
+def spot_dossiers(spark, d):
+    tide = F.when(F.col("n") % 2 == 0, (F.floor("value") % 9 - 4) / 4.0)
+    rows = daily(spark, d).select("region", "day", (F.floor(F.col("value") / 10000) % 40).cast("double").alias("high"), tide.alias("tide"))
+    o, c, n, r = (t(spark, d, x) for x in ("orders", "customer", "nation", "region"))
+    file = o.where("o_totalprice > 200000").join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    file = file.select(F.col("r_name").alias("region"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("type"))
+    out = dossier.dossiers(rows, file, ["region"], "day", "high", "tide", sky.circular_moon_distance(F.col("p"), F.col("day")), least_tides=15)
+    text = F.array_join(F.transform("alike", lambda e: F.concat_ws("=", e["date"].cast("string"), F.coalesce(e["verb"], F.lit("")), F.array_join(e["on_file"], "+"))), " ")
+    return out.select("region", "day", "value", F.round("anomaly", 6).alias("anomaly"), "years", F.round("z", 6).alias("z"), "signal", text.alias("alike"), "mode", "lined_up", "all_n", "all_cooled", "matched_n", "matched_cooled")
+
+
 _UPPER = "CASE WHEN abs(z) > 6 THEN exp(-z * z / 2) / sqrt(2 * pi()) / abs(z) * (1 - 1 / (z * z)) ELSE 0.5 * (((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z / 2)) END"
 
 
