@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ def pack(slots: DataFrame, day: str, slot: str, byte: str, n_slots: int) -> Data
     return slots.groupBy(day).agg(held.alias("_m")).select(day, F.array_join(cells, "").alias("dots"))
 
 
+def serve(frames: DataFrame, day_from: str, day_to: str, layout: int, day: str = "day", most: int = 120) -> DataFrame:
+    """The frames of a range of at most `most` days that have the current layout; frames of another one are left out, as their bytes mean
+    other slots. A range that ends before it begins, or is too long, is refused."""
+    first, last = dt.date.fromisoformat(day_from), dt.date.fromisoformat(day_to)
+    if last < first:
+        raise ValueError(f"the range ends on {day_to}, before {day_from}")
+    if (last - first).days > most:
+        raise ValueError(f"a range of {(last - first).days} days; at most {most} are served")
+    return frames.where(F.col(day).between(F.lit(first), F.lit(last)) & (F.col("layout") == layout))
+
+
 def unpack(frames: DataFrame, day: str, dots: str) -> DataFrame:
     """The long form of packed frames: day, slot, byte (null if missing); odd or non-hex text is an error."""
     ok = frames.withColumn("_ok", F.when((F.length(dots) % 2 == 0) & F.col(dots).rlike("^[0-9A-Fa-f]*$"), True).otherwise(F.raise_error(F.lit("not a packed frame")).cast("boolean")))

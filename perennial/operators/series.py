@@ -131,3 +131,18 @@ def voted_mean(df: DataFrame, key: Sequence[str], mean: str, low: str, high: str
     votes = F.col(mean).isNotNull()
     out = df.groupBy(*key).agg(F.avg(mean).alias("mean"), F.avg(F.when(votes, F.col(low))).alias("low"), F.avg(F.when(votes, F.col(high))).alias("high"), F.count(mean).alias("points"), (F.max(mean) - F.min(mean)).alias("_apart"))
     return out.withColumn("spread", F.when(F.col("points") > 1, F.col("_apart"))).drop("_apart")
+
+
+def step_or_trend(df: DataFrame, key: Sequence[str], day: str, value: str, days: int = 5, trend: float = 100.0, step: float = 150.0) -> DataFrame:
+    """Per day with a reading, of the readings on the `days` calendar days up to it, if there are three or more: the peak, how many
+    rises in a row lead into the last one, and the arm: step if the last one is `step` or more, trend if two rises follow each other
+    and it is `trend` or more. Days without an arm have no row."""
+    w = Window.partitionBy(*key).orderBy(day_number(day)).rangeBetween(-(days - 1), 0)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.collect_list(value).over(w)).where(F.size("_v") >= 3)
+    n = F.size("_v")
+    rises = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get("_v", i) > F.get("_v", i - 1))
+    rows = rows.withColumn("_r", rises)
+    two = F.exists(F.sequence(F.lit(1), F.size("_r")), lambda i: F.get("_r", i - 1) & F.coalesce(F.get("_r", i), F.lit(False)))
+    last_fall = F.array_max(F.transform("_r", lambda r, i: F.when(~r, i + 1).otherwise(0)))
+    arm = F.when(F.col(value) >= step, "step").when(two & (F.col(value) >= trend), "trend")
+    return rows.select(*key, day, value, F.array_max("_v").alias("peak"), (F.size("_r") - last_fall).alias("run"), arm.alias("arm")).where("arm is not null")

@@ -178,14 +178,18 @@ def line_ups(df: DataFrame, key: Sequence[str], day: str, value: str, tide: str,
     return out.drop("_today", "_all", "_last_all", "_last")
 
 
-def paired_precedents(df: DataFrame, key: Sequence[str], day: str, value: str, pooled: Column, treated: Column, window: int = 3, guard: int = 10, least_years: int = 5, days: int = 7, bar: float = 5.0, carry: Sequence[str] = ()) -> DataFrame:
+def paired_precedents(df: DataFrame, key: Sequence[str], day: str, value: str, pooled: Column, treated: Column, window: int = 3, guard: int = 10, least_years: int = 5, days: int = 7, bar: float = 5.0, carry: Sequence[str] = (), shifts: Sequence[int] = ()) -> DataFrame:
     """For each day with a value two arms over one pool, each arm's most recent precedent, and how its claim came out.
 
     The pool is that of precedent_pool(), as far as `pooled` holds; `treated` deals it to the arms: expressions over its columns. A precedent
     claims what followed it, and the claim is graded by what followed the day. Rows: key, day, `with_day`, `without_day`,
-    `with_verb`, `without_verb`, `with_hit`, `without_hit`; null where an arm is empty, claims nothing or can't be graded."""
+    `with_verb`, `without_verb`, `with_hit`, `without_hit`; null where an arm is empty, claims nothing or can't be graded. With `shifts` all
+    of it once for each of them, as column `k`, which `treated` may use."""
     pool = precedent_pool(df, key, day, value, window, guard, least_years, carry).where(pooled)
-    arms = pool.groupBy(*key, "day").agg(F.max(F.when(treated, F.col("p"))).alias("with_day"), F.max(F.when(~F.coalesce(treated, F.lit(False)), F.col("p"))).alias("without_day"))
+    again = ["k"] if shifts else []
+    if shifts:
+        pool = pool.withColumn("k", F.explode(F.array(*(F.lit(k) for k in shifts))))
+    arms = pool.groupBy(*key, "day", *again).agg(F.max(F.when(treated, F.col("p"))).alias("with_day"), F.max(F.when(~F.coalesce(treated, F.lit(False)), F.col("p"))).alias("without_day"))
     after = aftermath(df, key, day, value, days, bar).withColumnRenamed(day, "day")
     out = arms
     for arm in ("with", "without"):
@@ -194,7 +198,7 @@ def paired_precedents(df: DataFrame, key: Sequence[str], day: str, value: str, p
     out = out.join(after.select(*key, "day", "drops", "rises", "holes"), [*key, "day"], "left")
     for arm in ("with", "without"):
         out = out.withColumn(f"{arm}_hit", graded(F.col(f"{arm}_verb"), F.col(f"{arm}_span"), F.col("drops"), F.col("rises"), F.col("holes"), days, bar))
-    return out.select(*key, "day", "with_day", "without_day", "with_verb", "without_verb", "with_hit", "without_hit")
+    return out.select(*key, "day", *again, "with_day", "without_day", "with_verb", "without_verb", "with_hit", "without_hit")
 
 
 def paired_difference(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -246,14 +250,32 @@ def placebo_tests(study: DataFrame, by: Sequence[str] = ("lag",)) -> DataFrame:
 # --- rotations and gates ---
 
 
+def turned_day(day: Column, k: Column, first_year: int, last_year: int) -> Column:
+    """The day that lies k years before, around the circle of years first_year .. last_year; 29 February becomes the 28th where there is none."""
+    year = first_year + F.pmod(F.year(day) - first_year - k, F.lit(last_year - first_year + 1))
+    month_end = F.dayofmonth(F.last_day(F.make_date(year, F.month(day), F.lit(1))))
+    return F.make_date(year, F.month(day), F.least(F.dayofmonth(day), month_end))
+
+
+def certified(differences: DataFrame, by: Sequence[str], delta: str = "delta", floor: float = 0.02) -> DataFrame:
+    """Per group, from its differences observed (k = 0) and under rotations (k > 0): the largest rotated one, whether the observed one exceeds
+    all of them and is `floor` or more (certified), and p = (1 + rotations that reach it) / (1 + rotations). A rotation without a
+    difference outranks nothing; without an observed one p is 1."""
+    seen, turned = F.max(F.when(F.col("k") == 0, F.col(delta))), F.col("k") > 0
+    out = differences.groupBy(*by).agg(seen.alias("observed"), F.max(F.when(turned, F.col(delta))).alias("largest"), F.count_if(turned).alias("rotations"), F.sort_array(F.collect_list(F.when(turned, F.col(delta)))).alias("_all"))  # a stated number
+    reach = F.size(F.filter("_all", lambda x: x >= F.col("observed")))
+    beats = F.col("observed").isNotNull() & (F.col("largest").isNull() | (F.col("observed") > F.col("largest")))
+    met = F.coalesce(F.col("observed") >= floor, F.lit(False))
+    p = F.when(F.col("observed").isNull(), 1.0).otherwise((1 + reach) / (1 + F.col("rotations")))
+    return out.withColumns({"beats_all": beats, "floor_met": met, "certified": beats & met, "p": p}).drop("_all")
+
+
 def rotations(df: DataFrame, key: Sequence[str], day: str, first_year: int, last_year: int, shifts: Sequence[int]) -> DataFrame:
     """The series once for each shift `k` (0 leaves it as it is): each day of first_year .. last_year reads the day that lies k years
     before it, around the circle of years; 29 February reads the 28th where there is none. Days that read nothing have no row."""
-    n = last_year - first_year + 1
     days = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(f"{first_year}-01-01").cast("date"), F.lit(f"{last_year}-12-31").cast("date"))).alias("_to"))
     days = days.withColumn("k", F.explode(F.array(*(F.lit(k) for k in shifts))))
-    year = first_year + F.pmod(F.year("_to") - first_year - F.col("k"), F.lit(n))
-    source = F.coalesce(F.try_make_date(year, F.month("_to"), F.dayofmonth("_to")), F.try_make_date(year, F.lit(2), F.lit(28))) if hasattr(F, "try_make_date") else F.make_date(year, F.month("_to"), F.least(F.dayofmonth("_to"), F.dayofmonth(F.last_day(F.make_date(year, F.month("_to"), F.lit(1))))))
+    source = turned_day(F.col("_to"), F.col("k"), first_year, last_year)
     return days.withColumn("_from", source).join(df.withColumnRenamed(day, "_from"), "_from").withColumnRenamed("_to", day).drop("_from")
 
 

@@ -88,3 +88,41 @@ def index_signatures(spark, d):
     ix = m.select(name.alias("index"), "month", F.round(2 * (F.col("m") - F.avg("m").over(w)) / F.stddev_pop("m").over(w), 3).alias("value"))
     found = convergence.signatures(convergence.recent_values(ix, "index", "month", "value"))
     return found.withColumn("conditions", F.array_join("conditions", "; "))
+
+
+_NOW = "2024-01-20 00:00:00"
+_USERS = f"""al AS (SELECT c_custkey AS alert, list_extract(['score_spike', 'weather_event', 'threshold', 'new_data'], CAST(c_custkey % 4 + 1 AS INTEGER)) AS trigger, CASE WHEN c_custkey % 3 <> 0 THEN [CAST(c_custkey % 7 AS VARCHAR), CAST(c_custkey % 11 AS VARCHAR)] END AS states,
+CASE c_custkey // 4 % 5 WHEN 0 THEN 30 * 60 WHEN 1 THEN 5 * 3600 WHEN 2 THEN 2 * 86400 ELSE 3 * 3600 END AS every, CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '{_NOW}' - to_hours(CAST(c_custkey % 80 AS INTEGER)) END AS last FROM customer),
+du AS (SELECT *, coalesce(last, TIMESTAMP '{_NOW}' - INTERVAL 24 HOURS) AS since FROM al WHERE last IS NULL OR epoch(TIMESTAMP '{_NOW}') - epoch(last) >= every),
+dn AS (SELECT CAST(user_id % 13 AS VARCHAR) AS state, CAST(ts AS DATE) AS day, CAST(sum(value) / 10 AS DOUBLE) AS score FROM events GROUP BY 1, 2),
+ju AS (SELECT state, score, lag(score) OVER (PARTITION BY state ORDER BY day) AS previous, CAST(day AS TIMESTAMP) AS moment FROM dn), sc AS (SELECT state, score FROM dn QUALIFY row_number() OVER (PARTITION BY state ORDER BY day DESC) = 1)"""
+
+
+@query(f"""WITH {_USERS},
+a AS (SELECT alert, trigger, count(*) AS n, list_sort(list(DISTINCT state)) AS states FROM du JOIN ju ON (states IS NULL OR list_contains(states, state)) AND moment > since AND score >= 60 AND abs(score - previous) >= 15 WHERE trigger = 'score_spike' GROUP BY 1, 2),
+e AS (SELECT alert, trigger, count(DISTINCT (event_type, user_id % 13, ts)) AS n, list_sort(list(DISTINCT CAST(user_id % 13 AS VARCHAR))) AS states FROM du JOIN events ON (states IS NULL OR list_contains(states, CAST(user_id % 13 AS VARCHAR))) AND ts > since AND event_type = CASE WHEN alert % 2 = 0 THEN 'error' ELSE 'signup' END WHERE trigger = 'weather_event' GROUP BY 1, 2),
+b AS (SELECT alert, trigger, count(*) AS n, list_sort(list(DISTINCT state)) AS states FROM du JOIN sc ON (states IS NULL OR list_contains(states, state)) AND CASE WHEN alert % 8 < 4 THEN score < 40 ELSE score >= 75 END WHERE trigger = 'threshold' GROUP BY 1, 2),
+n AS (SELECT alert, trigger, count(*) AS n, CAST([] AS VARCHAR[]) AS states FROM du JOIN events ON ts > since AND event_type = CASE WHEN alert % 3 = 0 THEN 'view' ELSE 'click' END WHERE trigger = 'new_data' GROUP BY 1, 2)
+SELECT alert, trigger, n, array_to_string(states, ',') AS states FROM (FROM a UNION ALL FROM e UNION ALL FROM b UNION ALL FROM n)""")
+def user_alert_fires(spark, d):
+    from pyspark.sql import Window
+
+    from ..operators import user_alerts
+
+    k = F.col("c_custkey")
+    pick = lambda names, at: F.get(F.array(*(F.lit(x) for x in names)), at.cast("int"))
+    text = lambda c: c.cast("string")
+    alerts = t(spark, d, "customer").select(
+        k.alias("alert"), pick(["score_spike", "weather_event", "threshold", "new_data"], k % 4).alias("trigger"), F.when(k % 3 != 0, F.array_distinct(F.array(text(k % 7), text(k % 11)))).alias("states"), pick(["30min", "5h", "2d", "3hr", "soon"], F.floor(k / 4) % 5).alias("every"),
+        F.when(k % 5 != 0, F.lit(_NOW).cast("timestamp") - F.make_dt_interval(hours=(k % 80).cast("int"))).alias("last"), F.lit(None).cast("double").alias("min_change"), F.lit(None).cast("double").alias("min_score"), F.array(F.when(k % 2 == 0, "error").otherwise("signup")).alias("types"),
+        F.when(k % 8 < 4, "<").alias("compare"), F.when(k % 8 < 4, 40.0).alias("bound"), F.when(k % 3 == 0, "view").otherwise("click").alias("content"),
+    )
+    e = t(spark, d, "events").withColumn("state", text(F.col("user_id") % 13))
+    daily_scores = e.groupBy("state", F.to_date("ts").alias("day")).agg((F.sum("value") / 10).alias("score"))
+    w = Window.partitionBy("state").orderBy("day")
+    jumps = daily_scores.select("state", "score", F.lag("score").over(w).alias("previous"), F.col("day").cast("timestamp").alias("at"))
+    last = daily_scores.withColumn("r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("day")))).where("r = 1").select("state", "score")
+    events = e.select(F.col("event_type").alias("type"), F.array("state").alias("states"), F.col("ts").cast("timestamp").alias("at"))
+    entries = e.select(F.col("event_type").alias("content"), F.col("ts").cast("timestamp").alias("at"))
+    fired = user_alerts.fires(alerts, _NOW, jumps, events, last, entries)
+    return fired.withColumn("states", F.array_join("states", ","))

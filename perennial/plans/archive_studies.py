@@ -58,6 +58,39 @@ def paired_precedents(spark, d):
     return _paired(spark, d)
 
 
+#: The same arms with the moon's calendar turned by 0 to 6 years against the temperatures.
+_TURNED = _ARMS.replace("ok AS (SELECT *, least(away", "ok AS (SELECT * EXCLUDE (away), least(away")
+for _old, _new in (
+    (f"abs({_age('a.p')} - {_age('t.day')}) AS away FROM td t JOIN", "k, CAST(a.p AS DATE) AS pp, CAST(t.day AS DATE) AS dd FROM range(0, 7) ks(k), td t JOIN"),
+    ("ok AS (SELECT * EXCLUDE (away),", f"pm AS (SELECT *, {{p}} AS p2, {{d}} AS d2 FROM pl), pa AS (SELECT *, abs({_age('p2')} - {_age('d2')}) AS away FROM pm), ok AS (SELECT * EXCLUDE (away),"),
+    ("<= 2 AS lit FROM pl WHERE", "<= 2 AS lit FROM pa WHERE"), ("ar AS (SELECT region, day, max(p)", "ar AS (SELECT region, day, k, max(p)"), ("FROM ok GROUP BY 1, 2),", "FROM ok GROUP BY 1, 2, 3),"),
+    ("g AS (SELECT pr.region, pr.day, arm,", "g AS (SELECT pr.region, pr.day, pr.kk, arm,"), ("SELECT region, day, 'with' AS arm,", "SELECT region, day, k AS kk, 'with' AS arm,"), ("UNION ALL SELECT region, day, 'without',", "UNION ALL SELECT region, day, k, 'without',"),
+    ("paired AS (SELECT pr.region, pr.day,", "paired AS (SELECT pr.region, pr.day, pr.k,"), ("w.region = pr.region AND w.day = pr.day JOIN gr", "w.region = pr.region AND w.day = pr.day AND w.kk = pr.k JOIN gr"), ("n.region = pr.region AND n.day = pr.day)", "n.region = pr.region AND n.day = pr.day AND n.kk = pr.k)"),
+):
+    assert _old in _TURNED, _old
+    _TURNED = _TURNED.replace(_old, _new)
+
+
+def _turned_sql(day: str) -> str:
+    year = f"(1992 + (year({day}) - 1992 - k + 7) % 7)"
+    return f"make_date(CAST({year} AS INTEGER), CAST(month({day}) AS INTEGER), CAST(CASE WHEN month({day}) = 2 AND day({day}) = 29 AND {year} % 4 <> 0 THEN 28 ELSE day({day}) END AS INTEGER))"
+
+
+_TURNED = _TURNED.replace("{p}", _turned_sql("pp")).replace("{d}", _turned_sql("dd"))
+
+
+@query(f"""WITH {_TURNED}, s AS (SELECT region, k, count(with_hit + without_hit) AS paired, count(*) FILTER (WHERE with_hit > without_hit) AS more, count(*) FILTER (WHERE with_hit < without_hit) AS less FROM paired GROUP BY 1, 2),
+x AS (SELECT region, k, CASE WHEN paired > 0 THEN (more - less) / paired END AS delta FROM s), o AS (SELECT region, max(delta) FILTER (WHERE k = 0) AS observed, max(delta) FILTER (WHERE k > 0) AS largest, count(*) FILTER (WHERE k > 0) AS rotations FROM x GROUP BY 1)
+SELECT region, round(observed, 9) AS observed, round(largest, 9) AS largest, rotations, observed IS NOT NULL AND (largest IS NULL OR observed > largest) AS beats_all, coalesce(observed >= 0.02, false) AS floor_met, observed IS NOT NULL AND (largest IS NULL OR observed > largest) AND coalesce(observed >= 0.02, false) AS certified,
+round(CASE WHEN observed IS NULL THEN 1 ELSE (1 + (SELECT count(*) FROM x WHERE x.region = o.region AND k > 0 AND delta >= observed)) / (1 + rotations) END, 9) AS p FROM o""")
+def certified_differences(spark, d):
+    turned = lambda c: studies.turned_day(F.col(c), F.col("k"), 1992, 1998)
+    lit = sky.circular_moon_distance(turned("p"), turned("day")) <= 2
+    pairs = studies.paired_precedents(_highs(spark, d), ["region"], "day", "high", studies.temperature_alike(F.col("anomaly"), F.col("today")), lit, shifts=range(7))
+    out = studies.certified(studies.paired_difference(pairs, ["region", "k"]), ["region"])
+    return out.withColumns({c: F.round(c, 9) for c in ("observed", "largest", "p")})
+
+
 # A tide's residual in quarters of a foot for days with an even number of orders; other days have none.
 @query(f"""WITH {_HIGHS}, td0 AS (SELECT region, day, CASE WHEN n % 2 = 0 THEN (CAST(floor(value) AS BIGINT) % 9 - 4) / 4.0 END AS tide FROM daily), an AS (SELECT h.region, h.day AS p, high AS v, tide, off, strftime(h.day - CAST(off AS INTEGER), '%m-%d') AS md, year(h.day) AS y FROM highs h JOIN td0 ON td0.region = h.region AND td0.day = h.day, range(-3, 4) t(off)),
 ix AS (SELECT h.region, h.day, high AS v0, tide, strftime(h.day, '%m-%d') AS md, year(h.day) AS y FROM highs h JOIN td0 ON td0.region = h.region AND td0.day = h.day),

@@ -214,6 +214,13 @@ def run_lengths(spark, d):
     return series.sign_runs(daily(spark, d), ["region"], "day", "value").select("region", "day", "direction", "run")
 
 
+@query(f"""WITH {DAILY}, p AS (SELECT a.region, a.day, a.value, b.day AS d, b.value AS v, lag(b.value) OVER w AS v1, lag(b.value, 2) OVER w AS v2, row_number() OVER w AS i FROM daily a JOIN daily b ON a.region = b.region AND a.day - b.day BETWEEN 0 AND 4 WINDOW w AS (PARTITION BY a.region, a.day ORDER BY b.day)),
+g AS (SELECT region, day, any_value(value) AS value, count(*) AS n, max(v) AS peak, coalesce(bool_or(v > v1 AND v1 > v2), false) AS two, coalesce(max(i) FILTER (WHERE v <= v1), 1) AS last_fall FROM p GROUP BY 1, 2)
+SELECT region, day, value, peak, CAST(n - last_fall AS INTEGER) AS run, CASE WHEN value >= 500000 THEN 'step' ELSE 'trend' END AS arm FROM g WHERE n >= 3 AND (value >= 500000 OR (two AND value >= 300000))""")
+def step_or_trend(spark, d):
+    return series.step_or_trend(daily(spark, d).select("region", "day", "value"), ["region"], "day", "value", 5, 300000.0, 500000.0)
+
+
 @query(f"""WITH {DAILY}, m AS (SELECT region, day FROM daily WHERE value > 300000), g AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 3 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY region ORDER BY day)),
 h AS (SELECT *, sum(new) OVER (PARTITION BY region ORDER BY day) AS run FROM g) SELECT region, min(day) AS start_day, max(day) AS end_day, count(*) AS matched_days FROM h GROUP BY region, run""")
 def gap_episodes(spark, d):
@@ -311,6 +318,14 @@ def unpack_frames(spark, d):
     return frames.unpack(frames.pack(_slots(spark, d), "day", "slot", "byte", 50), "day", "dots")
 
 
+@query(f"""WITH {_FRAMES}, l AS (SELECT *, CASE WHEN year(day) < 1995 THEN 1 ELSE 2 END AS layout FROM (SELECT DISTINCT day FROM slots)) SELECT l.day, string_agg(printf('%02X', coalesce(byte, 255)), '' ORDER BY i) AS dots FROM l CROSS JOIN range(0, 50) r(i) LEFT JOIN slots ON slots.day = l.day AND slot = i
+WHERE layout = 2 AND l.day BETWEEN DATE '1994-12-01' AND DATE '1995-03-31' GROUP BY 1""")
+def frame_range(spark, d):
+    """A range of frames of the current layout: the range is the feature, and earlier frames of an older layout are left out."""
+    packed = frames.pack(_slots(spark, d), "day", "slot", "byte", 50).withColumn("layout", F.when(F.year("day") < 1995, 1).otherwise(2))
+    return frames.serve(packed, "1994-12-01", "1995-03-31", 2).drop("layout")
+
+
 _MATCH = f"""WITH {_FRAMES}, v AS (SELECT day, slot, sign(2 * byte / 254.0 - 1) * pow(abs(2 * byte / 254.0 - 1), 1.5) AS y FROM slots),
 s AS (SELECT a.day AS target, b.day, sum(a.y * b.y) AS xy, sum(a.y * a.y) AS xx, sum(b.y * b.y) AS yy, count(*) AS overlap FROM v a JOIN v b ON a.slot = b.slot WHERE a.day IN ({{days}}) AND abs(a.day - b.day) > 21 GROUP BY 1, 2 HAVING count(*) >= 30),
 r AS (SELECT target, day, xy / sqrt(xx * yy) AS cos, least(sqrt(xx / yy), sqrt(yy / xx)) AS mag, overlap FROM s WHERE xx > 0 AND yy > 0),
