@@ -190,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id"
     """Per document: n_words, n_hit, the items found, the hit spans (bytes of the text) and the text without them.
     The column `carry`, such as a struct of the whole row, comes along as `carried`."""
     spark = small_batches(docs).sparkSession
-    items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()  # a repeated row says nothing new
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     if blocks > 1:

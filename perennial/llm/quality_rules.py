@@ -194,8 +194,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     labelled = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     labelled = sampled(labelled, labelled.count(), sample, 7, "doc_id")
     chosen = keyed(docs, key, text).join(F.broadcast(labelled), "doc_id")  # bounded by `sample`
-    rows = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(labelled), "doc_id").select("doc_id", "label", *FEATURES).toPandas()
-    rows = rows.sort_values(["doc_id", *FEATURES], kind="stable").drop_duplicates("doc_id")
+    # Of the texts that share an id one is taken, in Spark: however many rows an id has, `sample` rows come to the driver.
+    order = F.struct(*(x.alias(f"_{i}{j}") for i, f in enumerate(FEATURES) for j, x in enumerate((F.col(f).isNull(), F.col(f)))))
+    rows = text_statistics(chosen.select("doc_id", "text")).join(F.broadcast(labelled), "doc_id").groupBy("doc_id", "label").agg(F.min(order).alias("least"))
+    rows = rows.select("doc_id", "label", *(F.col(f"least._{i}1").alias(f) for i, f in enumerate(FEATURES))).toPandas().sort_values("doc_id")
     return learn_rules(rows, rows["label"].to_numpy() == 0) if len(rows) else []
 
 
