@@ -32,7 +32,7 @@ we AS (SELECT a.state, a.day, (SELECT coalesce(sum(CASE type WHEN 'cold_front' T
 (SELECT max(v // 31 % 150) FROM said s WHERE s.v % 6 = 0 AND s.state = a.state AND a.day - s.day BETWEEN 0 AND 7) AS deviation, (SELECT max_by({{'high': v % 2 = 1, 'birds': v * 10}}, s.day) FROM said s WHERE s.v % 3 = 1 AND s.state = a.state AND a.day - s.day BETWEEN 0 AND 3) AS flight FROM a),
 g AS (SELECT day, max(v) AS v FROM said GROUP BY 1), sp AS (SELECT day, last_value(CASE WHEN v % 10 <> 0 THEN {{'kp': CAST(v % 8 AS DOUBLE), 'storm': CASE v // 37 % 7 WHEN 0 THEN 'G1' WHEN 1 THEN 'quiet' ELSE 'none' END}} END IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS sp FROM g),
 l AS (SELECT day, {_LIT} AS lit FROM g),
-p AS (SELECT a.state, a.day, least(20, weather) AS weather_score, least(15, CASE WHEN deviation > 100 THEN 15 WHEN deviation > 50 THEN 10 WHEN deviation > 25 THEN 5 ELSE 0 END + CASE WHEN flight.high THEN 5 ELSE 0 END + CASE WHEN flight.birds > 1000000 THEN 5 WHEN flight.birds > 100000 THEN 2 ELSE 0 END) AS biological_score,
+p AS (SELECT a.state, a.day, CAST(least(20, weather) AS INTEGER) AS weather_score, least(15, CASE WHEN deviation > 100 THEN 15 WHEN deviation > 50 THEN 10 WHEN deviation > 25 THEN 5 ELSE 0 END + CASE WHEN flight.high THEN 5 ELSE 0 END + CASE WHEN flight.birds > 1000000 THEN 5 WHEN flight.birds > 100000 THEN 2 ELSE 0 END) AS biological_score,
 CASE WHEN lit < 5 THEN 10 WHEN lit < 15 THEN 5 WHEN lit > 95 THEN 8 ELSE 2 END AS lunar_score, least(15, CASE trend WHEN 'rising' THEN 8 WHEN 'stable' THEN 3 WHEN 'falling' THEN 5 ELSE 0 END + CASE WHEN flow IS NULL THEN 0 WHEN flow = 'flood' THEN 7 WHEN flow = 'elevated flow' THEN 4 WHEN flow = 'low flow' THEN 5 ELSE 1 END) AS water_score,
 CASE WHEN drought IS NULL THEN 0 WHEN drought.class = 'exceptional_drought' OR drought.d2 > 50 THEN 15 WHEN drought.d2 > 25 THEN 12 WHEN drought.class = 'severe_drought' THEN 10 WHEN drought.class = 'moderate_drought' THEN 7 WHEN drought.class = 'abnormally_dry' THEN 4 WHEN drought.class = 'normal' THEN 1 ELSE 2 END AS drought_score,
 CASE WHEN aqi IS NULL THEN 0 WHEN aqi > 200 THEN 15 WHEN aqi > 150 THEN 12 WHEN aqi > 100 THEN 8 WHEN aqi > 50 THEN 4 ELSE 1 END AS air_score,
