@@ -102,7 +102,7 @@ def test_pii_query_counts_base_kinds_as_sql(spark):
 
 
 def _planted(r: random.Random) -> list[tuple[str, str | None]]:
-    """(text, the personal datum in it or None): forms written down apart from the trees' own templates."""
+    """(text, the personal datum in it or None): planted data in forms that the trees know: those of their templates and strict patterns (README says how other forms fare)."""
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: pick(letters, r.randint(3, 9))
