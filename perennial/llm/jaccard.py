@@ -4,10 +4,13 @@ A text's set holds its distinct 5-word shingles as 64-bit hashes. If two sets ha
 more, then under any total order of the shingles their prefixes (the first n - ceil(0.8 n) + 1) share one. Three
 orders are used: rarest first by a count sketch of fixed size over the whole corpus, and the hashes of a bijection
 upwards and downwards. A pair is a candidate under the first order if it shares a prefix shingle at places that leave
-enough to share after them. Then the filters of the other two orders are intersected with it, still without any whole
+enough to share after them. Of the candidates only those go on whose parities can be of similar sets: a bit or two for
+each shingle says how many of a set's hashes fall on a place, even or odd, and sets differ in no fewer shingles than in
+bits. Then the filters of the other two orders are intersected with them, still without any whole
 set: beside each class stand its prefixes under both, half the bits of a hash each, and a pair goes on only if both
 have a common entry, and if what they have in common, with all that lies outside the prefixes, can still reach 0.8.
-Only pairs that pass all three orders have their whole sets brought together and intersected.
+Only pairs that pass all three orders have their whole sets brought together and intersected. Prefixes and whole sets
+move for the documents of pairs that are left, not for all.
 
 Texts with equal sets are one class and join as one. Of prefix shingles that the very same classes have, only the
 first in the order is kept (with their number): a pair that shares one shares all, so its first common shingle stays.
@@ -15,7 +18,8 @@ Groups of near copies can be large, so pairs are not listed outright: in a first
 candidate it shares most prefix shingles with among the leaders of its shingles; further rounds compare across the
 components found so far, and the last one takes every candidate pair whose ends are still in different components.
 There the classes of a frequent shingle are dealt into blocks, each pair of blocks is a group of its own, and only
-similar pairs leave it. So no link that matters to a component is left out, pairs within
+similar pairs leave it; whole sets come to it only for classes that have a partner by their parities. So no link that
+matters to a component is left out, pairs within
 a component are never verified again, and no step puts all members of a shingle into one task. What
 stands beside the classes is written once; whole sets are made from the texts of the pairs that need them.
 
@@ -94,6 +98,41 @@ def ends_of(ordered: np.ndarray, percent: int = 80) -> np.ndarray:
     return (np.concatenate((ordered[:p], ordered[-p:])) >> np.uint64(32)).astype("<u4")
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 places or more, one or two a shingle, whether an odd number of the hashes fall on it; packed.
+    A shingle that only one of two sets has turns one bit, so they differ in as many shingles as in bits, or more."""
+    size = 1 << max(6, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2 == 1)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parity_bits() as for so many bytes, a power of two."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return np.ascontiguousarray(bits).view("<u8")
+
+
+def pass_bits(a: list[np.ndarray], n: np.ndarray, b: list[np.ndarray], m: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Which of a (parities of sets of n shingles) and of b may be similar, by size and parities? A matrix."""
+    n, m = np.asarray(n, np.int64)[:, None], np.asarray(m, np.int64)[None, :]
+    apart = np.zeros((len(a), len(b)), np.int64)
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+    for x in np.unique(sizes[0]):
+        for y in np.unique(sizes[1]):
+            i, j = np.flatnonzero(sizes[0] == x), np.flatnonzero(sizes[1] == y)
+            left, right = (_folded(np.stack([side[k] for k in at]), min(x, y)) for side, at in ((a, i), (b, j)))
+            apart[np.ix_(i, j)] = [np.bitwise_count(row ^ right).sum(axis=1, dtype=np.int64) for row in left]
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
+
+
+def passes_bits(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int = 80) -> bool:
+    """pass_bits() for one pair."""
+    size = min(len(a), len(b))
+    apart = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum(dtype=np.int64))
+    return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
+
+
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many values each of a has in common with each of b, at least what whole hashes would have."""
     left, right = (np.concatenate(x) for x in (a, b))
@@ -330,11 +369,12 @@ def _places(ids: np.ndarray, bits: int):
     return [(h >> np.uint64(s)).astype(np.int64) & (bits - 1) for s in (0, 29)]
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool, whole: bool, size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n, shingles) of the documents of `ids`: their sets in the second order, or just the ends. `repeated`: are
-    there rows with one id and one set? They would meet in all their pairs, so that one of them stays."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+def sets_of(docs: DataFrame, wanted: np.ndarray, repeated: bool, whole: bool, size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n, shingles, bits) of the documents in the id_filter() `wanted`: their sets in the second order, or just the
+    ends, and the parities beside these. `repeated`: are there rows with one id and one set? They would meet in all their
+    pairs, so that one of them stays."""
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches):
         for batch in batches:
@@ -342,25 +382,21 @@ def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool, whole: bool, size:
                 rows = []
                 for s in shingle_sets(part.column("text"), size):
                     ordered = in_second_order(s).astype("<u8")
-                    rows.append((*set_key(s), len(s), (ordered if whole or not len(s) else ends_of(ordered, percent)).tobytes()))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *_CLASS, "shingles"])
+                    rows.append((*set_key(s), len(s), (ordered if whole or not len(s) else ends_of(ordered, percent)).tobytes(), None if whole else parity_bits(ordered).tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *_CLASS, "shingles", "bits"])
 
-    made = docs.where("doc_id is not null").mapInArrow(run, "id long, k1 long, k2 long, n long, shingles binary").where("n > 0")
+    made = docs.where("doc_id is not null").mapInArrow(run, "id long, k1 long, k2 long, n long, shingles binary, bits binary").where("n > 0")
     if repeated:
-        made = made.groupBy("id", *_CLASS).agg(F.first("shingles").alias("shingles"))
-    return made.select("id", "n", "shingles")
+        made = made.groupBy("id", *_CLASS).agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    return made.select("id", "n", "shingles", "bits")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("hub", "spoke")).alias("id")).distinct()
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, spoke) with n and shingles of both. Pairs and sets both grow with the corpus: they meet by shuffles.
+def _with_sets(pairs: DataFrame, spokes: DataFrame, hubs: DataFrame, column: str = "shingles") -> DataFrame:
+    """The pairs (hub, spoke) with n and that column of both. Pairs and sets both grow with the corpus: they meet by shuffles.
     Hashed, not sorted: an id has one set, so the hashed side is even, and sets are not copied into sort buffers."""
-    both = pairs.join(sets.toDF("spoke", "m", "theirs").hint("shuffle_hash"), "spoke")
-    return both.join(sets.toDF("hub", "n", "mine").hint("shuffle_hash"), "hub").select("hub", "spoke", "n", "mine", "m", "theirs")
+    both = pairs.join(spokes.select("id", "n", column).toDF("spoke", "m", "theirs").hint("shuffle_hash"), "spoke")
+    return both.join(hubs.select("id", "n", column).toDF("hub", "n", "mine").hint("shuffle_hash"), "hub").select("hub", "spoke", "n", "mine", "m", "theirs")
 
 
 def _holding(test, kind: str):
@@ -378,11 +414,16 @@ def _holding(test, kind: str):
 
 
 def verify(pairs: DataFrame, ends: DataFrame, sets, percent: int = 80) -> DataFrame:
-    """The pairs (hub, spoke) that are similar, as (a, b): those that pass the second and third order by whole sets.
-    sets: gives the whole sets of a table of ids."""
+    """The pairs (hub, spoke) that are similar, as (a, b): those that pass the parities, then the second and third order, by
+    whole sets. sets: gives the whole sets of the ids in an id_filter(). Only what the pairs left may need is moved."""
     kept = "hub long, spoke long"
-    close = stored(_with_sets(pairs, ends).mapInArrow(_holding(lambda a, n, b, m: passes_orders(a, n, b, m, percent), "<u4"), kept))
-    found = _with_sets(close, sets(_ids(close))).mapInArrow(_holding(lambda a, n, b, m: similar(a, b, percent), "<u8"), kept)
+    near = stored(_with_sets(pairs, ends, ends, "bits").mapInArrow(_holding(lambda a, n, b, m: passes_bits(a, n, b, m, percent), "u1"), kept))
+    if near.isEmpty():
+        return near.toDF("a", "b")
+    sides = [id_filter(near.select(F.col(c).alias("id"))) for c in ("spoke", "hub")]
+    few = (ends.where(in_filter(flags)("id")) for flags in sides)
+    close = stored(_with_sets(near, *few).mapInArrow(_holding(lambda a, n, b, m: passes_orders(a, n, b, m, percent), "<u4"), kept))
+    found = _with_sets(close, *(sets(flags) for flags in sides)).mapInArrow(_holding(lambda a, n, b, m: similar(a, b, percent), "<u8"), kept)
     return stored(found.distinct().toDF("a", "b"))
 
 
@@ -411,9 +452,10 @@ def leader_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
     return counts.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select("hub", F.col("id").alias("spoke"))
 
 
-def all_pairs(tokens: DataFrame, sets, percent: int) -> DataFrame:
+def all_pairs(tokens: DataFrame, ends: DataFrame, sets, percent: int) -> DataFrame:
     """Every candidate pair whose ends are in different components: an equal shingle, at places that fit. Of a frequent
-    shingle only those that are similar: they are compared block by block, by all three orders and then whole."""
+    shingle only those that are similar: they are compared block by block, by their parities first, and those that have
+    a partner left by all three orders and then whole."""
     mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
     rows = tokens.select("token", "id", "n", "pos", "label", "m")
     few = rows.where(F.col("m") <= BLOCK).drop("m").join(mixed, "token")
@@ -427,25 +469,44 @@ def all_pairs(tokens: DataFrame, sets, percent: int) -> DataFrame:
     many = rows.where(F.col("m") > BLOCK).join(mixed.hint("shuffle_hash"), "token")
     if many.isEmpty():
         return listed.distinct()
-    whole = sets(many.select("id").distinct())
     many = many.withColumn("blocks", F.ceil(2 * F.col("m") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("id", "token"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.join(whole, ["id", "n"]).select("token", "id", "n", "pos", "label", "shingles", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    place = ["token", "id", "n", "pos", "label", "b", "x", "y"]
+    many = many.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")}).join(ends.select("id", "n", "bits"), ["id", "n"]).select(*place, "bits")
 
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        ta.release()
+    def fitting(key: tuple, rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        """The rows of the two blocks, and which pairs of them may be linked by their components and places, each once."""
         block, x, y = rows.column("b").to_numpy(), key[1].as_py(), key[2].as_py()
         sides = [np.flatnonzero(block == k) for k in (x, y)]
-        ids, n, pos, label = (rows.column(c).to_numpy() for c in ("id", "n", "pos", "label"))
+        n, pos, label = (rows.column(c).to_numpy() for c in ("n", "pos", "label"))
+        a, b = sides[0][:, None], sides[1][None, :]
+        rest = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b])
+        ok = (label[a] != label[b]) & ((100 + percent) * rest >= percent * (n[a] + n[b]))
+        return sides, ok & np.triu(np.ones(ok.shape, bool), 1) if x == y else ok
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        """The rows that have a partner left: rows, not pairs, so that no more than the blocks hold comes out."""
+        ta.release()
+        sides, ok = fitting(key, rows)
+        n, bits = rows.column("n").to_numpy(), [np.frombuffer(e.as_buffer(), "u1") for e in rows.column("bits")]
+        if ok.any():
+            ok &= pass_bits(*(x for side in sides for x in ([bits[i] for i in side], n[side])), percent)
+        left = np.union1d(sides[0][ok.any(axis=1)], sides[1][ok.any(axis=0)])
+        return rows.select(place).take(pa.array(left, pa.int64())).group_by(place).aggregate([])
+
+    many = stored(many.groupBy("token", "x", "y").applyInArrow(meet, ", ".join(f"{c} long" for c in place)))
+    if many.isEmpty():
+        return listed.distinct()
+    many = many.join(sets(id_filter(many.select("id").distinct())).drop("bits"), ["id", "n"]).select(*place, "shingles")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        ta.release()
+        sides, ok = fitting(key, rows)
+        ids, n = (rows.column(c).to_numpy() for c in ("id", "n"))
         whole = [np.frombuffer(e.as_buffer(), "<u8") for e in rows.column("shingles")]
         if not len(sides[0]) or not len(sides[1]):
             return pa.table({"hub": pa.array([], pa.int64()), "spoke": pa.array([], pa.int64())})
-        a, b = (side[:, None] if not k else side[None, :] for k, side in enumerate(sides))
-        rest = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b])
-        ok = (label[a] != label[b]) & ((100 + percent) * rest >= percent * (n[a] + n[b]))
         ends = [[ends_of(whole[i], percent) for i in side] for side in sides]
         ok &= pass_orders(ends[0], n[sides[0]], ends[1], n[sides[1]], percent)
-        if x == y:
-            ok &= np.triu(np.ones(ok.shape, bool), 1)
         i, j = np.nonzero(ok)
         i, j = sides[0][i], sides[1][j]
         near = np.array([similar(whole[p], whole[q], percent) for p, q in zip(i, j, strict=True)], bool)
@@ -468,15 +529,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     found = prefixes(rows, summed_sketch(made), size, percent)
     tokens = stored(thinned(stored(shared_tokens(found, classes, n_groups))))
     repeated = not members.where("n > 0 and doc_id is not null").groupBy("doc_id", *_CLASS).count().where("count > 1").isEmpty()
-    ends = stored(sets_of(rows, tokens.select("id").distinct(), repeated, False, size, percent))
-    sets = lambda ids: sets_of(rows, ids, repeated, True, size, percent)
+    ends = stored(sets_of(rows, id_filter(tokens.select("id").distinct()), repeated, False, size, percent))
+    sets = lambda wanted: sets_of(rows, wanted, repeated, True, size, percent)
     labels = edges = done = None
     turn, last = 0, False
     while True:
         labelled = tokens.withColumn("label", F.col("id"))
         if labels is not None:
             labelled = tokens.join(labels.hint("shuffle_hash"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pairs = all_pairs(labelled, sets, percent) if last else leader_pairs(labelled, percent, turn)
+        pairs = all_pairs(labelled, ends, sets, percent) if last else leader_pairs(labelled, percent, turn)
         if done is not None:
             tried = done.select(F.least("hub", "spoke").alias("x"), F.greatest("hub", "spoke").alias("y"))
             pairs = pairs.join(tried, (F.least("hub", "spoke") == F.col("x")) & (F.greatest("hub", "spoke") == F.col("y")), "left_anti")

@@ -203,6 +203,43 @@ def test_template_pages_make_no_quadratic_list_of_pairs(spark, monkeypatch):
         listed.clear()
 
 
+def test_unlike_texts_of_frequent_shingles_make_no_whole_sets(spark, monkeypatch):
+    r = random.Random(6)
+    blocks = [" ".join(f"t{b}w{i}" for i in range(40)) for b in range(60)]
+    rows = [(k, " ".join(r.sample(blocks, 6))) for k in range(200)]
+    made, sets_of = [], jaccard.sets_of
+
+    def counted(docs, wanted, repeated, whole, *a):
+        out = sets_of(docs, wanted, repeated, whole, *a)
+        made.append(out.count() if whole else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)  # each block of words is in some 20 texts, and no two texts are similar
+    monkeypatch.setattr(jaccard, "sets_of", counted)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _jaccard(rows) and all(c == i for i, (_, c) in got.items())
+    assert made and sum(made) == 0
+
+
+def test_parities_never_lose_a_similar_pair():
+    r = np.random.default_rng(12)
+    sets = []
+    for k in range(60):
+        base = np.random.default_rng(k // 6).integers(0, 1 << 63, [1, 2, 3, 60, 127, 900][k // 6 % 6], dtype=np.uint64)
+        more = r.integers(0, 1 << 63, r.integers(0, 1 + len(base) // 10), dtype=np.uint64)
+        sets.append(jaccard.in_second_order(np.unique(np.concatenate((base[r.random(len(base)) > 0.1 * r.random()], more, base[:1])))))
+    bits, n = [jaccard.parity_bits(s) for s in sets], np.array([len(s) for s in sets])
+    assert len({len(x) for x in bits}) >= 4  # sets of unlike sizes meet
+    for percent in (40, 80, 95):
+        grid = jaccard.pass_bits(bits, n, bits, n, percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert grid[i, j] == jaccard.passes_bits(bits[i], n[i], bits[j], n[j], percent)
+                if jaccard.similar(a, b, percent):
+                    assert grid[i, j]
+    assert not jaccard.pass_bits(bits[18:36], n[18:36], bits[-6:], n[-6:]).any()  # unlike sets are told apart
+
+
 def test_orders_never_lose_a_similar_pair():
     r = np.random.default_rng(8)
     sets = []
