@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,19 +99,57 @@ def near_miss(fires: Column, followed: Column, near_fires: Column, near_followed
     return {"ratio": ratio, "p": p, "verdict": F.when((ratio >= 2) & (p < 0.05), "FUSION").otherwise("DECORATION")}
 
 
+#: Links that a task joins to trees at once.
+LINKS = 1 << 19
+
+
+def _trees(batches):
+    """(id, root) of a task's links (a, b): each id with the smallest one it is joined with, roots with themselves."""
+    parts = list(batches)
+    if not parts:
+        return
+    held = pa.Table.from_batches(parts)
+    ids, at = np.unique(np.concatenate([held.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    low, high = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while len(low):
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        low, high = np.minimum(root[low], root[high]), np.maximum(root[low], root[high])
+        apart = low != high
+        low, high = low[apart], high[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, held.schema.field("a").type), pa.array(ids[root], held.schema.field("a").type)], ["id", "root"])
+
+
 def union_find(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each connected component. The edges are computed once and checkpointed; in a round
-    each id takes the smallest label beside it and then that label's own label, so that long chains halve."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = both.groupBy("id").agg(F.least("id", F.min("near")).alias("label")).checkpoint()
-    while True:
-        best = both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("label").alias("l"))
-        new = labels.join(best, "id").select("id", "label", F.least("label", "l").alias("new"))
-        up = labels.select(F.col("id").alias("new"), F.col("label").alias("l"))
-        new = new.join(up, "new", "left").select("id", "label", F.least("new", F.coalesce("l", "new")).alias("new")).checkpoint()
-        if new.where("label <> new").isEmpty():
-            return labels
-        labels = new.select("id", F.col("new").alias("label"))
+    """(id, label): the smallest id of each connected component.
+
+    In a round each task joins a range of the links to trees under their smallest ids. An id that is nowhere a root takes the label of
+    its root and is done with; the links of the next round are those between roots that such an id has in several tasks, and those of
+    roots below other roots. The greatest id is never a root, so each round has fewer ids, and the last one's links fit a task."""
+    known = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    kind = known.schema["a"].dataType.simpleString()
+    links, settled = known.where("a <> b"), []
+    while n := links.count():
+        tasks = -(-n // LINKS)
+        trees = links.repartitionByRange(tasks, "a", "b").mapInArrow(_trees, f"id {kind}, root {kind}").checkpoint()
+        if tasks == 1:
+            settled.append(trees.where("id <> root").select("id", F.col("root").alias("up")))
+            break
+        g = trees.groupBy("id").agg(F.max(F.col("id") == F.col("root")).alias("top"), F.sort_array(F.collect_set(F.when(F.col("id") != F.col("root"), F.col("root")))).alias("roots"))
+        settled.append(g.where("not top").select("id", F.get("roots", F.lit(0)).alias("up")))
+        below = g.where("top").select(F.explode("roots").alias("a"), F.col("id").alias("b"))
+        beside = g.where("not top").select(F.get("roots", F.lit(0)).alias("a"), F.explode(F.slice("roots", 2, 1 << 30)).alias("b"))
+        links = below.union(beside).distinct().checkpoint()
+    labels = known.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
+    if settled:
+        found = settled.pop().withColumnRenamed("up", "label")
+        for step in reversed(settled):
+            later = found.select(F.col("id").alias("up"), "label")
+            found = step.join(later, "up", "left").select("id", F.coalesce("label", "up").alias("label")).union(found)
+        labels = labels.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return labels
 
 
 def empirical_p(observed: DataFrame, nulls: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:

@@ -135,6 +135,28 @@ def test_union_find_chain(spark):
     assert {got[i] for i in range(1, 41)} == {1} and got[101] == 100
 
 
+def test_union_find_ends_in_few_rounds_on_winding_clusters(spark, monkeypatch):
+    import random
+
+    archive.shared_folder(spark)
+    rng = random.Random(5)
+    # Paths whose ids go up and down: a label that only moves from neighbour to neighbour needs as many rounds as a path has ids.
+    names = rng.sample(range(10_000), 900)
+    links = [(a, b) for k in range(0, 900, 300) for a, b in zip(names[k : k + 299], names[k + 1 : k + 300])]
+    want = {n: min(names[k : k + 300]) for k in range(0, 900, 300) for n in names[k : k + 300]}
+    edges = spark.createDataFrame([*links, (20_000, 20_000), (None, 3), (links[0][1], links[0][0])], "a long, b long")
+    frame, rounds = type(edges), []
+    plain = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: rounds.append(1) or plain(self, *a))
+    for most in (1 << 19, 64):
+        monkeypatch.setattr(st, "LINKS", most, raising=False)
+        rounds.clear()
+        got = {r["id"]: r["label"] for r in st.union_find(edges).collect()}
+        assert {k: v for k, v in got.items() if k in want} == want and got[20_000] == 20_000
+        assert set(got) - set(want) <= {20_000, 3}
+        assert len(rounds) < 24
+
+
 def test_codec_refuses_what_it_would_round(spark):
     from perennial.sources import archive
 
