@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,24 @@ def test_alerts_fire_by_their_own_rules(spark):
     assert fired(spark, new, entries=entries) == {1: (500, []), 2: (1, [])}
 
 
+def test_many_alerts_do_not_meet_many_events_one_by_one(spark):
+    rng, n = random.Random(3), 30_000
+    # Each alert last fired at a moment of its own; 30,000 x 30,000 pairs would take minutes.
+    sinces = [ago(hours=4, seconds=rng.randrange(10**6)) for _ in range(n)]
+    events = [("heat", rng.choice([["TX"], ["OK", "TX"], ["OK"], None]), ago(seconds=rng.randrange(10**6))) for _ in range(n)]
+    states = [rng.choice([None, ["OK"], ["OK", "TX", "TX"]]) for _ in range(n)]
+    alerts = [alert(k, "weather_event", states[k], last=since, types=["heat"]) for k, since in enumerate(sinces)] + [alert(n + k, "new_data", last=since, content="heat") for k, since in enumerate(sinces)]
+    began = time.time()
+    got = fired(spark, alerts, events=events, entries=[("heat", at) for _, _, at in events])
+    assert time.time() - began < 90
+    kinds = sorted({(at, tuple(s) if s else ()) for _, s, at in events})
+    for k in rng.sample(range(n), 40):
+        later = [s for at, s in kinds if at > sinces[k] and (states[k] is None or set(s) & set(states[k]))]
+        assert got.get(k, (0, []))[0] == len(later)
+        assert got.get(k, (0, []))[1] == sorted({x for s in later for x in s if states[k] is None or x in states[k]})
+        assert got.get(n + k, (0, []))[0] == sum(at > sinces[k] for _, _, at in events)
+
+
 def test_certification_needs_every_rotation_and_the_floor(spark):
     rows = [("yes", 0, 0.05)] + [("yes", k, 0.04) for k in range(1, 5)] + [("tie", 0, 0.04)] + [("tie", k, 0.04 if k == 2 else 0.0) for k in range(1, 5)]
     rows += [("small", 0, 0.01), ("small", 1, 0.0), ("small", 2, None), ("none", 0, None), ("none", 1, 0.3), ("alone", 0, 0.5)]
