@@ -48,6 +48,38 @@ def greedy_anchors(df: DataFrame, family: str, row_id: str, day: str, states: st
     return folded.join(before, [family, "_island"]).select(family, row_id, (F.col("_own") + F.col("_before")).alias("cluster"))
 
 
+def merged_spans(df: DataFrame, row_id: str, key: Sequence[str], start: str, end: str) -> DataFrame:
+    """The rows with `label`: the smallest id among the rows that a row is linked with, where rows of equal keys are linked if their
+    spans of days (both ends counted) share a day. A row without a key, start or end is alone, and one without an id is left out.
+
+    Spans that overlap form islands along the calendar, so no pair of rows is made: a row for each key and day is ordered, and a day
+    that no earlier span reaches begins an island. A span that ends before it starts meets only those that hold both its days.
+    Rows of one id link their islands."""
+    from .statistics import union_find
+
+    turned = F.col(end) < F.col(start)
+    low, high = F.least(start, end), F.greatest(start, end)
+    whole = F.col(start).isNotNull() & F.col(end).isNotNull()
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    rows = df.where(F.col(row_id).isNotNull()).withColumns({"_low": F.when(whole, low), "_high": high, "_turned": turned, "_own": F.when(turned, high).otherwise(low)})
+    at = [*key, "_low", "_turned", "_own"]
+    spans = rows.where(whole).groupBy(*at).agg(F.max("_high").alias("_high"), F.min(row_id).alias("_least"))
+    w = Window.partitionBy(*key).orderBy("_low", "_turned")
+    reach = F.max(F.when(~F.col("_turned"), F.col("_high"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_reach", reach)
+    new = ~F.col("_turned") & (F.col("_reach").isNull() | (F.col("_reach") < F.col("_low")))
+    spans = spans.withColumn("_island", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.where(~F.col("_turned") | (F.col("_reach") >= F.col("_high"))).withColumn("label", F.min("_least").over(Window.partitionBy(*key, "_island")))
+    out = rows.join(spans.select(*at, "label"), at, "left").select(*df.columns, F.coalesce("label", row_id).alias("label"))
+    if rows.groupBy(row_id).count().where("count > 1").isEmpty():
+        return out
+    out = out.checkpoint()
+    several = out.groupBy(row_id).agg(F.sort_array(F.collect_set("label")).alias("_all")).where(F.size("_all") > 1)
+    links = union_find(several.select(F.get("_all", F.lit(0)).alias("a"), F.explode("_all").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("_to"))
+    return out.join(links, "label", "left").select(*df.columns, F.coalesce("_to", "label").alias("label"))
+
+
 def arcs(scores: DataFrame, key: Sequence[str], day: str, score: str, rise: float, peak: float, quiet: int) -> DataFrame:
     """Arcs of a key's daily score: one opens when the score rises by more than `rise` and none is open, is
     recognised at `peak`, and closes after `quiet` days below its opening score. A fold of a key's days as columns."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
-from ..operators import joins, pools, vectors
+from ..operators import clusters, pools, vectors
 from ..operators import statistics as st
 from ..sources import archive
 from .common import DAILY, EVENT_DAYS, daily, event_days, query, t
@@ -73,12 +73,9 @@ def same_system(spark, d):
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     day = F.to_date("o_orderdate")
     s = o.where("o_totalprice > 400000").join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), F.col("c_nationkey").alias("state"), day.alias("a"), F.date_add(day, (F.col("o_orderkey") % 4).cast("int")).alias("b"), F.col("o_totalprice").alias("severity"))
-    # Spans are at most four days long, so overlapping ones begin within three days of each other.
-    y = s.select(F.col("id").alias("id2"), "family", "state", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    e = joins.interval_join(s, y, ["family", "state"], "a", "a2", -3, 3).where("a <= b2 and a2 <= b").select(F.col("id").alias("a"), F.col("id2").alias("b"))
     archive.shared_folder(spark)
-    labelled = s.join(st.union_find(e), "id")
-    return labelled.groupBy("label").agg(F.count("*").alias("members"), F.max_by("id", F.struct("severity", -F.datediff("a", F.lit("1970-01-01").cast("date")), -F.col("id"))).alias("keeper"))
+    order = F.struct("severity", -F.datediff("a", F.lit("1970-01-01").cast("date")), -F.col("id"))
+    return clusters.merged_spans(s, "id", ["family", "state"], "a", "b").groupBy("label").agg(F.count("*").alias("members"), F.max_by("id", order).alias("keeper"))
 
 
 @query(f"""WITH {DAILY}, x AS (SELECT region, day, value, {DOY.format('day')} AS doy FROM daily), s AS (SELECT region, CAST(floor(doy / 30) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (WHERE value > 300000) AS hits FROM x GROUP BY 1, 2)

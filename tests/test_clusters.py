@@ -43,6 +43,31 @@ def test_greedy_anchors_never_merge_bridged_clusters(spark):
     assert got[3] == got[1] != got[2] and got[4] not in (got[1], got[2]) and got[5] != got[4]
 
 
+def test_spans_merge_without_a_row_for_each_pair(spark):
+    import random
+
+    from perennial.sources import archive
+
+    archive.shared_folder(spark)
+    rng = random.Random(7)
+    rows = [(k, rng.choice("ab"), day(d := rng.randrange(150)), day(d + rng.randrange(-2, 4))) for k in range(100, 180)]
+    rows += [(5, None, day(1), day(2)), (6, None, day(1), day(2)), (7, "a", None, day(1)), (8, "a", day(900), day(897)), (9, "a", day(900), day(897)), (10, "b", day(700), day(700)), (10, "a", day(500), day(501)), (11, "a", day(501), day(503)), (12, "b", day(697), day(700)), (None, "a", day(1), day(1))]
+    known = [r for r in rows if r[0] is not None]
+    label = {r[0]: r[0] for r in known}
+    linked = [(x[0], y[0]) for x in known for y in known if None not in x and None not in y and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]]
+    for _ in known:
+        for x, y in linked:
+            label[x] = label[y] = min(label[x], label[y])
+    df = spark.createDataFrame(rows, "id long, k string, a date, b date")
+    got = clusters.merged_spans(df, "id", ["k"], "a", "b").collect()
+    assert sorted((r["id"], r["label"]) for r in got) == sorted((r[0], label[r[0]]) for r in known)
+    # A crowd on a few days: 40,000 rows would be 100 million pairs.
+    crowd = spark.range(40_000).select("id", F.lit("a").alias("k"), F.expr("date_add(date'2024-01-01', cast(id % 8 * 3 as int))").alias("a")).withColumn("b", F.expr("date_add(a, cast(id % 2 as int))"))
+    merged = clusters.merged_spans(crowd, "id", ["k"], "a", "b")
+    assert {r["label"]: r["count"] for r in merged.groupBy("label").count().collect()} == {k: 5000 for k in range(8)}
+    assert merged.columns == ["id", "k", "a", "b", "label"]
+
+
 def test_arcs_open_and_close(spark):
     scores = [10, 30, 80, 20, 9, 8, 8, 40]
     df = spark.createDataFrame([("x", day(i), float(s)) for i, s in enumerate(scores)], "k string, day date, s double")
