@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendars import doy_frost, season_year
+from ..sources.archive import shared_folder
+from .ranks import PARTS
 from .series import day_number, equal_runs
 
 
@@ -44,23 +46,31 @@ def frost_climatology(dates: DataFrame, key: Sequence[str], least: int = 5) -> D
 def tide_at(curve: DataFrame, asked: DataFrame, station: Sequence[str], at: str, height: str, step_minutes: int) -> DataFrame:
     """The height at each asked time on a line between the samples around it, its direction and a status: refused
     outside the curve, across a gap of more than two steps, or next to a missing height, and never 0 instead."""
-    w = Window.partitionBy(*station).orderBy("_t", "_side")
+    shared_folder(curve.sparkSession)
     point = F.struct(F.col("_t").alias("t"), F.col("_h").alias("h"))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    c = curve.select(*station, micros.alias("_t"), F.lit(0).alias("_side"), F.col(height).cast("double").alias("_h"), F.lit(None).cast("timestamp").alias("asked_at"))
-    a = asked.select(*station, micros.alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_h"), F.col(at).cast("timestamp").alias("asked_at"))
+    c = curve.select(*station, micros.alias("_t"), F.lit(0).alias("_side"), F.col(height).cast("double").alias("_h")).dropna(subset=[*station, "_t"])
+    a = asked.select(*station, micros.alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_h"))
+    # Ranges of a station's times; what a range needs of those before and after it is one sample on each side.
+    rows = c.unionByName(a).repartitionByRange(PARTS, *station, "_t", "_side").withColumn("_part", F.spark_partition_id()).checkpoint()
+    by = [*station, "_part"]
     sample = F.when(F.col("_side") == 0, point)
-    before = F.last(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(sample, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    j = c.unionByName(a).withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    ends = rows.groupBy(*by).agg(F.min(sample).alias("_first"), F.max(sample).alias("_last"))
+    others = lambda order: Window.partitionBy(*station).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, F.last("_last", ignorenulls=True).over(others(F.col("_part"))).alias("_before"), F.last("_first", ignorenulls=True).over(others(F.desc("_part"))).alias("_after"))
+    # Both windows run from their first row to the current one: one that reaches forward would read the rest again for each row.
+    so_far = lambda *order: F.last(sample, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    j = rows.withColumns({"_b": so_far("_t", "_side"), "_a": so_far(F.desc("_t"), F.desc("_side"))}).where("_side = 1")
+    j = j.alias("l").join(ends.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by])
+    j = j.select(*(F.col(f"l.{k}") for k in station), "_t", F.coalesce("_b", "_before").alias("_b"), F.coalesce("_a", "_after").alias("_a"))
     exact = F.col("_b.t") == F.col("_t")
     gap = (F.col("_a.t") - F.col("_b.t")) / 6e7
-    status = F.when(exact & F.col("_b.h").isNotNull(), "ok").when(F.col("_b").isNull() | F.col("_a").isNull(), "out of range").when(gap > 2 * step_minutes, "gap").when(F.col("_b.h").isNull() | F.col("_a.h").isNull(), "missing").otherwise("ok")
+    status = F.when(exact, F.when(F.col("_b.h").isNotNull(), "ok").otherwise("missing")).when(F.col("_b").isNull() | F.col("_a").isNull(), "out of range").when(gap > 2 * step_minutes, "gap").when(F.col("_b.h").isNull() | F.col("_a.h").isNull(), "missing").otherwise("ok")
     line = F.col("_b.h") + (F.col("_a.h") - F.col("_b.h")) * (F.col("_t") - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
     value = F.when(F.col("status") == "ok", F.when(exact, F.col("_b.h")).otherwise(line))
     change = F.col("_a.h") - F.col("_b.h")
     direction = F.when(F.col("status") == "ok", F.when(change > 0, "rising").when(change < 0, "falling").otherwise("slack"))
-    return j.withColumn("status", status).select(*station, F.col("asked_at").alias(at), value.alias(height), direction.alias("direction"), "status")
+    return j.withColumn("status", status).select(*station, F.timestamp_micros("_t").alias(at), value.alias(height), direction.alias("direction"), "status")
 
 
 def season_of(day: Column) -> Column:

@@ -95,6 +95,21 @@ def test_tides_are_refused_not_zero(spark):
     assert all(got[k][0] is None for k in got if got[k][2] != "ok")
 
 
+def test_tides_of_a_long_curve_take_no_time_for_each_pair(spark):
+    import time
+
+    n = 100_000
+    moment = lambda k: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60 + k)
+    curve = spark.range(n).select(F.lit("s").alias("station"), moment(0).alias("at"), F.when(F.col("id") < n - 1, F.col("id").cast("double")).alias("h"))
+    asked = spark.range(n).select(F.lit("s").alias("station"), moment(30).alias("at")).union(spark.range(n - 1, n).select(F.lit("s"), moment(0))).union(spark.range(2).select(F.lit(None).cast("string"), moment(0)))
+    began = time.time()
+    got = quality.tide_at(curve, asked, ["station"], "at", "h", 60)
+    totals = {(r["station"], r["status"]): (r["n"], r["s"]) for r in got.groupBy("station", "status").agg(F.count("*").alias("n"), F.sum("h").alias("s")).collect()}
+    assert time.time() - began < 60
+    # Half-way between neighbours; a sample without a height is missing, also at the end; no station, no curve.
+    assert totals == {("s", "ok"): (n - 2, sum(k + 0.5 for k in range(n - 2))), ("s", "missing"): (2, None), ("s", "out of range"): (1, None), (None, "out of range"): (2, None)}
+
+
 def test_moon_and_sun(spark):
     row = spark.range(1).select(
         sky.moon_phase(F.lit("2000-01-21").cast("date")).alias("full"), sky.moon_phase(F.lit("2000-01-06").cast("date")).alias("new"),
