@@ -14,7 +14,9 @@ _SAID = """said AS (SELECT c_nationkey AS state, CAST(o_orderdate AS DATE) AS da
 
 def _said(spark, d):
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("state"), F.to_date("o_orderdate").alias("day")).agg(F.floor(F.sum("o_totalprice")).cast("long").alias("v"))
+    # Prices are decimals: as doubles, a sum of whole units comes out just below or above by the order of its rows, and its floor with it.
+    price = F.col("o_totalprice").try_cast("decimal(28,10)")
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("state"), F.to_date("o_orderdate").alias("day")).agg(F.floor(F.sum(price)).cast("long").alias("v"))
 
 
 _LIT = "(1 - cos(2 * pi() * (((day - DATE '2000-01-01') + 2451545.0 - 2451550.09766) - 29.530588861 * floor(((day - DATE '2000-01-01') + 2451545.0 - 2451550.09766) / 29.530588861)) / 29.530588861)) / 2 * 100"

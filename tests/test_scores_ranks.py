@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -19,6 +20,26 @@ def feeds(spark, **rows):
     return {name: spark.createDataFrame(rows.get(name, []), f"state string, day date, {fields}") for name, fields in convergence.READINGS.items()}
 
 
+def test_domain_scores_do_not_hang_on_the_order_of_a_sum(spark, tmp_path):
+    from compare import connect, rows_of
+
+    from perennial import plans
+
+    # The four prices make 921,095 exactly; as doubles, some orders of adding them come out below.
+    prices = (161647.9, 163884.44, 391317.97, 204244.69)
+    spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 1, prices[k], dt.datetime(2000, 1, 1 + i)) for i, p in enumerate(itertools.permutations(range(4))) for k in p]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["v"] for r in plans.archive_scores._said(spark, str(tmp_path)).collect()} == {921095}
+    # The same SQL over prices that are decimals has no order of sums either, and says the same.
+    d = "/root/testdata/sf0.1"
+    con = connect(d)
+    con.sql(f"CREATE OR REPLACE VIEW orders AS SELECT * REPLACE (CAST(o_totalprice AS DECIMAL(12, 2)) AS o_totalprice) FROM read_parquet('{d}/orders.parquet')")
+    result = con.sql(plans.ORACLE["domain_scores"])
+    df = plans.QUERIES["domain_scores"](spark, d)
+    assert rows_of(df.columns, df.collect()) == rows_of(result.columns, result.fetchall())
+
+
 def scores(spark, asked, events=(), alerts=(), spikes=(), birds=(), space=(), lit=50.0, **readings):
     make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
     return {(r["state"], r["day"]): r for r in convergence.domain_scores(
