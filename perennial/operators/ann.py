@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dot, unit
+from .vectors import compared, unit
 
 
 def _units(values) -> np.ndarray:
@@ -58,10 +58,10 @@ def assign(vectors: DataFrame, centres: np.ndarray, vector: str = "embedding") -
 
 
 def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, top: int, probes: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity, rank) among the lists nearest to each query; the query itself is left out."""
+    """(query_id, id, similarity, rank) among the lists nearest to each query, by matrix products of a list's vectors and the queries
+    that probe it; the query itself is left out, and so is a vector without a direction."""
     shared = queries.sparkSession.sparkContext.broadcast(centres)
-    q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"), F.explode(_nearest(shared, probes)(vector)).alias("list"))
-    rows = indexed.where("list is not null").select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"), "list")
-    hits = rows.join(q, "list").where("id <> query_id").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= top)
+    side = F.lit(None).cast("string").alias("side")
+    q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"), side, _nearest(shared, probes)(vector).alias("lists"))
+    rows = indexed.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"), side, "list")
+    return compared(rows, q, top)

@@ -43,6 +43,15 @@ def test_best_so_far_is_the_plain_order(spark):
         assert list(zip(*(x.tolist() for x in best.best()), strict=True)) == want
 
 
+def test_list_search_makes_no_row_for_each_pair(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    centres = ann.fit(e, 8)
+    found = ann.search(ann.assign(e, centres), e.where("vec_id % 20 = 0"), centres, 10, 8)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    exact = vectors.search(e, e.where("vec_id % 20 = 0"), 10)
+    assert sorted(map(tuple, found.select("query_id", "id", "similarity", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "id", "similarity", "rank").collect()))
+
+
 def test_exact_search_sends_a_row_for_each_query_and_task(spark):
     e = spark.range(30_000).select(F.col("id").alias("vec_id"), F.array(F.rand(1) - 0.5, F.rand(2) - 0.5, F.rand(3) - 0.5).alias("embedding")).repartition(3).checkpoint()
     found = vectors.search(e, e.where("vec_id % 1000 = 0"), 300)
