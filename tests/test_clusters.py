@@ -64,6 +64,22 @@ def test_exact_search_sends_a_row_for_each_query_and_task(spark):
     assert [r["similarity"] for r in rows] == pytest.approx([w["s"] for w in want], abs=2e-9)
 
 
+def test_rows_that_share_terms_are_found_without_a_join(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [(k, sorted({rng.choice("abcdefghij") for _ in range(rng.randrange(1, 7))})) for k in range(400)] + [(1000, None), (1001, [])]
+    asked = [(k, t) for k in range(0, 400, 7) for t in dict(texts)[k][:5]] + [(9000, "a"), (9001, "zz")]
+    found = vectors.sharing_terms(spark.createDataFrame(texts, "id long, words array<string>").repartition(5), spark.createDataFrame(asked, "query_id long, term string"), 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    want = []
+    for q in sorted({k for k, _ in asked}):
+        mine = {t for k, t in asked if k == q}
+        counts = sorted((-len(mine & set(words or ())), k) for k, words in texts if k != q and mine & set(words or ()))
+        want += [(q, k, -n, r) for r, (n, k) in enumerate(counts[:5], 1)]
+    assert sorted(map(tuple, found.select("query_id", "id", "shared", "rank").collect())) == sorted(want)
+
+
 def test_list_search_refuses_odd_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.9, 0.1])], "vec_id long, embedding array<float>")
     centres = ann.fit(df.where("vec_id in (1, 4)"), 2)
